@@ -10,6 +10,7 @@ def make_session(cpus: str | int = 8) -> SparkSession:
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", os.environ.get("TIDEWATCH_DRIVER_MEMORY", "12g"))
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.bindAddress", "127.0.0.1")
+             .config("spark.driver.host", "127.0.0.1").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -98,7 +98,7 @@ def chapter_counts(subjects: DataFrame, codes: DataFrame, chapter: Column, chapt
                    subject: str = "subject_id", prefix: str = "prev_dx_") -> DataFrame:
     """Count of prior codes per chapter, total and a has-any flag; zero when there are none."""
     wide = (codes.select(subject, chapter.alias("_ch")).groupBy(subject).pivot("_ch", chapters)
-            .agg(F.count("*")))
+            .agg(F.count(F.lit(1))))
     out = subjects.select(subject).distinct().join(wide, subject, "left")
     counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in chapters]
     total = sum(counts[1:], counts[0])

@@ -6,19 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import hours_between, plus_hours, sanitize_token
-
-SALT = 16
+from tidewatch.operators.joins import SALT, spread_join
 
 
 def _joined(events, cohort, id_col, time_col, intime_col, salt):
-    """Events with their admission time. Events of one id are spread over ``salt`` join keys
-    by their time and the (small) cohort is repeated per key, so a hot id is never one task."""
     one = cohort.groupBy(id_col).agg(F.min(intime_col).alias("_intime"))
-    if salt > 1:
-        one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        events = events.withColumn("_salt", F.pmod(F.xxhash64(time_col), F.lit(salt)).cast("int"))
-        return events.join(one, [id_col, "_salt"]).drop("_salt")
-    return events.join(one, id_col)
+    return spread_join(events, one, [id_col], by=[time_col], salt=salt)
 
 
 def filter_to_window(events: DataFrame, cohort: DataFrame, *, hours: float = 6.0, id_col: str = "stay_id",

@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double, so that summation order cannot show in a comparison."""
-    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`")
+    return df.select(*[(F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`")
                        for n, t in df.dtypes])
 
 
@@ -113,7 +113,9 @@ def _gap(expr: str, m: int) -> str:
     return f"CASE WHEN stay_id % {m} = 0 THEN NULL ELSE {expr} END"
 
 
-_Q, _P, _D, _T = "(q * 1.0e0 / n)", "(cents / 100000.0e0 / n)", "(disc * 1.0e0 / n)", "(tax * 1.0e0 / n)"
+# odd divisors keep the values off exact rounding ties
+_Q, _P = "(q / (n * 1.00013e0))", "(cents / (n * 100007.0e0))"
+_D, _T = "(disc / (n * 1.00017e0))", "(tax / (n * 1.00019e0))"
 WIDE_COLUMNS = {
     "age": _gap("18 + subject_id % 75", 31),
     "gender": "CASE WHEN subject_id % 11 = 0 THEN NULL WHEN subject_id % 2 = 0 THEN 'M' ELSE 'F' END",
@@ -122,12 +124,12 @@ WIDE_COLUMNS = {
     "heart_rate_min": _gap("45.0e0 + qmin", 7),
     "heart_rate_max": _gap("60.0e0 + 2 * qmax", 7),
     "sbp_mean": _gap(f"80 + {_P}", 9),
-    "sbp_min": _gap(f"60 + 0.8e0 * {_P}", 9),
-    "sbp_max": _gap(f"90 + 1.3e0 * {_P}", 9),
-    "dbp_mean": _gap(f"40 + 0.7e0 * {_P}", 9),
+    "sbp_min": _gap(f"58 + 0.8e0 * {_P} + 0.2e0 * qmin", 9),
+    "sbp_max": _gap(f"90 + 1.2e0 * {_P} + 0.1e0 * qmax", 9),
+    "dbp_mean": _gap(f"36 + 0.7e0 * {_P} + 0.3e0 * {_D}", 9),
     "dbp_min": f"30 + 0.6e0 * {_P}",
     "dbp_max": f"50 + 0.8e0 * {_P}",
-    "map_mean": _gap(f"55 + 0.7e0 * {_P}", 9),
+    "map_mean": _gap(f"52 + 0.7e0 * {_P} + 0.5e0 * {_T}", 9),
     "map_min": _gap(f"45 + 0.6e0 * {_P}", 9),
     "resp_rate_mean": _gap(f"6 + 0.5e0 * {_Q}", 13),
     "resp_rate_min": "4.0e0 + 0.5e0 * qmin",
