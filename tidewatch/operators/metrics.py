@@ -72,7 +72,7 @@ def ranking_metrics(df: DataFrame, groups: list[str] = (), y: str = "y", p: str
 
 
 def totals(counts: DataFrame, groups: list[str] = ()) -> DataFrame:
-    return counts.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return counts.groupBy(*groups).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def with_totals(points: DataFrame, counts: DataFrame, groups: list[str] = ()) -> DataFrame:
@@ -84,7 +84,7 @@ def roc_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score."""
     c = score_counts(df, (), y, p)
     pts = with_totals(curve(c, (), fit_edges(df, p)), c)
-    return pts.select(F.col("p").alias("threshold"), ratio("fp", "N").alias("fpr"), ratio("tp", "P").alias("tpr"))
+    return pts.select(F.col("p").alias("threshold"), ratio("fp", "n_neg").alias("fpr"), ratio("tp", "n_pos").alias("tpr"))
 
 
 def pr_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -92,7 +92,7 @@ def pr_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     c = score_counts(df, (), y, p)
     pts = with_totals(curve(c, (), fit_edges(df, p)), c)
     return pts.select(F.col("p").alias("threshold"), ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
-                      ratio("tp", "P").alias("recall"))
+                      ratio("tp", "n_pos").alias("recall"))
 
 
 def brier(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p") -> DataFrame:

@@ -24,7 +24,7 @@ def threshold_table(df: DataFrame, groups: list[str] = (), y: str = "y", p: str
     both = both.groupBy(*groups, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pts = M.with_totals(M.curve(both, groups, fit_edges(df, p)), counts, groups)
     tp, fp = F.col("tp"), F.col("fp")
-    fn, tn = F.col("P") - tp, F.col("N") - fp
+    fn, tn = F.col("n_pos") - tp, F.col("n_neg") - fp
     r = M.rates(tp, fp, fn, tn)
     return pts.select(*groups, F.col("p").alias("threshold"),
                       *[r[k].alias(k) for k in ("precision", "recall", "f1", "specificity", "npv")],

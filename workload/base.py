@@ -170,6 +170,10 @@ WIDE_COLUMNS = {
     "urine_output_total": _gap("qmax * 20.0e0 * n", 15),
     "prev_dx_count_total": "subject_id % 9",
     "panel_missing_count_0_6h": "CAST(n % 4 AS BIGINT)",
+    "total_lab_count": "CAST(n AS BIGINT)",
+    "first_careunit": "o_orderpriority",
+    "ventilated": "CAST(qmin % 2 AS INTEGER)",
+    "risk": f"least(0.97e0, 0.03e0 + 0.01e0 * {_Q} + CASE WHEN o_orderstatus = 'F' THEN 0.12e0 ELSE 0.0e0 END)",
     "heart_rate_hour_0": _gap("60.0e0 + qmin", 7),
     "heart_rate_hour_1": _gap(f"60 + {_Q}", 11),
     "heart_rate_hour_2": _gap("60.0e0 + qmax", 6),
@@ -183,7 +187,7 @@ WIDE_COLUMNS = {
     "lactate_4": f"1 + 0.2e0 * {_T}",
     "lactate_6": _gap(f"1 + 0.3e0 * {_T}", 5),
 }
-_WIDE_FROM = ("SELECT o.o_orderkey AS stay_id, o.o_custkey AS subject_id, o.o_orderdate AS intime, o.o_orderstatus, "
+_WIDE_FROM = ("SELECT o.o_orderkey AS stay_id, o.o_custkey AS subject_id, o.o_orderdate AS intime, o.o_orderstatus, o.o_orderpriority, "
               "o.o_totalprice, b.* FROM orders o JOIN (" + BASE + ") b ON o.o_orderkey = b.k")
 
 
@@ -201,7 +205,7 @@ def wide(spark, sf, columns: list[str]) -> DataFrame:
                            F.max("lq").alias("qmax"), F.sum("lc").alias("cents"), F.sum("ld").alias("disc"),
                            F.sum("lt").alias("tax"))
     j = o.select(F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("subject_id"),
-                 F.col("o_orderdate").alias("intime"), "o_orderstatus", "o_totalprice").join(
+                 F.col("o_orderdate").alias("intime"), "o_orderstatus", "o_orderpriority", "o_totalprice").join(
         b, F.col("stay_id") == F.col("k"))
     return j.select("stay_id", "subject_id", "intime", *[F.expr(f"{WIDE_COLUMNS[c]} AS {c}") for c in columns])
 

@@ -9,7 +9,7 @@ from tidewatch.functions import exprs as X
 from tidewatch.operators import rules as R
 from workload.base import WIDE_COLUMNS, query, rounded, table, wide, wide_sql
 
-ALL = list(WIDE_COLUMNS)
+ALL = [c for c in WIDE_COLUMNS if c not in ("first_careunit", "ventilated", "risk", "total_lab_count")]
 
 
 def _flag(cond: str) -> str:
