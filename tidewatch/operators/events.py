@@ -154,25 +154,33 @@ def hourly_bins(win: DataFrame, cohort: DataFrame, variables: list[str], *, hour
     """Columns ``<var>_<bin>_<agg>`` per stay; counts and observed flags are 0 where absent."""
     if hours <= 0 or bin_hours <= 0:
         raise ValueError("hours and bin_hours must be positive")
-    known = {"mean": F.avg(value), "min": F.min(value), "max": F.max(value),
-             "last": F.max_by(value, F.struct(time, value))}
-    unknown = sorted(set(aggregations) - set(known))
+    unknown = sorted(set(aggregations) - {"mean", "min", "max", "last"})
     if unknown:
         raise ValueError(f"unsupported aggregations: {unknown}")
-    aggs = [known[a].alias(a) for a in aggregations]
-    if observed:
-        aggs.append(F.max(F.lit(1)).alias("observed"))
-    if count:
-        aggs.append(F.count(value).alias("count"))
+    base = bins_base(win, hours=hours, bin_hours=bin_hours, id_col=id_col, variable=variable, time=time, value=value)
+    return bins_features(base, cohort, variables, hours=hours, bin_hours=bin_hours, aggregations=aggregations,
+                         observed=observed, count=count, id_col=id_col, variable=variable)
+
+
+def bins_base(win: DataFrame, *, hours: float = 6.0, bin_hours: float = 1.0, id_col: str = "stay_id",
+              variable: str = "variable", time: str = "charttime", value: str = "valuenum") -> DataFrame:
+    """(id, variable, bin, mean, min, max, last, count): the one aggregate over events."""
+    data = win.where(F.col(variable).isNotNull() & F.col(value).isNotNull())
+    return data.groupBy(id_col, variable, bin_index(hours, bin_hours).alias("bin")).agg(
+        F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.max_by(value, F.struct(time, value)).alias("last"), F.count(value).alias("count"))
+
+
+def bins_features(base: DataFrame, cohort: DataFrame, variables: list[str], *, hours: float, bin_hours: float,
+                  aggregations: tuple[str, ...], observed: bool = True, count: bool = True, id_col: str = "stay_id",
+                  variable: str = "variable") -> DataFrame:
     labels = bin_labels(hours, bin_hours)
     names = F.array(*[F.lit(x) for x in labels])
-    tokens = [t for t in variables]
-    keyed = (win.where(F.col(variable).isNotNull() & F.col(value).isNotNull())
-             .withColumn("_key", F.concat_ws("_", variable, names[bin_index(hours, bin_hours)])))
-    keys = [f"{v}_{b}" for v in tokens for b in labels]
-    wide = keyed.groupBy(id_col).pivot("_key", keys).agg(*aggs)
-    zero = [f"{k}_{s}" for k in keys for s, on in (("observed", observed), ("count", count)) if on]
-    return attach(cohort, wide, id_col, zero)
+    stats = base.withColumn("_key", F.concat_ws("_", variable, names[F.col("bin")])).withColumn("observed", F.lit(1))
+    wanted = [*aggregations, *(["observed"] if observed else []), *(["count"] if count else [])]
+    keys = [f"{v}_{b}" for v in variables for b in labels]
+    zero = [f"{k}_{s}" for k in keys for s in wanted if s in ("observed", "count")]
+    return attach(cohort, spread(stats, id_col, "_key", keys, wanted), id_col, zero)
 
 
 def trajectory(win: DataFrame, *, hours: float = 6.0, edge_hours: float = 2.0, id_col: str = "stay_id",
@@ -259,15 +267,26 @@ def instability(win: DataFrame, *, hours: float = 6.0, edge_hours: float = 2.0,
 def measurement_process(win: DataFrame, cohort: DataFrame, variables: list[str], *, hours: float = 6.0,
                         sources: list[str] | None = None, expected: list[str] | None = None,
                         id_col: str = "stay_id", variable: str = "variable", source: str = "source") -> DataFrame:
-    """How often, when and where each stay was measured.
+    """How often, when and where each stay was measured."""
+    base = process_base(win, id_col=id_col, variable=variable, source=source if sources else None)
+    return process_features(base, cohort, variables, hours=hours, sources=sources, expected=expected, id_col=id_col,
+                            variable=variable, source=source)
+
 
-    One pre-aggregate per (id, variable, source) feeds everything else."""
+def process_base(win: DataFrame, *, id_col: str = "stay_id", variable: str = "variable",
+                 source: str | None = "source") -> DataFrame:
+    """(id, variable, source, count, first hour, last hour): the one aggregate over events."""
     h = F.col("hours_from_admit")
-    keys = [id_col, variable] + ([source] if sources else [])
     data = win.where(F.col(variable).isNotNull())
-    if sources:
+    if source:
         data = data.withColumn(source, sanitize_token(source))
-    base = data.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(h).alias("_a"), F.max(h).alias("_z"))
+    return data.groupBy(id_col, variable, *([source] if source else [])).agg(
+        F.count("*").alias("_n"), F.min(h).alias("_a"), F.max(h).alias("_z"))
+
+
+def process_features(base: DataFrame, cohort: DataFrame, variables: list[str], *, hours: float = 6.0,
+                     sources: list[str] | None = None, expected: list[str] | None = None, id_col: str = "stay_id",
+                     variable: str = "variable", source: str = "source") -> DataFrame:
     stats = base.groupBy(id_col).pivot(variable, variables).agg(
         F.max(F.lit(1)).alias("measured_0_6h"), F.sum("_n").alias("measurement_count_0_6h"),
         F.min("_a").alias("time_to_first_measurement"),
