@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import clip, logit, ratio, sigmoid
 from tidewatch.operators import metrics as M
+from tidewatch.plans.lineage import cut_lineage
 
 
 def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: float = 1e-6, steps: int = 10) -> DataFrame:
     """(groups, intercept, slope) of y on x from (groups, x, pos, neg) rows.
 
     ``ridge`` penalises the slope only (1/C). Each step adds five sums per group; the
-    coefficients stay a DataFrame, so any number of groups is fitted in one job."""
+    coefficients stay a DataFrame, so any number of groups is fitted in one job. The counts
+    are written once, since every step reads them."""
+    counts = cut_lineage(counts.select(*groups, x, "pos", "neg"))
     coef = None
     for _ in range(steps):
         if coef is None:
@@ -42,9 +45,12 @@ def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: floa
 def calibration_slope(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p", steps: int = 10) -> DataFrame:
     """Calibration intercept and slope: logistic regression of y on logit(p), near-unpenalised;
     NULL for a group with one class."""
-    groups = list(groups)
-    counts = M.score_counts(df, groups, y, p).withColumn("x", logit("p"))
-    return newton_logistic(counts, groups, "x", ridge=1e-6, steps=steps).withColumnsRenamed(
+    return slope_of_counts(M.score_counts(df, groups, y, p), list(groups), steps)
+
+
+def slope_of_counts(counts: DataFrame, groups: list[str], steps: int = 10) -> DataFrame:
+    fit = newton_logistic(counts.withColumn("x", logit("p")), groups, "x", ridge=1e-6, steps=steps)
+    return fit.withColumnsRenamed(
         {"intercept": "calibration_intercept", "slope": "calibration_slope"})
 
 

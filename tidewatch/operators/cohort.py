@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag, hours_between, plus_hours
+from tidewatch.operators.joins import spread_join
 
 
 def first_per_entity(stays: DataFrame, subject: str = "subject_id", time: str = "intime",
@@ -63,7 +64,8 @@ def with_window(cohort: DataFrame, hours: float, time: str = "intime", name: str
 def demographics(cohort: DataFrame, patients: DataFrame, admissions: DataFrame, subject: str = "subject_id",
                  admission: str = "hadm_id") -> DataFrame:
     """Age at admission (above 89 becomes 90) and sex as 1/0."""
-    out = cohort.join(patients, subject, "left").join(admissions, [subject, admission], "left")
+    out = spread_join(cohort, patients, [subject], by=[admission], how="left")
+    out = out.join(admissions, [subject, admission], "left")
     age = F.col("anchor_age") + F.year("admittime") - F.col("anchor_year")
     return out.select(*cohort.columns, F.when(age > 89, 90).otherwise(age).cast("int").alias("age"),
                       F.when(F.col("gender") == "M", 1).when(F.col("gender") == "F", 0).alias("gender_numeric"))
@@ -72,10 +74,11 @@ def demographics(cohort: DataFrame, patients: DataFrame, admissions: DataFrame,
 def prior_codes(cohort: DataFrame, admissions: DataFrame, codes: DataFrame, *, subject: str = "subject_id",
                 admission: str = "hadm_id", intime: str = "intime", admittime: str = "admittime") -> DataFrame:
     """Codes of a subject's admissions that began before its stay (one stay per subject)."""
-    prior = admissions.select(subject, admission, admittime).join(
-        cohort.groupBy(subject).agg(F.min(intime).alias("_in")), subject)
+    begin = cohort.groupBy(subject).agg(F.min(intime).alias("_in"))
+    prior = spread_join(admissions.select(subject, admission, admittime), begin, [subject], by=[admission])
     prior = prior.where(F.col(admittime) < F.col("_in")).select(subject, admission)
-    return prior.join(codes.drop(subject), admission)
+    own = codes.drop(subject)
+    return spread_join(own, prior, [admission], by=[c for c in own.columns if c != admission])
 
 
 def diagnosis_chapter(code: Column, version: Column) -> Column:
@@ -137,7 +140,7 @@ def bridge(events: DataFrame, cohort: DataFrame, source: str = "subject_id", sta
     """Give source-level events the stay of their source: the first stay of each source."""
     first = cohort.groupBy(source).agg(F.min(F.struct(time, stay)).alias("_s")).select(
         source, F.col(f"_s.{stay}").alias(stay))
-    return events.join(first, source)
+    return spread_join(events, first, [source], by=[c for c in events.columns if c != source])
 
 
 def map_codes(events: DataFrame, items: DataFrame, code: str = "itemid", value: str | None = None,

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.joins import spread_join
 from tidewatch.operators.split import fold_entities
 from tidewatch.plans.lineage import cut_lineage
 
@@ -18,8 +19,7 @@ from tidewatch.plans.lineage import cut_lineage
 def prediction_pivot(preds: DataFrame, models: list[str], *, row_key: str = "row_id", model: str = "model_name",
                      y: str = "y_true", p: str = "p_pred") -> DataFrame:
     """(row_id, y_true, one column per model), aligned by row id."""
-    return preds.groupBy(row_key).pivot(model, models).agg(F.max(p)).join(
-        preds.groupBy(row_key).agg(F.max(y).alias(y)), row_key).select(row_key, y, *models)
+    return preds.groupBy(row_key).agg(F.max(y).alias(y), *[F.max(F.when(F.col(model) == m, F.col(p))).alias(m) for m in models])
 
 
 def require_complete(wide: DataFrame, models: list[str]) -> None:
@@ -73,7 +73,7 @@ def oof_stacker(df: DataFrame, features: list[str], bases: dict[str, Callable[[]
     Estimators read ``_x`` and ``_y``. Gives (rows with out-of-fold scores, meta model,
     base models refitted on all rows)."""
     folds = fold_entities(df, entity, label, k=k, seed=seed)
-    data = cut_lineage(_vec(df.join(folds, entity), features).withColumn("_y", F.col(label).cast("double")))
+    data = cut_lineage(_vec(spread_join(df, folds, [entity], by=features), features).withColumn("_y", F.col(label).cast("double")))
     scored = None
     n_folds = data.agg(F.max("fold")).first()[0] + 1
     for f in range(n_folds):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag, outside, ratio, sanitize_token
 
-SLICES = 64
+SLICES = 4096
 
 
 def _slice(hours: float, slices: int, h: str = "hours_from_admit") -> Column:

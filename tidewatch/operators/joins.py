@@ -19,3 +19,8 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], *, by: list[s
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salt)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def keep_members(big: DataFrame, members: DataFrame, key: str, *, by: list[str], keep: bool = True) -> DataFrame:
+    """Rows of ``big`` whose key is (or, with ``keep=False``, is not) among the members."""
+    return spread_join(big, members.select(key).distinct(), [key], by=by, how="left_semi" if keep else "left_anti")

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import hash_fraction
 from tidewatch.operators import metrics as M
+from tidewatch.operators.joins import spread_join
 from tidewatch.operators.ranking import bucket_of, fit_edges, hash_ranks
 from tidewatch.operators.split import fold_entities
+from tidewatch.plans.lineage import cut_lineage
 
 
 def assemble(df: DataFrame, columns: list[str], label: str, keep: list[str] = ()) -> DataFrame:
@@ -86,7 +88,7 @@ def random_search(train: DataFrame, make: Estimator, space: dict, *, draws: int,
             b = b.baseOn({param: rng.choice(values)})
         grid.append(b.build()[0])
     folds = fold_entities(train, entity, "label", k=k, seed=seed)
-    data = train.join(folds, entity)
+    data = cut_lineage(spread_join(train, folds, [entity], by=["label", "weight", "features"]))
     cv = CrossValidator(estimator=make, estimatorParamMaps=grid, numFolds=k, foldCol="fold", parallelism=parallelism,
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"))
     model = cv.fit(data)

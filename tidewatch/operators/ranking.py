@@ -39,7 +39,9 @@ def bucket_of(value, edges: list[float], chunk: int = 32) -> Column:
         here = F.lit(i * chunk) + sum(((value > F.lit(e)).cast("int") for e in groups[i][1:]),
                                       (value > F.lit(groups[i][0])).cast("int"))
         fine = here if fine is None else F.when(value <= F.lit(groups[i][-1]), here).otherwise(fine)
-    return out + fine
+    # never NULL: a nullable join key would be filtered below the aggregate on one side of a
+    # self-join only, and the shuffle of the counts could not be reused
+    return F.coalesce(out + fine, F.lit(-1))
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], edges: list[float],
@@ -99,75 +101,99 @@ def value_ranks(df: DataFrame, value: str, row_key: str, rank: str = "rank", dig
     return local.join(offsets, [value, "_hb"]).select(*df.columns, (F.col("_r") + F.col("_off")).alias(rank))
 
 
-def _brackets(df, columns, probs, accuracy):
-    aggs = []
-    slack = 5.0 / accuracy
-    for i, c in enumerate(columns):
-        ps = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
-        v = F.col(c).cast("double")
-        aggs += [F.percentile_approx(v, ps, accuracy).alias(f"p{i}"), F.count(v).alias(f"n{i}"),
-                 F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
-    return df.agg(*aggs).first()
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 10000,
-                    batch: int = 100) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 2000, batch: int = 100,
+                    limit: int = 2_000_000) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles (linear, as ``percentile``) of many columns.
 
-    ``percentile`` keeps every distinct value of a column in one reducer. Here a first pass
-    brackets each quantile with a bounded sketch, and a second pass counts the rows below
-    the bracket and shuffles only the value counts inside it (about 0.2 % of the rows).
-    A bracket that misses its rank is widened to the whole range."""
-    out: dict[str, list[float | None]] = {}
+    ``percentile`` keeps every distinct value of a column in one reducer. Here a bounded sketch
+    brackets each quantile, plain sums count the rows below and inside the bracket, and only
+    the value counts inside it are shuffled. A bracket holding more than ``limit`` rows is
+    narrowed by another sketch over its own rows; one that misses its rank is widened."""
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     for start in range(0, len(columns), batch):
         part = columns[start:start + batch]
-        row = _brackets(df, part, probs, accuracy)
-        wanted = []
-        for i, c in enumerate(part):
-            out[c] = [None] * len(probs)
-            n = row[f"n{i}"]
-            if not n:
-                continue
-            for j, p in enumerate(probs):
-                pos = (n - 1) * p
-                lo = int(pos)
-                hi = min(lo + 1, n - 1) if pos > lo else lo
-                low, high = row[f"p{i}"][2 * j], row[f"p{i}"][2 * j + 1]
-                if p - 5.0 / accuracy <= 0:
-                    low = row[f"a{i}"]
-                if p + 5.0 / accuracy >= 1:
-                    high = row[f"z{i}"]
-                wanted.append(dict(c=c, j=j, lo=lo, hi=hi, frac=pos - lo, low=low, high=high,
-                                   min=row[f"a{i}"], max=row[f"z{i}"]))
-        _resolve(df, wanted, out)
+        todo = _first_brackets(df, part, probs, accuracy)
+        final = []
+        while todo:
+            _count(df, todo)
+            again = []
+            for w in todo:
+                if not (w["below"] <= w["lo"] and w["hi"] < w["below"] + w["inside"]):
+                    again.append({**w, "low": w["min"], "high": w["max"], "fixed": True})
+                elif w["inside"] > limit and w["low"] < w["high"] and not w.get("fixed"):
+                    again.append(w)
+                else:
+                    final.append(w)
+            narrow = [w for w in again if not w.get("fixed")]
+            if narrow:
+                _narrow(df, narrow, accuracy)
+            todo = again
+        _resolve(df, final, out)
     return out
 
 
-def _resolve(df, wanted, out):
-    while wanted:
-        pieces = F.array(*[
-            F.when(F.col(w["c"]).cast("double") <= F.lit(w["high"]),
-                   F.struct(F.lit(k).alias("k"),
-                            F.when(F.col(w["c"]).cast("double") >= F.lit(w["low"]),
-                                   F.col(w["c"]).cast("double")).alias("v")))
-            for k, w in enumerate(wanted)])
-        counts = (df.select(F.explode(F.filter(pieces, lambda s: s.isNotNull())).alias("s"))
-                  .groupBy("s.k", "s.v").agg(F.count("*").alias("n")))
-        w_k = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first())
-        cum = counts.withColumn("upto", F.sum("n").over(w_k.rowsBetween(Window.unboundedPreceding, 0)))
-        ranks = F.create_map(*[x for k, w in enumerate(wanted)
-                               for x in (F.lit(k), F.array(F.lit(w["lo"]).cast("bigint"), F.lit(w["hi"]).cast("bigint")))])
-        covers = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
-        r = ranks[F.col("k")]
-        got = (cum.where(F.col("v").isNotNull() & (covers(r[0]) | covers(r[1])))
-               .groupBy("k").agg(F.max(F.when(covers(r[0]), F.col("v"))).alias("a"),
-                                 F.max(F.when(covers(r[1]), F.col("v"))).alias("b")).collect())
-        found = {g.k: g for g in got}
-        again = []
-        for k, w in enumerate(wanted):
-            g = found.get(k)
-            if g is None or g.a is None or g.b is None:
-                again.append({**w, "low": w["min"], "high": w["max"]})
-            else:
-                out[w["c"]][w["j"]] = g.a + (g.b - g.a) * w["frac"]
-        wanted = again
+def _value(c: str) -> Column:
+    return F.col(c).cast("double")
+
+
+def _within(w: dict) -> Column:
+    return (_value(w["c"]) >= F.lit(w["low"])) & (_value(w["c"]) <= F.lit(w["high"]))
+
+
+def _first_brackets(df: DataFrame, columns: list[str], probs: list[float], accuracy: int) -> list[dict]:
+    slack = 5.0 / accuracy
+    ps = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
+    row = df.agg(*[a for i, c in enumerate(columns) for a in (
+        F.percentile_approx(_value(c), ps, accuracy).alias(f"p{i}"), F.count(c).alias(f"n{i}"),
+        F.min(_value(c)).alias(f"a{i}"), F.max(_value(c)).alias(f"z{i}"))]).first()
+    wanted = []
+    for i, c in enumerate(columns):
+        n = row[f"n{i}"]
+        for j, p in enumerate(probs if n else []):
+            pos = (n - 1) * p
+            lo = int(pos)
+            hi = min(lo + 1, n - 1) if pos > lo else lo
+            low = row[f"a{i}"] if p <= slack else row[f"p{i}"][2 * j]
+            high = row[f"z{i}"] if p >= 1 - slack else row[f"p{i}"][2 * j + 1]
+            wanted.append(dict(c=c, j=j, lo=lo, hi=hi, frac=pos - lo, low=low, high=high, min=row[f"a{i}"], max=row[f"z{i}"]))
+    return wanted
+
+
+def _count(df: DataFrame, wanted: list[dict]) -> None:
+    row = df.agg(*[a for k, w in enumerate(wanted) for a in (
+        F.sum(F.when(_value(w["c"]) < F.lit(w["low"]), 1).otherwise(0)).alias(f"b{k}"),
+        F.sum(F.when(_within(w), 1).otherwise(0)).alias(f"i{k}"))]).first()
+    for k, w in enumerate(wanted):
+        w["below"], w["inside"] = row[f"b{k}"], row[f"i{k}"]
+
+
+def _narrow(df: DataFrame, wanted: list[dict], accuracy: int) -> None:
+    slack = 5.0 / accuracy
+    def at(w):
+        return [max(0.0, (w["lo"] - w["below"]) / w["inside"] - slack), min(1.0, (w["hi"] - w["below"]) / w["inside"] + slack)]
+    row = df.agg(*[F.percentile_approx(F.when(_within(w), _value(w["c"])), at(w), accuracy).alias(f"p{k}")
+                   for k, w in enumerate(wanted)]).first()
+    for k, w in enumerate(wanted):
+        low, high = row[f"p{k}"]
+        low = w["low"] if at(w)[0] == 0.0 else low
+        high = w["high"] if at(w)[1] == 1.0 else high
+        if (low, high) == (w["low"], w["high"]):
+            w["fixed"] = True
+        w["low"], w["high"] = low, high
+
+
+def _resolve(df: DataFrame, wanted: list[dict], out: dict) -> None:
+    if not wanted:
+        return
+    pieces = F.array(*[F.when(_within(w), F.struct(F.lit(k).alias("k"), _value(w["c"]).alias("v"))) for k, w in enumerate(wanted)])
+    counts = (df.select(F.explode(F.filter(pieces, lambda s: s.isNotNull())).alias("s"))
+              .groupBy("s.k", "s.v").agg(F.count("*").alias("n")))
+    pick = lambda name: F.create_map(*[x for k, w in enumerate(wanted) for x in (F.lit(k), F.lit(w[name] - w["below"]).cast("bigint"))])[F.col("k")]
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    cum = counts.withColumns({"upto": upto, "lo": pick("lo"), "hi": pick("hi")})
+    covers = lambda r: (F.col("upto") > F.col(r)) & (F.col("upto") - F.col("n") <= F.col(r))
+    rows = (cum.where(covers("lo") | covers("hi")).groupBy("k")
+            .agg(F.max(F.when(covers("lo"), F.col("v"))).alias("a"), F.max(F.when(covers("hi"), F.col("v"))).alias("b")).collect())
+    for g in rows:
+        w = wanted[g.k]
+        out[w["c"]][w["j"]] = g.a + (g.b - g.a) * w["frac"]

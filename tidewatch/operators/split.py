@@ -62,7 +62,7 @@ def fold_entities(df: DataFrame, entity: str, label: str, *, k: int = 5, seed: i
 def resample(df: DataFrame, label: str, row_key: str, *, how: str, seed: int = 42) -> DataFrame:
     """Balance classes: 'under' keeps as many rows per class as the smallest has, 'over' repeats
     rows up to the largest. Hash order decides which; ``copy`` numbers the repeats."""
-    ranked = hash_ranks(df, [label], row_key, salt=f"|{seed}", rank="_rank").withColumnRenamed("n", "_n")
+    ranked = hash_ranks(df, [label], row_key, salt=f"|{seed}", digits=4, rank="_rank").withColumnRenamed("n", "_n")
     counts = df.groupBy(label).agg(F.count("*").alias("_c"))
     if how == "under":
         target = counts.agg(F.min("_c").alias("_t"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.exprs import cut_right_closed
 from tidewatch.operators import calibrate, metrics
 from tidewatch.operators.ranking import exact_quantiles, value_ranks
+from tidewatch.plans.lineage import cut_lineage
 
 FIRST_OF = {"sex": ["sex", "gender"],
             "major_diagnosis_group": ["major_diagnosis_group", "diagnosis_group", "admission_diagnosis_group"],
@@ -86,8 +87,9 @@ def subgroup_metrics(labelled: DataFrame, *, threshold: float, min_n: int = 30,
     long = labelled.select(F.col(y).alias("y"), F.col(p).cast("double").alias("p"), parts.alias("s")).select(
         "y", "p", F.col("s.v").alias("subgroup_variable"), F.col("s.g").alias("subgroup")).where("subgroup IS NOT NULL")
     keys = ["subgroup_variable", "subgroup"]
-    m = metrics.binary_metrics(long, threshold, keys)
-    c = calibrate.calibration_slope(long, keys)
+    counts = cut_lineage(metrics.score_counts(long, keys))
+    m = metrics.curve_metrics(metrics.curve(counts, keys), keys, F.lit(float(threshold)))
+    c = calibrate.slope_of_counts(counts, keys)
     small = F.col("n") < min_n
     return m.join(c, keys).select(
         *keys, small.alias("small_subgroup"),

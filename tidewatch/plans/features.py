@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import cohort as C
 from tidewatch.operators import events as E
 from tidewatch.operators import guards, rules, windows
+from tidewatch.plans.lineage import cut_lineage
 
 
 @dataclass
@@ -33,10 +34,11 @@ def build_features(cohort: DataFrame, events: DataFrame, options: FeatureOptions
                    positives: DataFrame | None = None, id_col: str = "stay_id", label: str = "mortality") -> DataFrame:
     """Every feature group of the windowed events, joined to the cohort by id.
 
-    The windowed events are the input of all groups; each group is aggregated to one row per
+    The windowed events are written once and read by all groups; each group is aggregated to one row per
     id before it meets the others, so all joins are one to one on the same key."""
     o = options
-    win = windows.windowed_events(events, cohort, hours=o.hours, id_col=id_col, variable_col="variable").persist()
+    win = windows.windowed_events(events, cohort, hours=o.hours, id_col=id_col, variable_col="variable")
+    win = cut_lineage(win)
     variables = o.vitals + o.labs
     vital, lab = win.where(F.col("variable").isin(o.vitals)), win.where(F.col("variable").isin(o.labs))
     parts = []

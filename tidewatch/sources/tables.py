@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import hours_between
+from tidewatch.operators.joins import spread_join
 
 STAYS = T.StructType([T.StructField("stay_id", T.LongType()), T.StructField("subject_id", T.LongType()),
                       T.StructField("hadm_id", T.LongType()), T.StructField("intime", T.TimestampType()),
@@ -50,7 +51,8 @@ def filtered_event_scan(events: DataFrame, cohort: DataFrame, items: DataFrame,
     before admission are dropped unless ``allow_before``."""
     key = source_id or id_col
     data = events.select(key, time_col, item_col, value_col).na.drop()
-    data = data.join(items, item_col).join(cohort.select(*{key, id_col}, "intime"), key)
+    data = data.join(items, item_col)
+    data = spread_join(data, cohort.select(*{key, id_col}, "intime"), [key], by=[time_col])
     data = data.withColumn("hours_from_admit", hours_between("intime", time_col))
     data = data.where(F.col("hours_from_admit") <= max_hours)
     if not allow_before:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import constants as K
 from tidewatch.operators import bootstrap, calibrate, ensemble, guards, metrics, results, split, subgroups, thresholds
 from tidewatch.functions.exprs import grid_edges
+from tidewatch.operators.joins import spread_join
 from workload.base import SCORED, query, rounded, scored, table, wide, wide_sql
 
 MODELS = {"model_a": "p_a", "model_b": "p_b"}
@@ -451,7 +452,7 @@ _FOLD = ("ent AS (SELECT entity, max(y) AS y FROM scored GROUP BY 1), rk AS (SEL
            f"SELECT '{c}' AS metric, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, count({c}) AS folds FROM m" for c in ("auc_roc", "average_precision")))
 def cv_metrics(spark, sf):
     s = scored(spark, sf).withColumn("p", F.col("p_a"))
-    rows = s.join(split.fold_entities(s, "entity", "y", k=5), "entity")
+    rows = spread_join(s, split.fold_entities(s, "entity", "y", k=5), ["entity"], by=["row_num"])
     return rounded(results.fold_metrics(metrics.ranking_metrics(rows, ["fold"]), ["auc_roc", "average_precision"]))
 
 

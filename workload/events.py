@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import cohort as C
 from tidewatch.operators import events as E
+from tidewatch.operators import joins as J
 from tidewatch.operators import windows as W
 from tidewatch.sources import tables as S
 from workload.base import (BIN, COHORT, EV, FIRST, HOURS, RECORD, SOURCES, STAYS, VARIABLES, event_cohort, line_events,
@@ -127,7 +128,7 @@ def dict_regex_lookup(spark, sf):
  l_quantity AS valuenum FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def semi_filter(spark, sf):
     keep = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("stay_id"))
-    return line_events(spark, sf).join(keep, "stay_id", "left_semi")
+    return J.keep_members(line_events(spark, sf), keep, "stay_id", by=["charttime", "itemid"])
 
 
 @query("bridge_join", f"""WITH {STAYS}, {FIRST}
