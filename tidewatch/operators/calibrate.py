@@ -1,54 +1,68 @@
-"""Recalibration. Two-parameter logistic fits run as Newton steps over score counts, grouped,
-inside one lazy plan; isotonic fits use MLlib on the counts."""
+"""Recalibration. Two-parameter logistic fits run as grouped Newton steps over score counts;
+isotonic fits use MLlib on the counts."""
 
 from __future__ import annotations
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.functions.exprs import clip, logit, ratio, sigmoid
+from tidewatch.functions.exprs import clip, logit, sigmoid
 from tidewatch.operators import metrics as M
 from tidewatch.plans.lineage import cut_lineage
 
 
-def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: float = 1e-6, steps: int = 10) -> DataFrame:
+def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: float = 1e-6, steps: int = 25,
+                    tolerance: float = 1e-10) -> DataFrame:
     """(groups, intercept, slope) of y on x from (groups, x, pos, neg) rows.
 
-    ``ridge`` penalises the slope only (1/C). Each step adds five sums per group; the
-    coefficients stay a DataFrame, so any number of groups is fitted in one job. The counts
-    are written once, since every step reads them."""
+    ``ridge`` penalises the slope only (1/C). A step is one map-side combined aggregate of seven
+    sums per group; only those sums and the coefficients, one row per group of the report, pass
+    the driver. They return as a local table, which Spark broadcasts only if it is small. The
+    counts are written once, since every step reads them."""
+    spark = counts.sparkSession
     counts = cut_lineage(counts.select(*groups, x, "pos", "neg"))
-    coef = None
-    for _ in range(steps):
-        if coef is None:
+    kinds = [f for f in counts.schema.fields if f.name in groups]
+    schema = T.StructType([*sorted(kinds, key=lambda f: groups.index(f.name)), T.StructField("_a", T.DoubleType()),
+                           T.StructField("_b", T.DoubleType())])
+    coef: dict[tuple, tuple[float | None, float | None]] = {}
+    X, n = F.col(x), (F.col("pos") + F.col("neg")).cast("double")
+    for step in range(steps):
+        if step == 0:
             data = counts.withColumns({"_a": F.lit(0.0), "_b": F.lit(0.0)})
         else:
-            data = counts.join(coef, groups) if groups else counts.crossJoin(coef)
-        X = F.col(x)
-        n = (F.col("pos") + F.col("neg")).cast("double")
+            known = spark.createDataFrame([(*k, *v) for k, v in coef.items() if v[0] is not None], schema)
+            data = counts.join(known, groups) if groups else counts.crossJoin(F.broadcast(known))
         mu = sigmoid(F.col("_a") + F.col("_b") * X)
         w, g = n * mu * (1 - mu), F.col("pos") - n * mu
-        s = data.groupBy(*groups).agg(F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.sum(w).alias("h00"),
-                                      F.sum(w * X).alias("h01"), (F.sum(w * X * X) + F.lit(ridge)).alias("h11"),
-                                      F.sum(g).alias("g0"), F.sum(g * X).alias("g1"), F.sum("pos").alias("_P"),
-                                      F.sum("neg").alias("_N"))
-        g1 = F.col("g1") - F.lit(ridge) * F.col("_b")
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        a = F.col("_a") + ratio(F.col("h11") * F.col("g0") - F.col("h01") * g1, det)
-        b = F.col("_b") + ratio(F.col("h00") * g1 - F.col("h01") * F.col("g0"), det)
-        both = (F.col("_P") > 0) & (F.col("_N") > 0)
-        coef = s.select(*groups, F.when(both, a).alias("_a"), F.when(both, b).alias("_b"))
-    return coef.select(*groups, F.col("_a").alias("intercept"), F.col("_b").alias("slope"))
-
-
-def calibration_slope(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p", steps: int = 10) -> DataFrame:
+        rows = data.groupBy(*groups).agg(
+            F.sum(w).alias("h00"), F.sum(w * X).alias("h01"), F.sum(w * X * X).alias("h11"), F.sum(g).alias("g0"),
+            F.sum(g * X).alias("g1"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+        moved = 0.0
+        for r in rows:
+            key = tuple(r[k] for k in groups)
+            a, b = coef.get(key, (0.0, 0.0))
+            h11, g1 = r.h11 + ridge if r.h11 is not None else None, (r.g1 or 0.0) - ridge * b
+            det = r.h00 * h11 - r.h01 * r.h01 if r.pos and r.neg else 0.0
+            if not det:
+                coef[key] = (None, None) if not (r.pos and r.neg) else (a, b)
+                continue
+            da, db = (h11 * r.g0 - r.h01 * g1) / det, (r.h00 * g1 - r.h01 * r.g0) / det
+            coef[key] = (a + da, b + db)
+            moved = max(moved, abs(da), abs(db))
+        if moved < tolerance:
+            break
+    return spark.createDataFrame([(*k, *v) for k, v in coef.items()], schema).withColumnsRenamed({"_a": "intercept", "_b": "slope"})
+
+
+def calibration_slope(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p", steps: int = 25) -> DataFrame:
     """Calibration intercept and slope: logistic regression of y on logit(p), near-unpenalised;
     NULL for a group with one class."""
     return slope_of_counts(M.score_counts(df, groups, y, p), list(groups), steps)
 
 
-def slope_of_counts(counts: DataFrame, groups: list[str], steps: int = 10) -> DataFrame:
+def slope_of_counts(counts: DataFrame, groups: list[str], steps: int = 25) -> DataFrame:
     fit = newton_logistic(counts.withColumn("x", logit("p")), groups, "x", ridge=1e-6, steps=steps)
     return fit.withColumnsRenamed(
         {"intercept": "calibration_intercept", "slope": "calibration_slope"})
@@ -69,7 +83,7 @@ def _require_two_classes(valid: DataFrame, y: str) -> None:
         raise ValueError("calibration needs both outcome classes in the validation labels")
 
 
-def fit_platt(valid: DataFrame, y: str = "y", p: str = "p", C: float = 1.0, steps: int = 10) -> DataFrame:
+def fit_platt(valid: DataFrame, y: str = "y", p: str = "p", C: float = 1.0, steps: int = 25) -> DataFrame:
     """One metadata row: sigmoid calibration fitted on validation logits with an L2 slope penalty."""
     _require_two_classes(valid, y)
     counts = M.score_counts(valid, (), y, p).withColumn("x", logit("p"))

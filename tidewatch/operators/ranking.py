@@ -102,14 +102,17 @@ def value_ranks(df: DataFrame, value: str, row_key: str, rank: str = "rank", dig
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 2000, batch: int = 100,
-                    limit: int = 2_000_000) -> dict[str, list[float | None]]:
+                    limit: int = 2_000_000, small: int = 16_000_000) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles (linear, as ``percentile``) of many columns.
 
-    ``percentile`` keeps every distinct value of a column in one reducer. Here a bounded sketch
-    brackets each quantile, plain sums count the rows below and inside the bracket, and only
+    ``percentile`` keeps every distinct value of a column in one reducer, so it is used only
+    where a count shows at most ``small`` values. Beyond that a bounded sketch brackets each quantile, plain sums count the rows below and inside the bracket, and only
     the value counts inside it are shuffled. A bracket holding more than ``limit`` rows is
     narrowed by another sketch over its own rows; one that misses its rank is widened."""
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if columns and small and df.count() * len(columns) <= small:
+        row = df.agg(*[F.percentile(_value(c), probs).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else out[c] for i, c in enumerate(columns)}
     for start in range(0, len(columns), batch):
         part = columns[start:start + batch]
         todo = _first_brackets(df, part, probs, accuracy)
