@@ -51,10 +51,8 @@ def split_overlap(assigned: DataFrame, entity: str) -> DataFrame:
 
 def fold_entities(df: DataFrame, entity: str, label: str, *, k: int = 5, seed: int = 42,
                   stratify: bool = True) -> DataFrame:
-    """(entity, fold): k folds, k capped by the smallest label's entity count."""
-    ranked = hash_ranks(entity_labels(df, entity, label).withColumn(
-        "_stratum", F.col("_y").cast("bigint") if stratify else F.lit(0).cast("bigint")), ["_stratum"], entity,
-        salt=f"|{seed}")
+    """(entity, fold): k folds, k capped by the smallest stratum's entity count."""
+    ranked = hash_ranks(_strata(entity_labels(df, entity, label), stratify), ["_stratum"], entity, salt=f"|{seed}")
     cap = ranked.agg(F.least(F.lit(k), F.min("n")).cast("bigint").alias("_k"))
     return ranked.crossJoin(cap).select(entity, ((F.col("rank") - 1) % F.col("_k")).cast("int").alias("fold"))
 
