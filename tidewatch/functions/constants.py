@@ -258,6 +258,10 @@ FEATURE_FAMILIES = [
     ("distance_or_polynomial", f"{_VL}(_(mean|min|max))?_(squared|dist_from_normal|log)", "derived_clinical", True),
 ]
 
+# --- resampling: cumulative Poisson(1) probabilities for 0..7 ---
+POISSON_CUTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+
 # --- evaluation -------------------------------------------------------------
 NAMED_THRESHOLDS = {"standard": 0.50, "f1_optimized": 0.45, "balanced": 0.30, "high_sensitivity": 0.20,
                     "clinical_utility": 0.10}

@@ -7,6 +7,8 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.constants import POISSON_CUTS
+
 COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
@@ -157,10 +159,7 @@ def poisson_weight(row_key, replicate, seed: int = 12345) -> Column:
     for _ in range(3):
         u = (u * F.lit(48271).cast("bigint") + F.lit(11)) % mod
     x = u / F.lit(2147483647.0)
-    # fixed values: cumulative Poisson(1) probabilities for 0..7
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-            0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
     out = F.when(F.lit(False), F.lit(0))
-    for k, cut in enumerate(cuts):
+    for k, cut in enumerate(POISSON_CUTS):
         out = out.when(x < F.lit(cut), F.lit(k))
-    return out.otherwise(F.lit(len(cuts)))
+    return out.otherwise(F.lit(len(POISSON_CUTS)))

@@ -1,41 +1,99 @@
 """Bootstrap intervals by Poisson resampling.
 
 A row's weight in a replicate is a pure function of (row, replicate, seed), so replicates need
-no state, survive retries and are equal on every engine. Weighted rows are counted per
-(replicate, score) before the shuffle, and each replicate's curve is built in score buckets."""
+no state, survive retries and are equal on every engine. Rows are never repeated per replicate:
+they are shuffled once into score cells and ordered inside them, and a task carries vectors
+over all replicates along its cells. A score held by many rows has a cell of its own that is
+spread over many tasks. What reaches the driver is (cells x replicates) sums, a size set by the
+parameters."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import poisson_weight
+from tidewatch.functions.constants import POISSON_CUTS
+from tidewatch.functions.resample import curve_terms, runs
 from tidewatch.operators import metrics as M
-from tidewatch.operators.ranking import fit_edges
+from tidewatch.operators.ranking import cell_of, default_buckets, fit_cells, fit_edges
+from tidewatch.plans.lineage import cut_lineage
 
 METRICS = ("auc_roc", "average_precision", "brier_score", "accuracy", "precision", "recall", "specificity", "f1", "npv")
 
 
+SUMS = "m int, cell int, replicate int, pos long, neg long, area double, brier double, tp long, fp long"
+TERMS = "m int, replicate int, ap double, pr double"
+
+
+def _cells(df: DataFrame, row_key: str, models: list[str], y: str, n_boot: int) -> DataFrame:
+    """Rows (m, cell, piece, p, y, k) written once, each cell in one place and ordered by falling score."""
+    buckets = max(16, min(default_buckets(df), 1_000_000 // (n_boot * len(models))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scores = []
+    for m, c in enumerate(models):
+        edges, often = fit_cells(df, c, buckets)
+        p = F.col(c).cast("double")
+        alone = p.isin(often) if often else F.lit(False)
+        scores.append(F.struct(F.lit(m).alias("m"), cell_of(p, edges, often).alias("cell"), p.alias("p"),
+                               F.when(alone, F.pmod(F.xxhash64(row_key), F.lit(parts)).cast("int")).otherwise(0).alias("piece")))
+    rows = df.select(F.col(y).cast("bigint").alias("y"), F.col(row_key).cast("bigint").alias("k"), F.explode(F.array(*scores)).alias("s"))
+    rows = rows.select("s.m", "s.cell", "s.piece", "s.p", "y", "k").repartition(parts, "m", "cell", "piece")
+    return cut_lineage(rows.sortWithinPartitions("m", "cell", "piece", F.desc("p")))
+
+
 def replicate_metrics(df: DataFrame, row_key: str, *, n_boot: int, threshold: float = 0.5, seed: int = 12345,
                       models: dict[str, str] | None = None, y: str = "y", p: str = "p",
                       thresholds: dict[str, float] | None = None) -> DataFrame:
     """(replicate, model, metrics): with ``models`` (name -> score column) all scores share the
     same resamples, as a paired comparison needs."""
     models = models or {"model": p}
-    scores = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("p")) for m, c in models.items()])
-    reps = df.select(F.col(y).alias("y"), F.col(row_key).alias("_k"), scores.alias("_s"),
-                     F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate"))
-    reps = reps.withColumn("_w", poisson_weight("_k", "replicate", seed)).where("_w > 0")
-    long = reps.select("replicate", "y", "_w", F.explode("_s").alias("s")).select("replicate", "y", "_w", "s.model", "s.p")
-    keys = ["replicate", "model"]
-    edges = sorted({e for c in models.values() for e in fit_edges(df, c)})
-    points = M.curve(M.score_counts(long, keys, "y", "p", F.col("_w")), keys, edges)
-    return M.curve_metrics(points, keys, _cut(models, thresholds, threshold))
-
-
-def _cut(models: dict[str, str], thresholds: dict[str, float] | None, threshold: float) -> Column:
-    if not thresholds:
-        return F.lit(float(threshold))
+    names = list(models)
+    cuts, limits = POISSON_CUTS, [float((thresholds or {}).get(m, threshold)) for m in names]
+    rows = _cells(df, row_key, list(models.values()), y, n_boot)
+    reps = np.arange(1, n_boot + 1)
+
+    def sums(batches):
+        for (m, cell), r in runs(batches, n_boot, seed, cuts, limits, None):
+            yield pd.DataFrame({"m": m, "cell": cell, "replicate": reps, "pos": r.pos, "neg": r.neg, "area": r.area, "brier": r.brier,
+                                "tp": r.tp, "fp": r.fp})
+
+    part = rows.mapInPandas(sums, SUMS)
+    # pieces of one cell hold one score: their counts add up, and so does everything but the area
+    cells = part.groupBy("m", "cell", "replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "area", "brier", "tp", "fp")],
+                                                       F.count("*").alias("pieces")).toPandas()
+    single = {(m, c) for m, c in cells.loc[cells["pieces"] > 1, ["m", "cell"]].drop_duplicates().itertuples(index=False)}
+    starts, total = {}, {m: {k: np.zeros(n_boot) for k in ("pos", "neg", "auc", "ap", "pr", "brier", "tp", "fp")} for m in range(len(names))}
+    for m, own in cells.sort_values(["m", "cell", "replicate"]).groupby("m"):
+        t = total[m]
+        for cell, g in sorted(own.groupby("cell"), key=lambda x: -x[0]):
+            pos, neg = g["pos"].to_numpy(), g["neg"].to_numpy()
+            t["auc"] += t["pos"] * neg + (pos * neg / 2.0 if (m, cell) in single else g["area"].to_numpy())
+            if (m, cell) in single:
+                ap, pr = curve_terms(t["pos"] + pos, t["neg"] + neg, pos, neg)
+                t["ap"], t["pr"] = t["ap"] + ap, t["pr"] + pr
+            else:
+                starts[(int(m), int(cell))] = (t["pos"].copy(), t["neg"].copy())
+            for k in ("pos", "neg", "brier", "tp", "fp"):
+                t[k] = t[k] + g[k].to_numpy()
+
+    def terms(batches):
+        for (m, _), r in runs(batches, n_boot, seed, cuts, limits, starts):
+            yield pd.DataFrame({"m": m, "replicate": reps, "ap": r.ap, "pr": r.pr})
+
+    for r in rows.mapInPandas(terms, TERMS).groupBy("m", "replicate").agg(F.sum("ap").alias("ap"), F.sum("pr").alias("pr")).collect():
+        total[r.m]["ap"][r.replicate - 1] += r.ap
+        total[r.m]["pr"][r.replicate - 1] += r.pr
+    out = [(int(b), names[m], int(t["pos"][i]), int(t["neg"][i]), float(t["auc"][i]), float(t["ap"][i]), float(t["pr"][i]),
+            float(t["brier"][i]), int(t["tp"][i]), int(t["fp"][i]), limits[m])
+           for m, t in total.items() for i, b in enumerate(reps)]
+    table = df.sparkSession.createDataFrame(
+        out, "replicate int, model string, _P long, _N long, _auc double, _ap double, _pr double, _brier double, tp long, fp long, threshold double")
+    return M.finish_metrics(table, ["replicate", "model"], True)
+
+
+def _cut(models: dict[str, str], thresholds: dict[str, float]) -> Column:
     t = F.when(F.lit(False), F.lit(0.0))
     for m in models:
         t = t.when(F.col("model") == m, F.lit(float(thresholds[m])))
@@ -78,7 +136,7 @@ def paired_difference(df: DataFrame, row_key: str, *, metric: str, model_a: tupl
     scores = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("p")) for m, c in models.items()]))
     long = df.select(F.col(y).alias("y"), scores.alias("s")).select("y", "s.model", "s.p")
     edges = sorted({e for c in models.values() for e in fit_edges(df, c)})
-    full = M.curve_metrics(M.curve(M.score_counts(long, ["model"]), ["model"], edges), ["model"], _cut(models, cuts, 0.5))
+    full = M.curve_metrics(M.curve(M.score_counts(long, ["model"]), ["model"], edges), ["model"], _cut(models, cuts))
     est = full.agg(side(a).alias("estimate_a"), side(b).alias("estimate_b"))
     return est.crossJoin(stats).select(
         F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.lit(metric).alias("metric"), "estimate_a", "estimate_b",

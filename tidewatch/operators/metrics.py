@@ -47,14 +47,18 @@ def curve_metrics(points: DataFrame, groups: list[str] = (), threshold: Column |
     if threshold is not None:
         aggs += [F.sum(F.when(p >= threshold, pos).otherwise(0)).alias("tp"),
                  F.sum(F.when(p >= threshold, neg).otherwise(0)).alias("fp"), F.max(threshold).alias("threshold")]
-    g = points.groupBy(*groups).agg(*aggs)
+    return finish_metrics(points.groupBy(*groups).agg(*aggs), groups, threshold is not None)
+
+
+def finish_metrics(g: DataFrame, groups: list[str], with_counts: bool) -> DataFrame:
+    """Metrics from the sums of a curve."""
     P, N = F.col("_P"), F.col("_N")
     two = (P > 0) & (N > 0)
     out = [*groups, F.when(two, F.col("_auc") / (P.cast("double") * N)).alias("auc_roc"),
            F.when(two, F.col("_ap") / P).otherwise(F.lit(0.0)).alias("average_precision"),
            F.when(two, F.col("_pr") / P).alias("pr_auc"), ratio("_brier", P + N).alias("brier_score"),
            (P + N).alias("n"), ratio(P, P + N).alias("positive_rate")]
-    if threshold is not None:
+    if with_counts:
         tp_, fp_ = F.col("tp"), F.col("fp")
         out += [tp_, fp_, (P - tp_).alias("fn"), (N - fp_).alias("tn"), "threshold",
                 *[c.alias(k) for k, c in rates(tp_, fp_, P - tp_, N - fp_).items()]]

@@ -26,6 +26,23 @@ def fit_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[flo
     return sorted(set(row.e or []))
 
 
+def fit_cells(df: DataFrame, value: str, buckets: int) -> tuple[list[float], list[float]]:
+    """(edges, heavy): like ``fit_edges``, with the values so frequent that they repeat among the
+    cut points; each of those can get a cell of its own."""
+    probs = [i / buckets for i in range(1, buckets)]
+    raw = df.select(F.percentile_approx(F.col(value).cast("double"), probs, 5 * buckets).alias("e")).first().e or []
+    return sorted(set(raw)), sorted(v for v in set(raw) if raw.count(v) > 1)
+
+
+def cell_of(value, edges: list[float], heavy: list[float]) -> Column:
+    """Cell number, rising with the value; a heavy value is alone in its cell."""
+    value = F.col(value) if isinstance(value, str) else value
+    out = bucket_of(value, edges)
+    for h in heavy:
+        out = out + (value >= F.lit(h)).cast("int")
+    return out
+
+
 def bucket_of(value, edges: list[float], chunk: int = 32) -> Column:
     """Number of edges below the value, found through a coarse and a fine step."""
     value = F.col(value) if isinstance(value, str) else value
