@@ -24,6 +24,15 @@ def test_exact_quantiles_all_paths(spark):
         assert q["d"] == [None] * len(probs)
 
 
+def test_bucket_of(spark):
+    df = spark.range(0, 400).select((F.col("id") / 3).alias("v"))
+    for n in (1, 5, 97, 250):
+        edges = [i * 100 / n for i in range(n)]
+        got = df.select("v", ranking.bucket_of("v", edges).alias("b")).collect()
+        assert all(r.b == sum(e < r.v for e in edges) for r in got)
+    assert spark.range(1).select(ranking.bucket_of(F.lit(None), [1.0]), ranking.bucket_of(F.lit(None), list(map(float, range(200))))).first()[0] == -1
+
+
 def test_running_totals_and_ranks_with_a_hot_key(spark):
     rng = random.Random(2)
     rows = [(i, "g1" if i % 3 else "g2", 5.0 if rng.random() < 0.4 else round(rng.random() * 9, 1)) for i in range(900)]

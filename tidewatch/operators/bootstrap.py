@@ -39,7 +39,7 @@ def _cells(df: DataFrame, row_key: str, models: list[str], y: str, n_boot: int)
         scores.append(F.struct(F.lit(m).alias("m"), cell_of(p, edges, often).alias("cell"), p.alias("p"),
                                F.when(alone, F.pmod(F.xxhash64(row_key), F.lit(parts)).cast("int")).otherwise(0).alias("piece")))
     rows = df.select(F.col(y).cast("bigint").alias("y"), F.col(row_key).cast("bigint").alias("k"), F.explode(F.array(*scores)).alias("s"))
-    rows = rows.select("s.m", "s.cell", "s.piece", "s.p", "y", "k").repartition(parts, "m", "cell", "piece")
+    rows = rows.select("s.m", "s.cell", "s.piece", "s.p", "y", "k").repartition("m", "cell", "piece")
     return cut_lineage(rows.sortWithinPartitions("m", "cell", "piece", F.desc("p")))
 
 

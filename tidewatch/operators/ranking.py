@@ -7,6 +7,8 @@ of the buckets before it come back as a small offset table (buckets x groups row
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,22 +45,28 @@ def cell_of(value, edges: list[float], heavy: list[float]) -> Column:
     return out
 
 
-def bucket_of(value, edges: list[float], chunk: int = 32) -> Column:
-    """Number of edges below the value, found through a coarse and a fine step."""
+def bucket_of(value, edges: list[float], inline: int = 96) -> Column:
+    """Number of edges below the value, never NULL.
+
+    A few edges become plain comparisons inside the generated code. Many would outgrow a JVM
+    method, so they are held in arrays and found in two steps of about sqrt(n) comparisons."""
     value = F.col(value) if isinstance(value, str) else value
     value = value.cast("double")
     if not edges:
         return F.lit(0)
-    groups = [edges[i:i + chunk] for i in range(0, len(edges), chunk)]
-    out = F.lit(0)
-    fine = None
-    for i in range(len(groups) - 1, -1, -1):
-        here = F.lit(i * chunk) + sum(((value > F.lit(e)).cast("int") for e in groups[i][1:]),
-                                      (value > F.lit(groups[i][0])).cast("int"))
-        fine = here if fine is None else F.when(value <= F.lit(groups[i][-1]), here).otherwise(fine)
-    # never NULL: a nullable join key would be filtered below the aggregate on one side of a
-    # self-join only, and the shuffle of the counts could not be reused
-    return F.coalesce(out + fine, F.lit(-1))
+    if len(edges) <= inline:
+        out = sum(((value > F.lit(e)).cast("int") for e in edges[1:]), (value > F.lit(edges[0])).cast("int"))
+    else:
+        chunk = math.isqrt(len(edges)) + 1
+        groups = [edges[i:i + chunk] for i in range(0, len(edges), chunk)]
+        below = lambda arr: F.size(F.filter(arr, lambda e: e < value))
+        # full groups below the value, then the position inside the next one
+        full = below(F.array(*[F.lit(g[-1]) for g in groups]))
+        nested = F.array(*[F.array(*[F.lit(e) for e in g]) for g in groups], F.array().cast("array<double>"))
+        out = F.least(full * chunk, F.lit(len(edges))) + F.when(full < len(groups), below(nested[full])).otherwise(0)
+    # a nullable join key would be filtered below the aggregate on one side of a self-join only,
+    # and the shuffle of the counts could not be reused
+    return F.coalesce(out, F.lit(-1))
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, values: list[str], edges: list[float],
