@@ -6,14 +6,14 @@ from itertools import combinations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag, ratio
-from tidewatch.operators.clean import fit_rows
 from tidewatch.operators.guards import drop_irrelevant
-from tidewatch.operators.impute import apply_fill, fit_fill, missing_counts
+from tidewatch.operators.impute import apply_fill, fit_fill
 from tidewatch.operators.profile import numeric_columns, per_column
 from tidewatch.operators.ranking import exact_quantiles
 
@@ -184,7 +184,6 @@ def pca_reduce(df: DataFrame, columns: list[str], share: float = 0.8, key: str |
         total, k = total + float(v), k + 1
         if total >= share:
             break
-    from pyspark.ml.functions import vector_to_array
     out = model.transform(vec).withColumn("_a", vector_to_array("_pc"))
     return out.select(*([key] if key else []), *[F.col("_a")[i].alias(f"pc_{i + 1}") for i in range(k)])
 
@@ -203,11 +202,6 @@ def tree_recipe(df: DataFrame, label: str, k: int = 100, trees: int = 50) -> lis
     return [r.column_name for r in top_k(importance_scores(df, cols, label, trees), min(k, len(cols))).collect()]
 
 
-def missing_share(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    n, m = missing_counts(df, columns)
-    return {c: m[c] / n if n else 0.0 for c in columns}
-
-
 NAMED_PAIRS = {"age": "anchor_age", "duration_hours": "duration_hours_log"}
 
 
@@ -215,10 +209,6 @@ def drop_named_redundant(df: DataFrame) -> DataFrame:
     return df.drop(*[b for a, b in NAMED_PAIRS.items() if a in df.columns and b in df.columns])
 
 
-def rows_on(df: DataFrame, fit_on: Column | None) -> DataFrame:
-    return fit_rows(df, fit_on)
-
-
 def label_share(df: DataFrame, label: str) -> DataFrame:
     """Rows, positives and positive share."""
     return df.agg(F.count("*").alias("n"), F.sum(flag(F.col(label) == 1)).alias("positives"),

@@ -9,7 +9,7 @@ from tidewatch.operators import events as E
 from tidewatch.operators import joins as J
 from tidewatch.operators import windows as W
 from tidewatch.sources import tables as S
-from workload.base import (BIN, COHORT, EV, FIRST, HOURS, RECORD, SOURCES, STAYS, VARIABLES, event_cohort, line_events,
+from workload.base import (BIN, EV, FIRST, HOURS, RECORD, SOURCES, STAYS, VARIABLES, event_cohort, line_events,
                            long_events, order_stays, query, rounded, table, win_sql)
 
 ITEMS = {1: "first_line", 2: "second_line", 3: "third_line", 5: "fifth_line"}

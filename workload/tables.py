@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import flag
-from tidewatch.operators import clean, cohort, events, guards, impute, profile, scale, select, split, windows
-from workload.base import (COHORT, EV, FIRST, HOURS, SCORED, STAYS, WIDE_COLUMNS, event_cohort, long_events, order_stays,
-                           query, rounded, scored, table, wide, wide_sql, win_sql)
+from tidewatch.operators import clean, cohort, guards, impute, profile, scale, select, split, windows
+from workload.base import (HOURS, SCORED, WIDE_COLUMNS, event_cohort, long_events, query, rounded, scored, table, wide,
+                           wide_sql, win_sql)
 
 ALL = list(WIDE_COLUMNS)
 VITALS = ["heart_rate_mean", "sbp_mean", "dbp_mean", "map_mean", "resp_rate_mean", "temp_mean", "spo2_mean"]
