@@ -1,20 +1,46 @@
-"""Cutting long lineages of iterative jobs."""
+"""Cutting long lineages of iterative jobs, in a folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's ``spark.checkpoint.dir``.
+
+    Only a local master, as in tests, may do without: it gets a temporary folder, which is then
+    set for the session. On a cluster a local folder would scatter one table over many disks, so
+    an unset option is refused there."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getConf().get("spark.checkpoint.dir", "")
+    if not found:
+        found = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else ""
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tidewatch-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in
-    tests) a temporary one is used. Checkpoints outlive executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    Checkpoints outlive executors."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read again: computed once, however
+    often it is used, with column pruning and compression that a checkpoint lacks."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tidewatch-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -3,7 +3,6 @@ batch query gives the same rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -15,7 +14,7 @@ from tidewatch.operators.split import split_rows
 from tidewatch.plans import features as plan_features
 from tidewatch.plans import preprocess as plan_preprocess
 from tidewatch.plans import suite
-from tidewatch.plans.lineage import cut_lineage
+from tidewatch.plans.lineage import cut_lineage, shared_folder
 from tidewatch.streaming import windows as stream
 from workload.base import (BIN, HOURS, ORACLES, SOURCES, VARIABLES, event_cohort, long_events, query, rounded, scored, table, wide)
 
@@ -180,9 +179,8 @@ def _event_stream(spark, sf):
 
 
 def _folder(spark) -> str:
-    """A fresh folder under the shared checkpoint folder; a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidewatch-stream-")
+    """A fresh folder under the shared folder of the session."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_measurement_process", ORACLES["measurement_process"])
