@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,51 @@ def fold(key: str, parts: int) -> Column:
 def tasks(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, at least ``least``."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """Values of a text column, one Python object at a time."""
+    return (x.as_py() for x in column)
+
+
+def blocks(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``size`` characters."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t or "")
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def append(df: DataFrame, text: str, start: Callable, extra: str, uid: str | None = None) -> DataFrame:
+    """All rows and columns of ``df`` with more columns, made from the text column in Arrow batches.
+
+    ``start()`` runs once a task and gives a function from a list of texts to arrays, one for each of
+    the ``extra`` columns ("name type, ..."), which replace columns of the same name. Rows travel as
+    one struct, so their names and types don't matter. ``uid`` adds a number that tells rows apart;
+    it is only stable once the result is stored."""
+    names = [e.split()[0] for e in extra.split(",")]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in names and c != uid])
+    packed = df.select(row.alias("row"), F.col(f"`{text}`").alias("t"))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        at = TaskContext.get().partitionId() << 40
+        for b in batches:
+            made = make(list(texts_of(b.column(1))))
+            if uid:
+                made = [*made, pa.array(range(at, at + b.num_rows), pa.int64())]
+                at += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["row", *names, *([uid] if uid else [])])
+
+    # a struct type written out as text cannot hold every name, so the schema is built
+    schema = packed.select("row").schema
+    for e in extra.split(","):
+        schema = schema.add(*e.split())
+    if uid:
+        schema = schema.add(uid, "long")
+    return packed.mapInArrow(work, schema).select("row.*", *names, *([uid] if uid else []))

@@ -20,7 +20,6 @@ alike; an empty table gives an empty table; other columns are not looked at."""
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.base import append, blocks
+
 ROWS, PER_ROW, SYMBOLS = 400, 1000, 30_000
 STRETCH = 1024
 BLOCK = 4_000_000  # symbols parsed at once
@@ -184,25 +185,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit([(r.v, r.t) for r in found])
 
 
-def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row."""
+def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` with lang_pred and score (columns of these names are replaced)."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's size per language
-    kind = df.schema[doc_id].dataType.simpleString()
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            langs, scores, texts, size = [], [], [], 0
-            for i in range(b.num_rows + 1):
-                if i == b.num_rows or size >= BLOCK:
-                    v, s = m.predict(texts)
-                    langs += v
-                    scores.append(s)
-                    texts, size = [], 0
-                if i < b.num_rows:
-                    texts.append(b.column(1)[i].as_py())
-                    size += len(texts[-1] or "")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=["i", "lang_pred", "score"])
-
-    out = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInArrow(work, f"i {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("i", doc_id)
+
+    def start():
+        def make(texts):
+            langs, scores = [], []
+            for part in blocks(texts, BLOCK):
+                v, s = shared.value.predict(part)
+                langs += v
+                scores.append(s)
+            return [pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))]
+        return make
+
+    return append(df, text, start, "lang_pred string, score double")

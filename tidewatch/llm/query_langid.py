@@ -13,5 +13,5 @@ def model(docs):
 @query("op9_langid")
 def op9_langid(spark, sf):
     docs = table(spark, sf, "documents")
-    out = langid.identify(docs, model(docs))
+    out = langid.identify(docs.select("doc_id", "text"), model(docs))
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

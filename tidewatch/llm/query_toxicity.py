@@ -14,5 +14,5 @@ def model(docs, labels):
 @query("op4_toxicity")
 def op4_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
-    out = toxicity.score(docs, model(docs, table(spark, sf, "labels")))
+    out = toxicity.score(docs.select("doc_id", "text", "lang"), model(docs, table(spark, sf, "labels")))
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "flagged")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import tasks
+from tidewatch.llm.base import append, tasks
 from tidewatch.plans.lineage import stored
 
 SEED = 42
@@ -57,15 +57,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): one row per row; ``fp`` holds the 64 bits as a signed long."""
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["i", "fp"])
+def fingerprints(df: DataFrame, text: str = "text", words: int = 3, fp: str = "fp", uid: str | None = None) -> DataFrame:
+    """``df`` with its fingerprints: the 64 bits as a signed long."""
+    def start():
+        return lambda texts: [pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInArrow(work, f"i {kind}, fp long").withColumnRenamed("i", doc_id)
+    return append(df, text, start, f"{fp} long", uid)
 
 
 # --- the trie walk inside a task -----------------------------------------------------------------
@@ -293,12 +290,29 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                     node: int | None = None) -> DataFrame:
     """(id, fingerprint, component_id): ``fingerprint`` in 16 hex digits; ``component_id`` is the
     smallest id of the documents reachable by links of at most ``budget`` differing bits."""
-    docs = stored(fingerprints(df, doc_id, text, words), "fingerprints")
-    fps = stored(docs.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct-fingerprints")
+    rows = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
+    docs = stored(fingerprints(rows, "t", words).select("i", "fp"), "fingerprints")
+    fps = stored(docs.groupBy("fp").agg(F.min("i").alias("least")), "distinct-fingerprints")
     comp = components(links(fps, budget, node))
     # only fingerprints with a link need more than their own smallest id
     linked = comp.join(fps, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
     every = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(every, "fp").select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return docs.join(every, "fp").select(F.col("i").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3, node: int | None = None) -> DataFrame:
+    """Rows of ``df``, all columns, one of each group of near duplicates: that with the smallest id,
+    nulls last; of several rows with that id, any one."""
+    docs = stored(fingerprints(df, text, words, "_fp", "_uid"), "fingerprinted")
+    slim = docs.select(F.col("_fp").alias("fp"), "_uid", F.struct(F.col(doc_id).isNull(), F.col(doc_id), "_uid").alias("_k"))
+    first = slim.groupBy("fp").agg(F.min("_k").alias("_k"))
+    fps = stored(first, "distinct-fingerprints")
+    root = components(links(fps, budget, node))
+    linked = fps.join(root, "fp")
+    kept = linked.groupBy("root").agg(F.min("_k").alias("_k")).select(F.col("_k._uid").alias("_uid")).unionByName(
+        fps.join(root, "fp", "left_anti").select(F.col("_k._uid").alias("_uid")))
+    # what goes is usually less than what stays, and its keys may be few enough to broadcast
+    gone = stored(slim.select("_uid").join(kept, "_uid", "left_anti"), "duplicates")
+    return docs.join(gone, "_uid", "left_anti").drop("_fp", "_uid")
