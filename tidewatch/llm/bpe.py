@@ -12,7 +12,10 @@ so a text's ids are its words' ids, one after the other. Three steps:
 3. Join back. A block's ids and positions meet again; a document's ids are those of its words by
    position, and its decoded text joins ids to their pieces once per distinct word of the block.
 
-The split is stored in the shared folder, so a lost executor cannot change the blocks.
+Positions and words come from two passes over the documents, which is cheaper than keeping the split.
+The key of a block is a hash of its word list, and a block whose words are not all answered fails the
+job: so should the input come in another order the second time (it should be a stored table), no wrong
+ids can result.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; ids of rows may be null
 or repeat; an empty table gives an empty table; other columns are not looked at."""
@@ -27,13 +30,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.base import tasks
-from tidewatch.plans.lineage import stored
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BLOCK = 8_000_000  # bytes of text whose words share one list
@@ -75,9 +78,9 @@ def numbers(raw: memoryview) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def split_words(df: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(block, bucket, docs, data): per block its documents and word positions (bucket -1) and its
-    distinct words by bucket."""
+def split_words(df: DataFrame, buckets: int, positions: bool, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Per block of documents, with ``positions`` one row (block, docs, data) of its documents and their
+    words' positions, without it rows (block, bucket, data) of its distinct words by bucket."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,32 +99,35 @@ def split_words(df: DataFrame, buckets: int, doc_id: str = "doc_id", text: str =
             rank[order] = np.arange(len(order))
             words = list(index)
             words = [words[i] for i in order.tolist()]
+            own_key = pa.array([xxhash.xxh64_intdigest(b" ".join(words), number % (1 << 63)) - (1 << 63)], pa.int64())
+            if positions:
+                data = packed(planes(np.array([len(f) for f in found])), planes(rank[flat]))
+                return [pa.RecordBatch.from_arrays(
+                    [own_key, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, type_)), pa.array([data], pa.binary())],
+                    names=["block", "docs", "data"])]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            out = [(-1, ids, packed(planes(np.array([len(f) for f in found])), planes(rank[flat]) if len(flat) else b""))]
             by = np.argsort(bucket, kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
-                own = b" ".join([words[i] for i in part.tolist()])
-                out.append((int(bucket[part[0]]), None, packed(planes(np.diff(part, prepend=0)), own)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(out), pa.int64()), pa.array([o[0] for o in out], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(out), pa.int32()), pa.array(ids, type_)),
-                 pa.array([o[2] for o in out], pa.binary())], names=["block", "bucket", "docs", "data"])
+            parts = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []
+            out = [packed(planes(np.diff(part, prepend=0)), b" ".join([words[i] for i in part.tolist()])) for part in parts]
+            return [pa.RecordBatch.from_arrays(
+                [pa.array(own_key.to_pylist() * len(out), pa.int64()), pa.array([int(bucket[part[0]]) for part in parts], pa.int32()), pa.array(out, pa.binary())],
+                names=["block", "bucket", "data"])]
 
         for b in batches:
             type_ = b.column(0).type
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 if size + len(t) > block and texts:
-                    yield rows()
+                    yield from rows()
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
         if texts:
-            yield rows()
+            yield from rows()
 
     return df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInArrow(
-        work, f"block long, bucket int, docs array<{kind}>, data binary")
+        work, f"block long, docs array<{kind}>, data binary" if positions else "block long, bucket int, data binary")
 
 
 def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
@@ -149,11 +155,12 @@ def encode(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """(id, n_tokens, ids, decoded): ``ids`` as little-endian unsigned 32-bit numbers, as
     the library's encode without special tokens gives them, ``decoded`` as its decode with special tokens kept."""
     buckets = tasks(df)
-    found = stored(split_words(df, buckets, doc_id, text, block), "words")
     kind = df.schema[doc_id].dataType.simpleString()
-    coded = encode_words(found.where("bucket >= 0"), tokenizer, buckets)
-    docs = found.where("bucket < 0").select("block", "docs", "data")
-    parts = max(buckets, docs.count() // 4)  # a few blocks to a task
+    coded = encode_words(split_words(df, buckets, False, doc_id, text, block), tokenizer, buckets)
+    docs = split_words(df, buckets, True, doc_id, text, block)
+    # a few blocks to a task, by the size of the scanned files
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if df.inputFiles() else 0
+    parts = max(buckets, min(size, 1 << 50) // (2 * BLOCK))
     answer = coded.repartition(parts, "block").groupBy("block").agg(F.collect_list("ids").alias("ids"))
     both = docs.repartition(parts, "block").join(answer, "block", "left").select("docs", "data", "ids")
 
@@ -174,6 +181,8 @@ def _joined(docs: pa.Array, data: bytes, answers: list[bytes], pieces: list[str]
     at = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
     number = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     ids = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
+    if len(at) != (int(flat.max()) + 1 if len(flat) else 0):
+        raise RuntimeError("a block's words are not all encoded: the documents came in another order the second time; store them first")
     n, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     n[at], start[at] = number, np.cumsum(number) - number
     listed, words = ids.tolist(), [""] * len(at)
