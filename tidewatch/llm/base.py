@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,22 +56,29 @@ def blocks(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
         yield part
 
 
-def append(df: DataFrame, text: str, start: Callable, extra: str, uid: str | None = None) -> DataFrame:
-    """All rows and columns of ``df`` with more columns, made from the text column in Arrow batches.
+def sampled(hash_: Column, fraction: float) -> Column:
+    """Whether a row's hash falls into the first ``fraction`` of its range: a sample that needs no sort."""
+    return F.pmod(hash_, F.lit(1 << 30)) < F.lit(min(1 << 30, int(fraction * (1 << 30)) + 1))
 
-    ``start()`` runs once a task and gives a function from a list of texts to arrays, one for each of
+
+def append(df: DataFrame, text: str | list[str], start: Callable, extra: str, uid: str | None = None) -> DataFrame:
+    """All rows and columns of ``df`` with more columns, made from the text column (or several columns) in Arrow batches.
+
+    ``start()`` runs once a task and gives a function from a list of values per column to arrays, one for each of
     the ``extra`` columns ("name type, ..."), which replace columns of the same name. Rows travel as
     one struct, so their names and types don't matter. ``uid`` adds a number that tells rows apart;
     it is only stable once the result is stored."""
-    names = [e.split()[0] for e in extra.split(",")]
+    added = StructType.fromDDL(extra)
+    names = added.names
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in names and c != uid])
-    packed = df.select(row.alias("row"), F.col(f"`{text}`").alias("t"))
+    read = [text] if isinstance(text, str) else text
+    packed = df.select(row.alias("row"), *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(read)])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         at = TaskContext.get().partitionId() << 40
         for b in batches:
-            made = make(list(texts_of(b.column(1))))
+            made = make(*[list(texts_of(b.column(1 + i))) for i in range(len(read))])
             if uid:
                 made = [*made, pa.array(range(at, at + b.num_rows), pa.int64())]
                 at += b.num_rows
@@ -78,8 +86,8 @@ def append(df: DataFrame, text: str, start: Callable, extra: str, uid: str | Non
 
     # a struct type written out as text cannot hold every name, so the schema is built
     schema = packed.select("row").schema
-    for e in extra.split(","):
-        schema = schema.add(*e.split())
+    for f in added.fields:
+        schema = schema.add(f)
     if uid:
         schema = schema.add(uid, "long")
     return packed.mapInArrow(work, schema).select("row.*", *names, *([uid] if uid else []))
