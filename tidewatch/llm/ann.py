@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import vectors
+from tidewatch.llm.base import sampled
 from tidewatch.plans.lineage import stored
 
 DIMS, SURE, HOME = 8, 0.98, 2
@@ -158,7 +159,8 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id"
     data = vectors.distinct(rows, k + 1)
     data = stored(data, "vectors")
     n = data.count()
-    sample = data.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toPandas()
+    some = data.where(sampled(F.xxhash64("v"), 1.3 * SAMPLE / n)) if n > 2 * SAMPLE else data
+    sample = some.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = vectors.matrix(sample["v"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import append, blocks
+from tidewatch.llm.base import append, blocks, sampled
 
 ROWS, PER_ROW, SYMBOLS = 400, 1000, 30_000
 STRETCH = 1024
@@ -179,6 +179,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Fit on a bounded sample of ``docs``, which holds the training rows only."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("v"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id)).alias("h"))
+    # some more than are needed of each language are picked by hash, so that few rows are ranked
+    counts = {r.v: r.n for r in rows.groupBy("v").agg(F.count("*").alias("n")).collect()}
+    picked = F.lit(True)
+    for v, n in counts.items():
+        if n > 4 * ROWS:
+            picked = F.when(F.col("v") == v, sampled(F.col("h"), 2 * ROWS / n)).otherwise(picked)
+    rows = rows.where(picked)
     rank = F.row_number().over(Window.partitionBy("v").orderBy("h", "t"))
     cut = F.substring("t", 1, 8 * PER_ROW)  # more than the sample takes of a row
     found = rows.withColumn("r", rank).where(F.col("r") <= ROWS).select("v", cut.alias("t"), "r").orderBy("v", "r").collect()
