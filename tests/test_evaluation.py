@@ -5,8 +5,10 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from tidewatch.functions.constants import POISSON_CUTS
 from tidewatch.functions.exprs import poisson_weight
-from tidewatch.operators import bootstrap, calibrate, ensemble, metrics, profile, results, subgroups, thresholds
+from tidewatch.functions.resample import weights
+from tidewatch.operators import bootstrap, calibrate, ensemble, metrics, profile, results, split, subgroups, thresholds
 
 SCHEMA = "y int, p double"
 
@@ -104,6 +106,58 @@ def test_poisson_weights(spark):
     w = spark.range(4000).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(20)))).select("id", "b", poisson_weight("id", "b").alias("w"))
     s = w.agg(F.avg("w"), F.var_pop("w")).first()
     assert s[0] == pytest.approx(1.0, abs=0.02) and s[1] == pytest.approx(1.0, abs=0.04)
+    keys = np.array([0, 1, 5, 1 << 33, (1 << 40) + 7, -3])
+    got = weights(keys, np.arange(1, 40), 99, POISSON_CUTS)
+    df = spark.createDataFrame([(i, int(k)) for i, k in enumerate(keys)], "i long, id long").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(39))))
+    assert all(got[r.i, r.b - 1] == r.w for r in df.select("i", "b", poisson_weight("id", "b", 99).alias("w")).collect())
+
+
+@pytest.mark.parametrize("seed", [1, 12345, 777])
+@pytest.mark.parametrize("keys", ["consecutive", "strided", "random", "high"])
+def test_resamples_spread_as_they_should(seed, keys):
+    """Spread of size, mean and AUC over 1000 replicates against their known values; no lag correlation."""
+    n, rng = 2000, np.random.default_rng(4)
+    k = {"consecutive": np.arange(n), "strided": np.arange(n) * 4096, "random": rng.integers(0, 1 << 62, n), "high": np.arange(n) << 32}[keys]
+    w = weights(k, np.arange(1, 1001), seed, POISSON_CUTS)
+    x = rng.normal(size=n)
+    size, mean = w.sum(axis=0), (w * x[:, None]).sum(axis=0) / w.sum(axis=0)
+    assert size.std() / np.sqrt(n) == pytest.approx(1.0, abs=0.08)
+    assert mean.std() / (x.std() / np.sqrt(n)) == pytest.approx(1.0, abs=0.08)
+    for s in (size, mean):
+        assert abs(np.corrcoef(s[1:], s[:-1])[0, 1]) < 0.1
+    y, p = rng.random(n) < 0.4, np.sort(rng.random(n))
+    pos, neg = w * y[:, None], w * ~y[:, None]
+    below = np.cumsum(neg, axis=0) - neg / 2
+    auc = (pos * below).sum(axis=0) / (pos.sum(axis=0) * neg.sum(axis=0))
+    g = np.random.default_rng(8)
+    ref = []
+    for _ in range(1000):
+        v = g.poisson(1.0, n)
+        a, b = v * y, v * ~y
+        ref.append((a * (np.cumsum(b) - b / 2)).sum() / (a.sum() * b.sum()))
+    assert auc.std() / np.std(ref) == pytest.approx(1.0, abs=0.1)
+
+
+def test_null_keys_and_labels_are_kept(spark):
+    rng = random.Random(3)
+    rows = [(i, None if i % 5 == 0 else f"g{i % 2}", None if i % 4 == 0 else i % 2, rng.random(), None if i % 10 == 0 else float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, g string, y int, p double, v double")
+    full = df.where("y IS NOT NULL")
+    assert {r.g: r.n for r in metrics.binary_metrics(full, groups=["g"]).collect()} == {r.g: r["count"] for r in full.groupBy("g").count().collect()}
+    assert {r.g for r in thresholds.threshold_table(full.withColumnRenamed("g", "model_name"), ["model_name"]).select(F.col("model_name").alias("g")).collect()} == {None, "g0", "g1"}
+    alone = calibrate.calibration_slope(full.where("g IS NULL").drop("g")).first()
+    by = {r.g: r for r in calibrate.calibration_slope(full, ["g"]).collect()}
+    assert by[None].calibration_slope == pytest.approx(alone.calibration_slope, rel=1e-6)
+    q = subgroups.rank_quartile(df, "v", "k").collect()
+    assert len(q) == 100 and all((r.quartile is None) == (r.v is None) for r in q) and {r.quartile for r in q} == {None, 1, 2, 3, 4}
+    over = split.resample(df, "y", "k", how="over").groupBy("y").count().collect()
+    assert {r.y for r in over} == {None, 0, 1} and len({r["count"] for r in over}) == 1
+    with pytest.raises(Exception, match="needs a label"):
+        split.split_rows(df, "k", "y").collect()
+    text = split.split_rows(df.where("g IS NOT NULL"), "k", "g").collect()
+    assert len(text) == 80
+    sure = spark.createDataFrame([(int(i > 10), i / 21) for i in range(1, 21)], "y int, p double")
+    assert calibrate.newton_logistic(metrics.score_counts(sure).withColumn("x", F.col("p")), [], "x", ridge=0.0, steps=15).first().slope is None
 
 
 def test_bootstrap(spark):

@@ -17,7 +17,7 @@ def test_exact_quantiles_all_paths(spark):
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     arr = {c: np.array([r[i] for r in rows if r[i] is not None], dtype=float) for i, c in enumerate("abc")}
-    for options in ({}, {"small": 0}, {"small": 0, "accuracy": 50, "limit": 10}):
+    for options in ({}, {"limit": 10}, {"accuracy": 50, "limit": 10}, {"accuracy": 50, "limit": 1}):
         q = ranking.exact_quantiles(df, list("abcd"), probs, **options)
         for c in "abc":
             assert q[c] == pytest.approx(np.quantile(arr[c], probs).tolist(), abs=1e-9)

@@ -268,3 +268,5 @@ NAMED_THRESHOLDS = {"standard": 0.50, "f1_optimized": 0.45, "balanced": 0.30, "h
 RESULT_FIELDS = ["model_name", "split", "auc_roc", "average_precision", "brier_score", "threshold_policy",
                  "threshold", "accuracy", "precision", "recall", "specificity", "f1", "npv", "n", "positive_rate"]
 POLICIES = ["high_sensitivity", "balanced_f1", "high_precision"]
+# fixed values: odd multipliers below 2^31 (products of two stay in 63 bits) and a constant of the resampling hash
+MIX = (0x21F0AAAD, 0x735A2D97, 0x3C6EF372)

@@ -7,7 +7,7 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.constants import POISSON_CUTS
+from tidewatch.functions.constants import MIX, POISSON_CUTS
 
 COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
@@ -153,12 +153,21 @@ def hash_fraction(*parts) -> Column:
 
 def poisson_weight(row_key, replicate, seed: int = 12345) -> Column:
     """Poisson(1) resampling weight of a row in a replicate, from integer arithmetic only."""
-    mod = F.lit(2147483647).cast("bigint")
-    u = (F.pmod(col(row_key), F.lit(1000003).cast("bigint")) * F.lit(48271) + col(replicate) * F.lit(69621)
-         + F.lit(seed)) % mod
-    for _ in range(3):
-        u = (u * F.lit(48271).cast("bigint") + F.lit(11)) % mod
-    x = u / F.lit(2147483647.0)
+    mask = F.lit(4294967295).cast("bigint")
+
+    def mix(x: Column) -> Column:
+        # each step uses its input twice, so it is bound once by a one-element array
+        def step(x: Column, shift: int, factor: int) -> Column:
+            return F.transform(F.array(x), lambda v: (v.bitwiseXOR(F.shiftright(v, shift)) * F.lit(factor).cast("bigint")).bitwiseAND(mask))[0]
+        return step(step(step(x, 16, MIX[0]), 15, MIX[1]), 15, 1)
+
+    key = col(row_key).cast("bigint")
+    low, high = key.bitwiseAND(mask), F.shiftright(key, 32).bitwiseAND(mask)
+    s = mix(F.lit(seed).cast("bigint").bitwiseAND(mask))
+    a = mix(mix(low.bitwiseXOR(s)).bitwiseXOR(high))
+    b = mix(mix(low.bitwiseXOR(mix(s.bitwiseXOR(F.lit(MIX[2]).cast("bigint"))))).bitwiseXOR(high))
+    r = mix(col(replicate).cast("bigint").bitwiseXOR(s))
+    x = mix(mix(a.bitwiseXOR(r)).bitwiseXOR(b)) / F.lit(4294967296.0)
     out = F.when(F.lit(False), F.lit(0))
     for k, cut in enumerate(POISSON_CUTS):
         out = out.when(x < F.lit(cut), F.lit(k))

@@ -5,6 +5,7 @@ one (model, cell, piece) it keeps vectors over the replicates, never the rows.""
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -12,15 +13,32 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
+from tidewatch.functions.constants import MIX
+
 BLOCK_CELLS = 2_000_000  # rows x replicates worked on at once
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Mix the bits of 32-bit numbers: shifts and odd multipliers in turn, so no affine structure stays."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX[0])
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(15))
+
+
 def weights(keys: np.ndarray, replicates: np.ndarray, seed: int, cuts: list[float]) -> np.ndarray:
-    """Poisson(1) weights, rows x replicates: the same integers as the column expression."""
-    u = ((keys.astype(np.int64) % 1000003)[:, None] * 48271 + replicates[None, :] * 69621 + seed) % 2147483647
-    for _ in range(3):
-        u = (u * 48271 + 11) % 2147483647
-    return np.searchsorted(np.asarray(cuts), u / 2147483647.0, side="right").astype(np.int64)
+    """Poisson(1) weights, rows x replicates: the same integers as the column expression.
+
+    Both halves of the 64-bit key enter two independent row hashes; each replicate mixes them anew."""
+    k = np.asarray(keys, np.int64).view(np.uint64)
+    low, high = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(32)).astype(np.uint32)
+    s = mix(np.array([seed & 0xFFFFFFFF], np.uint32))
+    a, b = mix(mix(low ^ s) ^ high), mix(mix(low ^ mix(s ^ np.uint32(MIX[2]))) ^ high)
+    r = mix(np.asarray(replicates).astype(np.uint32) ^ s)
+    u = mix(mix(a[:, None] ^ r[None, :]) ^ b[:, None])
+    out = np.zeros(u.shape, np.int64)
+    for c in cuts:
+        out += u >= np.uint32(min(math.ceil(c * 4294967296.0), 4294967295))
+    return out
 
 
 class Run:

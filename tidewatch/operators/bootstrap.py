@@ -4,92 +4,103 @@ A row's weight in a replicate is a pure function of (row, replicate, seed), so r
 no state, survive retries and are equal on every engine. Rows are never repeated per replicate:
 they are shuffled once into score cells and ordered inside them, and a task carries vectors
 over all replicates along its cells. A score held by many rows has a cell of its own that is
-spread over many tasks. What reaches the driver is (cells x replicates) sums, a size set by the
-parameters."""
+spread over many tasks. Nothing but edges of cells reaches the driver."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.constants import POISSON_CUTS
-from tidewatch.functions.resample import curve_terms, runs
+from tidewatch.functions.resample import runs
 from tidewatch.operators import metrics as M
-from tidewatch.operators.ranking import cell_of, default_buckets, fit_cells, fit_edges
-from tidewatch.plans.lineage import cut_lineage
+from tidewatch.operators.ranking import cell_of, fit_cells, fit_edges
+from tidewatch.plans.lineage import stored
 
 METRICS = ("auc_roc", "average_precision", "brier_score", "accuracy", "precision", "recall", "specificity", "f1", "npv")
 
 
-SUMS = "m int, cell int, replicate int, pos long, neg long, area double, brier double, tp long, fp long"
+SUMS = "m int, cell int, piece int, replicate int, pos long, neg long, area double, brier double, tp long, fp long"
 TERMS = "m int, replicate int, ap double, pr double"
+PER_CELL = 20_000  # rows of a cell, about
 
 
-def _cells(df: DataFrame, row_key: str, models: list[str], y: str, n_boot: int) -> DataFrame:
-    """Rows (m, cell, piece, p, y, k) written once, each cell in one place and ordered by falling score."""
-    buckets = max(16, min(default_buckets(df), 1_000_000 // (n_boot * len(models))))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _cells(df: DataFrame, row_key: str, models: list[str], y: str) -> DataFrame:
+    """Rows (m, cell, piece, p, y, k) written once, each cell in one place and ordered by falling score.
+
+    The number of cells follows the number of rows; a score that fills cells by itself is one cell,
+    cut into pieces by the row key."""
+    size = df.count()
+    buckets = max(16, size // PER_CELL)
+    parts = max(1, min(size // PER_CELL, 1 << 20))
     scores = []
     for m, c in enumerate(models):
         edges, often = fit_cells(df, c, buckets)
         p = F.col(c).cast("double")
         alone = p.isin(often) if often else F.lit(False)
         scores.append(F.struct(F.lit(m).alias("m"), cell_of(p, edges, often).alias("cell"), p.alias("p"),
-                               F.when(alone, F.pmod(F.xxhash64(row_key), F.lit(parts)).cast("int")).otherwise(0).alias("piece")))
+                               F.when(alone, F.pmod(F.xxhash64(row_key), F.lit(parts)).cast("int")).otherwise(0).alias("piece"),
+                               alone.alias("alone")))
     rows = df.select(F.col(y).cast("bigint").alias("y"), F.col(row_key).cast("bigint").alias("k"), F.explode(F.array(*scores)).alias("s"))
-    rows = rows.select("s.m", "s.cell", "s.piece", "s.p", "y", "k").repartition("m", "cell", "piece")
-    return cut_lineage(rows.sortWithinPartitions("m", "cell", "piece", F.desc("p")))
+    rows = rows.select("s.m", "s.cell", "s.piece", "s.p", "s.alone", "y", "k").repartition("m", "cell", "piece")
+    return stored(rows.sortWithinPartitions("m", "cell", "piece", F.desc("p")), "cells")
 
 
 def replicate_metrics(df: DataFrame, row_key: str, *, n_boot: int, threshold: float = 0.5, seed: int = 12345,
                       models: dict[str, str] | None = None, y: str = "y", p: str = "p",
                       thresholds: dict[str, float] | None = None) -> DataFrame:
     """(replicate, model, metrics): with ``models`` (name -> score column) all scores share the
-    same resamples, as a paired comparison needs."""
+    same resamples, as a paired comparison needs.
+
+    Cells meet in Spark: running totals over the cells of each (model, replicate) give what stands
+    above a cell, and go back to the cells' tasks for the terms of the precision curve."""
     models = models or {"model": p}
     names = list(models)
     cuts, limits = POISSON_CUTS, [float((thresholds or {}).get(m, threshold)) for m in names]
-    rows = _cells(df, row_key, list(models.values()), y, n_boot)
+    rows = _cells(df, row_key, list(models.values()), y)
     reps = np.arange(1, n_boot + 1)
 
-    def sums(batches):
-        for (m, cell), r in runs(batches, n_boot, seed, cuts, limits, None):
-            yield pd.DataFrame({"m": m, "cell": cell, "replicate": reps, "pos": r.pos, "neg": r.neg, "area": r.area, "brier": r.brier,
-                                "tp": r.tp, "fp": r.fp})
+    def sums(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (m, cell), r in runs([pdf.sort_values("p", ascending=False, kind="stable")], n_boot, seed, cuts, limits, None):
+            out.append(pd.DataFrame({"m": m, "cell": cell, "piece": keys[2], "replicate": reps, "pos": r.pos, "neg": r.neg, "area": r.area,
+                                     "brier": r.brier, "tp": r.tp, "fp": r.fp}))
+        return pd.concat(out)
 
-    part = rows.mapInPandas(sums, SUMS)
+    part = stored(rows.groupBy("m", "cell", "piece").applyInPandas(sums, SUMS), "cell-sums")
+    single = rows.select("m", "cell", "alone").distinct()
     # pieces of one cell hold one score: their counts add up, and so does everything but the area
-    cells = part.groupBy("m", "cell", "replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "area", "brier", "tp", "fp")],
-                                                       F.count("*").alias("pieces")).toPandas()
-    single = {(m, c) for m, c in cells.loc[cells["pieces"] > 1, ["m", "cell"]].drop_duplicates().itertuples(index=False)}
-    starts, total = {}, {m: {k: np.zeros(n_boot) for k in ("pos", "neg", "auc", "ap", "pr", "brier", "tp", "fp")} for m in range(len(names))}
-    for m, own in cells.sort_values(["m", "cell", "replicate"]).groupby("m"):
-        t = total[m]
-        for cell, g in sorted(own.groupby("cell"), key=lambda x: -x[0]):
-            pos, neg = g["pos"].to_numpy(), g["neg"].to_numpy()
-            t["auc"] += t["pos"] * neg + (pos * neg / 2.0 if (m, cell) in single else g["area"].to_numpy())
-            if (m, cell) in single:
-                ap, pr = curve_terms(t["pos"] + pos, t["neg"] + neg, pos, neg)
-                t["ap"], t["pr"] = t["ap"] + ap, t["pr"] + pr
-            else:
-                starts[(int(m), int(cell))] = (t["pos"].copy(), t["neg"].copy())
-            for k in ("pos", "neg", "brier", "tp", "fp"):
-                t[k] = t[k] + g[k].to_numpy()
-
-    def terms(batches):
-        for (m, _), r in runs(batches, n_boot, seed, cuts, limits, starts):
-            yield pd.DataFrame({"m": m, "replicate": reps, "ap": r.ap, "pr": r.pr})
-
-    for r in rows.mapInPandas(terms, TERMS).groupBy("m", "replicate").agg(F.sum("ap").alias("ap"), F.sum("pr").alias("pr")).collect():
-        total[r.m]["ap"][r.replicate - 1] += r.ap
-        total[r.m]["pr"][r.replicate - 1] += r.pr
-    out = [(int(b), names[m], int(t["pos"][i]), int(t["neg"][i]), float(t["auc"][i]), float(t["ap"][i]), float(t["pr"][i]),
-            float(t["brier"][i]), int(t["tp"][i]), int(t["fp"][i]), limits[m])
-           for m, t in total.items() for i, b in enumerate(reps)]
-    table = df.sparkSession.createDataFrame(
-        out, "replicate int, model string, _P long, _N long, _auc double, _ap double, _pr double, _brier double, tp long, fp long, threshold double")
+    cells = part.groupBy("m", "cell", "replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "area", "brier", "tp", "fp")])
+    above = Window.partitionBy("m", "replicate").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.join(single, ["m", "cell"]).withColumns({f"{c}0": F.coalesce(F.sum(c).over(above), F.lit(0)) for c in ("pos", "neg")})
+    tp, seen0 = F.col("pos0") + F.col("pos"), (F.col("pos0") + F.col("neg0")).cast("double")
+    seen = (tp + F.col("neg0") + F.col("neg")).cast("double")
+    precision = F.when(seen > 0, tp / seen).otherwise(0.0)
+    before = F.when(seen0 > 0, F.col("pos0") / seen0).otherwise(1.0)
+    alone = lambda x: F.sum(F.when(F.col("alone"), x).otherwise(0.0))
+    area = F.when(F.col("alone"), F.col("pos") * F.col("neg") / 2.0).otherwise(F.col("area"))
+    total = cells.groupBy("m", "replicate").agg(
+        *[F.sum(c).alias(c) for c in ("pos", "neg", "brier", "tp", "fp")], F.sum(F.col("pos0") * F.col("neg") + area).alias("auc"),
+        alone(F.col("pos") * precision).alias("ap1"), alone(F.col("pos") * (precision + before) / 2.0).alias("pr1"))
+    starts = cells.where(~F.col("alone")).groupBy("m", "cell").agg(F.array_sort(F.collect_list(F.struct("replicate", "pos0", "neg0"))).alias("s"))
+    starts = starts.select("m", "cell", F.transform("s", lambda x: x["pos0"]).alias("pos0"), F.transform("s", lambda x: x["neg0"]).alias("neg0"))
+
+    def terms(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        at = {(int(r.m), int(r.cell)): (np.asarray(r.pos0, np.int64), np.asarray(r.neg0, np.int64)) for r in start.itertuples()}
+        out = [pd.DataFrame({"m": m, "replicate": reps, "ap": r.ap, "pr": r.pr})
+               for (m, _), r in runs([pdf.sort_values("p", ascending=False, kind="stable")], n_boot, seed, cuts, limits, at)]
+        return pd.concat(out) if out else pd.DataFrame({"m": [], "replicate": [], "ap": [], "pr": []})
+
+    curve = rows.where(~F.col("alone")).groupBy("m", "cell").cogroup(starts.groupBy("m", "cell")).applyInPandas(terms, TERMS)
+    curve = curve.groupBy("m", "replicate").agg(F.sum("ap").alias("ap2"), F.sum("pr").alias("pr2"))
+    known = F.create_map(*[x for m, n in enumerate(names) for x in (F.lit(m), F.struct(F.lit(n).alias("n"), F.lit(limits[m]).alias("t")))])[F.col("m")]
+    both = total.join(curve, ["m", "replicate"], "left").withColumn("_k", known)
+    add = lambda a, b: F.coalesce(F.col(a), F.lit(0.0)) + F.coalesce(F.col(b), F.lit(0.0))
+    table = both.select(F.col("replicate").cast("int").alias("replicate"), F.col("_k.n").alias("model"), F.col("pos").alias("_P"), F.col("neg").alias("_N"),
+                        F.col("auc").cast("double").alias("_auc"), add("ap1", "ap2").alias("_ap"), add("pr1", "pr2").alias("_pr"),
+                        F.col("brier").alias("_brier"), "tp", "fp", F.col("_k.t").alias("threshold"))
     return M.finish_metrics(table, ["replicate", "model"], True)
 
 

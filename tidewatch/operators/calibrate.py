@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import clip, logit, sigmoid
 from tidewatch.operators import metrics as M
+from tidewatch.operators.joins import null_safe_join
 from tidewatch.plans.lineage import cut_lineage
 
 
-def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: float = 1e-6, steps: int = 25,
+def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: float = 1e-6, steps: int = 100,
                     tolerance: float = 1e-10) -> DataFrame:
-    """(groups, intercept, slope) of y on x from (groups, x, pos, neg) rows.
+    """(groups, intercept, slope) of y on x from (groups, x, pos, neg) rows; NULL where a group has
+    one class or, as with separable data, the steps do not converge.
 
     ``ridge`` penalises the slope only (1/C). A step is one map-side combined aggregate of seven
     sums per group; only those sums and the coefficients, one row per group of the report, pass
@@ -33,36 +35,38 @@ def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: floa
             data = counts.withColumns({"_a": F.lit(0.0), "_b": F.lit(0.0)})
         else:
             known = spark.createDataFrame([(*k, *v) for k, v in coef.items() if v[0] is not None], schema)
-            data = counts.join(known, groups) if groups else counts.crossJoin(F.broadcast(known))
+            data = null_safe_join(counts, known, groups) if groups else counts.crossJoin(F.broadcast(known))
         mu = sigmoid(F.col("_a") + F.col("_b") * X)
         w, g = n * mu * (1 - mu), F.col("pos") - n * mu
         rows = data.groupBy(*groups).agg(
             F.sum(w).alias("h00"), F.sum(w * X).alias("h01"), F.sum(w * X * X).alias("h11"), F.sum(g).alias("g0"),
             F.sum(g * X).alias("g1"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
-        moved = 0.0
+        moving = set()
         for r in rows:
             key = tuple(r[k] for k in groups)
             a, b = coef.get(key, (0.0, 0.0))
             h11, g1 = r.h11 + ridge if r.h11 is not None else None, (r.g1 or 0.0) - ridge * b
             det = r.h00 * h11 - r.h01 * r.h01 if r.pos and r.neg else 0.0
             if not det:
-                coef[key] = (None, None) if not (r.pos and r.neg) else (a, b)
+                coef[key] = (None, None)
                 continue
             da, db = (h11 * r.g0 - r.h01 * g1) / det, (r.h00 * g1 - r.h01 * r.g0) / det
             coef[key] = (a + da, b + db)
-            moved = max(moved, abs(da), abs(db))
-        if moved < tolerance:
+            if not max(abs(da), abs(db)) < tolerance * max(1.0, abs(a), abs(b)):
+                moving.add(key)
+        if not moving:
             break
+    coef.update(dict.fromkeys(moving, (None, None)))
     return spark.createDataFrame([(*k, *v) for k, v in coef.items()], schema).withColumnsRenamed({"_a": "intercept", "_b": "slope"})
 
 
-def calibration_slope(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p", steps: int = 25) -> DataFrame:
+def calibration_slope(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p", steps: int = 100) -> DataFrame:
     """Calibration intercept and slope: logistic regression of y on logit(p), near-unpenalised;
     NULL for a group with one class."""
     return slope_of_counts(M.score_counts(df, groups, y, p), list(groups), steps)
 
 
-def slope_of_counts(counts: DataFrame, groups: list[str], steps: int = 25) -> DataFrame:
+def slope_of_counts(counts: DataFrame, groups: list[str], steps: int = 100) -> DataFrame:
     fit = newton_logistic(counts.withColumn("x", logit("p")), groups, "x", ridge=1e-6, steps=steps)
     return fit.withColumnsRenamed(
         {"intercept": "calibration_intercept", "slope": "calibration_slope"})
@@ -72,7 +76,7 @@ def calibration_summary(df: DataFrame, groups: list[str] = (), y: str = "y", p:
     """Brier, expected calibration error, intercept and slope per group."""
     groups = list(groups)
     a, b, c = M.brier(df, groups, y, p), M.ece(df, groups, n_bins, y, p), calibration_slope(df, groups, y, p)
-    return a.join(b, groups).join(c, groups) if groups else a.crossJoin(b).crossJoin(c)
+    return null_safe_join(null_safe_join(a, b, groups), c, groups)
 
 
 def _require_two_classes(valid: DataFrame, y: str) -> None:
@@ -83,7 +87,7 @@ def _require_two_classes(valid: DataFrame, y: str) -> None:
         raise ValueError("calibration needs both outcome classes in the validation labels")
 
 
-def fit_platt(valid: DataFrame, y: str = "y", p: str = "p", C: float = 1.0, steps: int = 25) -> DataFrame:
+def fit_platt(valid: DataFrame, y: str = "y", p: str = "p", C: float = 1.0, steps: int = 100) -> DataFrame:
     """One metadata row: sigmoid calibration fitted on validation logits with an L2 slope penalty."""
     _require_two_classes(valid, y)
     counts = M.score_counts(valid, (), y, p).withColumn("x", logit("p"))

@@ -86,6 +86,8 @@ def date_columns(df: DataFrame) -> DataFrame:
                  *[F.max((F.col(c).contains("-") & F.col(c).contains(":")).cast("int")).alias(f"_{i}")
                    for i, c in enumerate(texts)])
     rows += [(c, F.when(F.col(f"_{i}") == 1, F.lit("values"))) for i, c in enumerate(texts)]
+    if not rows:
+        return one.sparkSession.createDataFrame([], "column_name string, reason string")
     packed = F.array(*[F.struct(F.lit(c).alias("column_name"), r.alias("reason")) for c, r in rows])
     return one.select(F.explode(packed).alias("s")).select("s.*").where(F.col("reason").isNotNull())
 

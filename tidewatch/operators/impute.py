@@ -90,23 +90,26 @@ def apply_preprocessor(df: DataFrame, p: Preprocessor, keep: list[str]) -> DataF
     return filled.select(*keep, *p.fill.values, *hot)
 
 
-def impute_chained(df: DataFrame, columns: list[str], *, key: str, rounds: int = 2, max_missing: float = 0.2,
-                   estimator: str = "linear", trees: int = 20, seed: int = 42) -> DataFrame:
+def impute_chained(df: DataFrame, columns: list[str], *, key: str, rounds: int = 10, max_missing: float = 0.2,
+                   estimator: str = "forest", trees: int = 50, seed: int = 42, fit_on: Column | None = None) -> DataFrame:
     """Chained-equation imputation over the numeric columns missing in at most ``max_missing``.
 
     Every column is filled with its median first; then, round by round, each column with gaps
     is regressed on the others over its observed rows and only its gaps are replaced. Binary
-    columns (two values) keep their mode. The lineage is cut after every column."""
-    n, missing = missing_counts(df, columns)
+    columns (two values) keep their mode. The lineage is cut after every column. Which columns
+    take part, their first fill and every regression come from the ``fit_on`` rows."""
+    base = fit_rows(df, fit_on)
+    n, missing = missing_counts(base, columns)
     todo = [c for c in columns if 0 < missing[c] <= max_missing * n]
-    ends = df.agg(*[f(c).alias(f"{t}{i}") for i, c in enumerate(todo) for f, t in ((F.min, "a"), (F.max, "z"))]).first()
-    inner = df.agg(*[F.max(flag((F.col(c) != F.lit(ends[f"a{i}"])) & (F.col(c) != F.lit(ends[f"z{i}"])))).alias(f"m{i}")
+    ends = base.agg(*[f(c).alias(f"{t}{i}") for i, c in enumerate(todo) for f, t in ((F.min, "a"), (F.max, "z"))]).first()
+    inner = base.agg(*[F.max(flag((F.col(c) != F.lit(ends[f"a{i}"])) & (F.col(c) != F.lit(ends[f"z{i}"])))).alias(f"m{i}")
                      for i, c in enumerate(todo)]).first() if todo else None
     binary = [c for i, c in enumerate(todo) if not inner[f"m{i}"]]
-    params = fit_fill(df, columns)
-    for c, v in modes(df, binary).items():
+    params = fit_fill(df, columns, fit_on)
+    for c, v in modes(base, binary).items():
         params.values[c] = float(v)
     gaps = [F.col(c).isNull().alias(f"_gap_{c}") for c in todo]
+    gaps.append((F.lit(True) if fit_on is None else F.coalesce(fit_on, F.lit(False))).alias("_fit"))
     data = cut_lineage(apply_fill(df.select("*", *gaps), params))
     for r in range(rounds):
         for i, c in enumerate(x for x in todo if x not in binary):
@@ -115,14 +118,15 @@ def impute_chained(df: DataFrame, columns: list[str], *, key: str, rounds: int =
             args = dict(featuresCol="_x", labelCol=c, predictionCol="_p")
             reg = (RandomForestRegressor(numTrees=trees, maxDepth=8, seed=seed + r * 1000 + i, **args)
                    if estimator == "forest" else LinearRegression(regParam=1e-6, **args))
-            model = reg.fit(vec.where(~F.col(f"_gap_{c}")))
+            model = reg.fit(vec.where(~F.col(f"_gap_{c}") & F.col("_fit")))
             data = model.transform(vec).withColumn(c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c)))
             data = cut_lineage(data.drop("_x", "_p"))
-    return data.drop(*[f"_gap_{c}" for c in todo])
+    return data.drop("_fit", *[f"_gap_{c}" for c in todo])
 
 
-def group_medians(df: DataFrame, group: str, column: str) -> dict:
+def group_medians(df: DataFrame, group: str, column: str, fit_on: Column | None = None) -> dict:
     """Exact median of a column per category of a low-cardinality column."""
+    df = fit_rows(df, fit_on)
     cats = [r[0] for r in df.select(group).distinct().collect()]
     cats = [c for c in cats if c is not None]
     wide = df.select(*[F.when(F.col(group) == c, F.col(column).cast("double")).alias(f"g{i}") for i, c in enumerate(cats)])
@@ -130,17 +134,17 @@ def group_medians(df: DataFrame, group: str, column: str) -> dict:
     return {c: q[f"g{i}"][0] for i, c in enumerate(cats)}
 
 
-def group_median_fill(df: DataFrame, group: str, column: str) -> DataFrame:
+def group_median_fill(df: DataFrame, group: str, column: str, fit_on: Column | None = None) -> DataFrame:
     """Fill gaps with the median of the row's category, then with the overall median."""
-    by = group_medians(df, group, column)
-    overall = exact_quantiles(df, [column], [0.5])[column][0]
+    by = group_medians(df, group, column, fit_on)
+    overall = exact_quantiles(fit_rows(df, fit_on), [column], [0.5])[column][0]
     pick = F.when(F.lit(False), F.lit(0.0))
     for c, m in by.items():
         pick = pick.when(F.col(group) == c, F.lit(m))
     return df.withColumn(column, F.coalesce(F.col(column).cast("double"), pick, F.lit(overall)))
 
 
-def restore_columns(processed: DataFrame, original: DataFrame, key: str) -> DataFrame:
+def restore_columns(processed: DataFrame, original: DataFrame, key: str, fit_on: Column | None = None) -> DataFrame:
     """Bring back protected columns that preprocessing dropped, if complete enough, filled.
 
     Limits on the missing share: demographic 0.3, vitals 0.5, labs 0.6; the fill is the median."""
@@ -148,7 +152,7 @@ def restore_columns(processed: DataFrame, original: DataFrame, key: str) -> Data
               if c in original.columns and c not in processed.columns}
     if not wanted:
         return processed
-    n, missing = missing_counts(original, list(wanted))
+    n, missing = missing_counts(fit_rows(original, fit_on), list(wanted))
     back = [c for c, limit in wanted.items() if n and missing[c] / n < limit]
-    filled = apply_fill(original.select(key, *back), fit_fill(original, back))
+    filled = apply_fill(original.select(key, *back), fit_fill(original, back, fit_on))
     return processed.join(filled, key, "left")

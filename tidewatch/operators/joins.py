@@ -8,12 +8,32 @@ from pyspark.sql import functions as F
 SALT = 16
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], *, by: list[str], how: str = "inner",
-                salt: int = SALT) -> DataFrame:
-    """Join on ``keys`` with each key of ``big`` spread over ``salt`` tasks by a hash of ``by``.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL, so that rows and groups with a null key stay.
+
+    Keys come from ``left``; all other columns of both sides must have different names."""
+    if not keys:
+        return left.crossJoin(right)
+    named = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    on = None
+    for i, k in enumerate(keys):
+        same = left[k].eqNullSafe(named[f"_right_{i}"])
+        on = same if on is None else on & same
+    return left.join(named, on, how).drop(*[f"_right_{i}" for i in range(len(keys))])
 
-    ``small`` is repeated per salt value, so one key holding a third of ``big`` is shared out.
-    ``how`` is inner, left, left_semi or left_anti."""
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], *, by: list[str], how: str = "inner",
+                salt: int | None = None) -> DataFrame:
+    """Join on ``keys``; ``how`` is inner, left, left_semi or left_anti.
+
+    In all of these adaptive execution splits a skewed partition of the left, big side at run time,
+    so nothing is repeated for keys that are not hot. Only where that is switched off, or ``salt``
+    asks for it, each key of ``big`` is spread over ``salt`` tasks by a hash of ``by``, and ``small``
+    is repeated per salt value."""
+    if salt is None:
+        conf = big.sparkSession.conf
+        adaptive = all(conf.get(k, "true") == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
+        salt = 1 if adaptive else SALT
     if salt <= 1:
         return big.join(small, keys, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salt)).cast("int"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import edge_bin, grid_edges, or_zero, ratio
+from tidewatch.operators.joins import null_safe_join
 from tidewatch.operators.ranking import fit_edges, running_totals
 
 
@@ -81,7 +82,7 @@ def totals(counts: DataFrame, groups: list[str] = ()) -> DataFrame:
 
 def with_totals(points: DataFrame, counts: DataFrame, groups: list[str] = ()) -> DataFrame:
     t = totals(counts, groups)
-    return points.join(t, list(groups)) if groups else points.crossJoin(t)
+    return null_safe_join(points, t, list(groups))
 
 
 def roc_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -12,11 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.joins import null_safe_join
+from tidewatch.plans.lineage import scanned
+
 
 def default_buckets(df: DataFrame) -> int:
-    """Four buckets per shuffle partition, between 16 and 1024."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(1024, 4 * n))
+    """Four buckets per shuffle partition, 16 at least: they follow the cluster and its data."""
+    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def fit_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -85,7 +87,7 @@ def running_totals(df: DataFrame, group: list[str], order: str, values: list[str
     frame = Window.partitionBy(*group, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding,
                                                                       -1 if exclusive else 0)
     local = data.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"_c_{v}") for v in values])
-    joined = local.join(offsets, [*group, "_b"])
+    joined = null_safe_join(local, offsets, [*group, "_b"])
     return joined.select(*df.columns, *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 
 
@@ -103,18 +105,18 @@ def hash_ranks(df: DataFrame, group: list[str], row_key: str, salt: str = "", di
                             F.sum("_n").over(Window.partitionBy(*group)).alias("n"))
     local = data.withColumn("_r", F.row_number().over(
         Window.partitionBy(*group, "_b").orderBy("_h", row_key)).cast("bigint"))
-    return local.join(offsets, [*group, "_b"]).select(*df.columns, (F.col("_r") + F.col("_o")).alias(rank), "n")
+    return null_safe_join(local, offsets, [*group, "_b"]).select(*df.columns, (F.col("_r") + F.col("_o")).alias(rank), "n")
 
 
 def value_ranks(df: DataFrame, value: str, row_key: str, rank: str = "rank", digits: int = 2) -> DataFrame:
-    """Row number over (value, md5(row_key), row_key) for the whole table.
+    """Row number over (value, md5(row_key), row_key) for the whole table; NULL for a null value.
 
     Rows are counted per (value, md5 bucket) first, so even one value holding most rows is
     ranked in 16^digits independent pieces."""
     edges = fit_edges(df, value)
     data = df.withColumn("_h", F.md5(F.col(row_key).cast("string")))
     data = data.withColumn("_hb", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
-    pieces = data.groupBy(value, "_hb").agg(F.count("*").alias("_n")).withColumn("_b", bucket_of(value, edges))
+    pieces = data.where(F.col(value).isNotNull()).groupBy(value, "_hb").agg(F.count("*").alias("_n")).withColumn("_b", bucket_of(value, edges))
     totals = pieces.groupBy("_b").agg(F.sum("_n").alias("_t"))
     totals = totals.select("_b", F.coalesce(F.sum("_t").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
@@ -123,40 +125,46 @@ def value_ranks(df: DataFrame, value: str, row_key: str, rank: str = "rank", dig
     offsets = offsets.select(value, "_hb", (F.col("_c") + F.col("_o")).alias("_off"))
     local = data.withColumn("_r", F.row_number().over(
         Window.partitionBy(value, "_hb").orderBy("_h", row_key)).cast("bigint"))
-    return local.join(offsets, [value, "_hb"]).select(*df.columns, (F.col("_r") + F.col("_off")).alias(rank))
+    return null_safe_join(local, offsets, [value, "_hb"], "left").select(*df.columns, (F.col("_r") + F.col("_off")).alias(rank))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 2000, batch: int = 100,
-                    limit: int = 2_000_000, small: int = 16_000_000) -> dict[str, list[float | None]]:
+                    limit: int = 500_000) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles (linear, as ``percentile``) of many columns.
 
-    ``percentile`` keeps every distinct value of a column in one reducer, so it is used only
-    where a count shows at most ``small`` values. Beyond that a bounded sketch brackets each quantile, plain sums count the rows below and inside the bracket, and only
-    the value counts inside it are shuffled. A bracket holding more than ``limit`` rows is
-    narrowed by another sketch over its own rows; one that misses its rank is widened."""
+    A quantile is one or two ranks. A bounded sketch brackets each rank, plain sums count the rows
+    below and inside the bracket, and a bracket that misses its rank, or holds more than ``limit``
+    rows, is cut again inside the last one known to hold it: by another sketch, by halving where the
+    sketch does not help. Only the value counts inside final brackets are shuffled; a bracket of one
+    value needs none. One way for every size. The source is written once if it is more than a scan."""
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    if columns and small and df.count() * len(columns) <= small:
-        row = df.agg(*[F.percentile(_value(c), probs).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else out[c] for i, c in enumerate(columns)}
+    df = scanned(df.select(*columns)) if columns else df
     for start in range(0, len(columns), batch):
-        part = columns[start:start + batch]
-        todo = _first_brackets(df, part, probs, accuracy)
-        final = []
+        todo, places = _first_brackets(df, columns[start:start + batch], probs, accuracy)
+        found: dict[tuple[str, int], float] = {}
         while todo:
             _count(df, todo)
-            again = []
+            final, wide = [], []
             for w in todo:
-                if not (w["below"] <= w["lo"] and w["hi"] < w["below"] + w["inside"]):
-                    again.append({**w, "low": w["min"], "high": w["max"], "fixed": True})
-                elif w["inside"] > limit and w["low"] < w["high"] and not w.get("fixed"):
-                    again.append(w)
+                if w["rank"] < w["below"]:  # missed: between the last good start and here
+                    w.update(low=w["good"][0], high=w["low"], halve=False)
+                    wide.append(w)
+                elif w["rank"] >= w["below"] + w["inside"]:
+                    w.update(low=w["high"], high=w["good"][1], halve=False)
+                    wide.append(w)
+                elif w["low"] == w["high"]:
+                    found[w["c"], w["rank"]] = w["low"]
+                elif w["inside"] > limit:
+                    w["good"] = (w["low"], w["high"])
+                    wide.append({**w, "cut": True})
                 else:
                     final.append(w)
-            narrow = [w for w in again if not w.get("fixed")]
-            if narrow:
-                _narrow(df, narrow, accuracy)
-            todo = again
-        _resolve(df, final, out)
+            _narrow(df, [w for w in wide if w.pop("cut", False)], accuracy)
+            _resolve(df, final, found)
+            todo = wide
+        for c, j, lo, hi, frac in places:
+            a, b = found[c, lo], found[c, hi]
+            out[c][j] = a + (b - a) * frac
     return out
 
 
@@ -168,13 +176,13 @@ def _within(w: dict) -> Column:
     return (_value(w["c"]) >= F.lit(w["low"])) & (_value(w["c"]) <= F.lit(w["high"]))
 
 
-def _first_brackets(df: DataFrame, columns: list[str], probs: list[float], accuracy: int) -> list[dict]:
+def _first_brackets(df: DataFrame, columns: list[str], probs: list[float], accuracy: int) -> tuple[list[dict], list[tuple]]:
     slack = 5.0 / accuracy
     ps = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
     row = df.agg(*[a for i, c in enumerate(columns) for a in (
         F.percentile_approx(_value(c), ps, accuracy).alias(f"p{i}"), F.count(c).alias(f"n{i}"),
         F.min(_value(c)).alias(f"a{i}"), F.max(_value(c)).alias(f"z{i}"))]).first()
-    wanted = []
+    wanted, places = {}, []
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
         for j, p in enumerate(probs if n else []):
@@ -183,45 +191,48 @@ def _first_brackets(df: DataFrame, columns: list[str], probs: list[float], accur
             hi = min(lo + 1, n - 1) if pos > lo else lo
             low = row[f"a{i}"] if p <= slack else row[f"p{i}"][2 * j]
             high = row[f"z{i}"] if p >= 1 - slack else row[f"p{i}"][2 * j + 1]
-            wanted.append(dict(c=c, j=j, lo=lo, hi=hi, frac=pos - lo, low=low, high=high, min=row[f"a{i}"], max=row[f"z{i}"]))
-    return wanted
+            places.append((c, j, lo, hi, pos - lo))
+            for rank in (lo, hi):
+                wanted.setdefault((c, rank), dict(c=c, rank=rank, low=low, high=high, good=(row[f"a{i}"], row[f"z{i}"]), halve=False))
+    return list(wanted.values()), places
 
 
 def _count(df: DataFrame, wanted: list[dict]) -> None:
-    row = df.agg(*[a for k, w in enumerate(wanted) for a in (
+    spans = list({(w["c"], w["low"], w["high"]): w for w in wanted}.values())
+    row = df.agg(*[a for k, w in enumerate(spans) for a in (
         F.sum(F.when(_value(w["c"]) < F.lit(w["low"]), 1).otherwise(0)).alias(f"b{k}"),
         F.sum(F.when(_within(w), 1).otherwise(0)).alias(f"i{k}"))]).first()
-    for k, w in enumerate(wanted):
-        w["below"], w["inside"] = row[f"b{k}"], row[f"i{k}"]
+    known = {(w["c"], w["low"], w["high"]): (row[f"b{k}"], row[f"i{k}"]) for k, w in enumerate(spans)}
+    for w in wanted:
+        w["below"], w["inside"] = known[w["c"], w["low"], w["high"]]
 
 
 def _narrow(df: DataFrame, wanted: list[dict], accuracy: int) -> None:
+    """Cut brackets by a sketch over their own rows; where that moved neither end last time, halve them."""
     slack = 5.0 / accuracy
-    def at(w):
-        return [max(0.0, (w["lo"] - w["below"]) / w["inside"] - slack), min(1.0, (w["hi"] - w["below"]) / w["inside"] + slack)]
+    sketch = [w for w in wanted if not w["halve"]]
+    at = lambda w: [max(0.0, (w["rank"] - w["below"]) / w["inside"] - slack), min(1.0, (w["rank"] - w["below"]) / w["inside"] + slack)]
     row = df.agg(*[F.percentile_approx(F.when(_within(w), _value(w["c"])), at(w), accuracy).alias(f"p{k}")
-                   for k, w in enumerate(wanted)]).first()
-    for k, w in enumerate(wanted):
+                   for k, w in enumerate(sketch)]).first() if sketch else None
+    for k, w in enumerate(sketch):
         low, high = row[f"p{k}"]
-        low = w["low"] if at(w)[0] == 0.0 else low
-        high = w["high"] if at(w)[1] == 1.0 else high
-        if (low, high) == (w["low"], w["high"]):
-            w["fixed"] = True
+        w["halve"] = (low, high) == (w["low"], w["high"])
         w["low"], w["high"] = low, high
+    for w in wanted:
+        if w["halve"]:
+            middle = w["low"] + (w["high"] - w["low"]) / 2
+            w["high"] = middle if w["low"] <= middle < w["high"] else w["low"]
 
 
-def _resolve(df: DataFrame, wanted: list[dict], out: dict) -> None:
+def _resolve(df: DataFrame, wanted: list[dict], found: dict) -> None:
+    """Ranks inside brackets of bounded size, by running counts of their values."""
     if not wanted:
         return
     pieces = F.array(*[F.when(_within(w), F.struct(F.lit(k).alias("k"), _value(w["c"]).alias("v"))) for k, w in enumerate(wanted)])
     counts = (df.select(F.explode(F.filter(pieces, lambda s: s.isNotNull())).alias("s"))
               .groupBy("s.k", "s.v").agg(F.count("*").alias("n")))
-    pick = lambda name: F.create_map(*[x for k, w in enumerate(wanted) for x in (F.lit(k), F.lit(w[name] - w["below"]).cast("bigint"))])[F.col("k")]
+    rank = F.create_map(*[x for k, w in enumerate(wanted) for x in (F.lit(k), F.lit(w["rank"] - w["below"]).cast("bigint"))])[F.col("k")]
     upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    cum = counts.withColumns({"upto": upto, "lo": pick("lo"), "hi": pick("hi")})
-    covers = lambda r: (F.col("upto") > F.col(r)) & (F.col("upto") - F.col("n") <= F.col(r))
-    rows = (cum.where(covers("lo") | covers("hi")).groupBy("k")
-            .agg(F.max(F.when(covers("lo"), F.col("v"))).alias("a"), F.max(F.when(covers("hi"), F.col("v"))).alias("b")).collect())
-    for g in rows:
-        w = wanted[g.k]
-        out[w["c"]][w["j"]] = g.a + (g.b - g.a) * w["frac"]
+    cum = counts.withColumns({"upto": upto, "rank": rank})
+    for g in cum.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select("k", "v").collect():
+        found[wanted[g.k]["c"], wanted[g.k]["rank"]] = g.v

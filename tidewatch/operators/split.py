@@ -15,13 +15,15 @@ def entity_labels(df: DataFrame, entity: str, label: str) -> DataFrame:
 
 
 def _strata(entities: DataFrame, stratify: bool) -> DataFrame:
-    """One stratum per label, or a single one when a label has fewer than two entities."""
+    """One stratum per label, or a single one when a label has fewer than two entities; an entity
+    without any label fails."""
     if not stratify:
-        return entities.withColumn("_stratum", F.lit(0).cast("bigint"))
+        return entities.withColumn("_stratum", F.lit(""))
     counts = entities.groupBy("_y").agg(F.count("*").alias("_n"))
     small = counts.agg((F.coalesce(F.min("_n"), F.lit(0)) < 2).alias("_small"))
     return entities.crossJoin(small).withColumn(
-        "_stratum", F.when(F.col("_small"), F.lit(0)).otherwise(F.col("_y")).cast("bigint")).drop("_small")
+        "_stratum", F.when(F.col("_y").isNull(), F.raise_error(F.lit("a stratified split needs a label for every entity")))
+        .when(F.col("_small"), F.lit("")).otherwise(F.col("_y").cast("string"))).drop("_small")
 
 
 def split_entities(df: DataFrame, entity: str, label: str, *, test: float = 0.2, valid: float = 0.2, seed: int = 42,

@@ -27,10 +27,11 @@ def rank_bucket(rank: Column, n: Column, q: int) -> Column:
 
 
 def rank_quartile(df: DataFrame, value: str, row_key: str, q: int = 4, name: str = "quartile") -> DataFrame:
-    """Quartile by rank with ties split by row key order (md5, then key)."""
+    """Quartile by rank with ties split by row key order (md5, then key); NULL for a null value."""
     ranked = value_ranks(df, value, row_key, rank="_rank")
-    n = df.agg(F.count("*").alias("_n"))
-    return ranked.crossJoin(n).withColumn(name, rank_bucket(F.col("_rank"), F.col("_n"), q)).drop("_rank", "_n")
+    n = df.agg(F.count(value).alias("_n"))
+    bucket = F.when(F.col("_rank").isNotNull(), rank_bucket(F.col("_rank"), F.col("_n"), q))
+    return ranked.crossJoin(n).withColumn(name, bucket).drop("_rank", "_n")
 
 
 def _first(df: DataFrame, names: list[str]) -> str | None:

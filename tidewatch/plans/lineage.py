@@ -44,3 +44,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads and filters files, else written once and read again: for
+    operators that make several passes."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    heavy = ("Join", "Aggregate", "Window", "Sort", "Generate", "Python", "Pandas", "Arrow", "Distinct", "Repartition", "Union", "Intersect", "Except")
+    return stored(df, "source") if any(h in plan for h in heavy) else df

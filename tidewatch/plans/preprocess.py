@@ -18,7 +18,6 @@ def preprocess(df: DataFrame, *, key: str, label: str, fit_on: Column | None = N
     values, outliers, skew, indicators, trends, variance, selection, restored columns, scaling.
     The table is written out after imputation and before the last fits, so that no step
     recomputes the ones before it."""
-    ids = df.select(key)
     work = rules.calendar_features(df)
     work = guards.drop_date_columns(work)
     work = work.select(key, label, *[c for c in guards.drop_irrelevant(work, label).columns if c not in (key, label)])
@@ -28,7 +27,7 @@ def preprocess(df: DataFrame, *, key: str, label: str, fit_on: Column | None = N
     features = [c for c in work.columns if c not in (key, label)]
     if chained:
         nums = [c for c in features if c in numeric_columns(work)]
-        work = impute.impute_chained(work, nums, key=key)
+        work = impute.impute_chained(work, nums, key=key, fit_on=fit_on)
     work = cut_lineage(impute.apply_fill(work, impute.fit_fill(work, features, fit_on)))
     work = clean.unit_normalize(work, fit_on)
     work = rules.critical_values(work)
@@ -44,9 +43,9 @@ def preprocess(df: DataFrame, *, key: str, label: str, fit_on: Column | None = N
         kept = select.tree_recipe(clean.fit_rows(work.select(label, *kept), fit_on), label, top_k)
     work = work.select(key, label, *kept)
     original = df if "bmi" not in df.columns or "bmi" in work.columns or "gender" not in df.columns else df.drop("bmi")
-    work = impute.restore_columns(work, original, key)
+    work = impute.restore_columns(work, original, key, fit_on)
     final = scale.robust_scale(work, [c for c in scale.scalable(work, [key, label])], fit_on)
-    return final.join(ids, key, "left_semi"), profile.before_after(df, final)
+    return final, profile.before_after(df, final)
 
 
 def nulls_left(df: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ RECORD = "rec AS (SELECT l_orderkey AS stay_id, min(l_shipdate) AS earliest_reco
 # row_num only feeds the resampling hash; split is a whole-entity hash split
 SCORED_COLUMNS = {
     "row_id": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
-    "row_num": "((l_orderkey % 1000003) * 1009 + (l_partkey % 1000003) * 9176 + l_linenumber * 7 + l_suppkey % 9973)",
+    "row_num": "((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey)",
     "entity": "l_orderkey",
     "y": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END",
     "p_a": "least(1.0, (l_extendedprice + CASE WHEN l_returnflag = 'R' THEN 9000.0 ELSE 0.0 END) / 115000.0)",

@@ -301,17 +301,30 @@ def isotonic_scale(spark, sf):
 
 
 # --- bootstrap ----------------------------------------------------------------------------------
-B = 20
-_U = "((row_num % 1000003) * 48271 + b * 69621 + 12345) % 2147483647"
-_W = "CASE " + " ".join(f"WHEN u / 2147483647.0e0 < {c}e0 THEN {k}" for k, c in enumerate(
+B = 200
+_W = "CASE " + " ".join(f"WHEN u / 4294967296.0e0 < {c}e0 THEN {k}" for k, c in enumerate(
     [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
      0.9999167588507119, 0.9999897508033253])) + " ELSE 8 END"
 
 
+def mixed(src: str, name: str, expr: str, out: str) -> str:
+    """CTE ``name``: ``src`` with ``out``, the 32-bit mix of an expression; each step is a column, as it is used twice."""
+    m = 4294967295
+    return (f"{name}_1 AS (SELECT *, {expr} AS _x FROM {src}), {name}_2 AS (SELECT * EXCLUDE _x, (xor(_x, _x >> 16) * 569420461) & {m} AS _x FROM {name}_1), "
+            f"{name}_3 AS (SELECT * EXCLUDE _x, (xor(_x, _x >> 15) * 1935289751) & {m} AS _x FROM {name}_2), "
+            f"{name} AS (SELECT * EXCLUDE _x, xor(_x, _x >> 15) AS {out} FROM {name}_3)")
+
+
 def boot_sql(src: str, groups: str, thr: str) -> str:
-    return (f"u0 AS (SELECT *, {_U} AS v FROM {src}, (SELECT unnest(range(1, {B + 1})) AS b) r), u1 AS (SELECT * EXCLUDE v, (v * 48271 + 11) % 2147483647 AS v FROM u0), "
-            f"u2 AS (SELECT * EXCLUDE v, (v * 48271 + 11) % 2147483647 AS v FROM u1), u3 AS (SELECT *, (v * 48271 + 11) % 2147483647 AS u FROM u2), "
-            f"bw AS (SELECT *, {_W} AS w FROM u3), bs AS (SELECT * FROM bw WHERE w > 0), " + curve_sql("bs", groups, "p", "w") + ", bm AS (" + full_sql("pts", groups, thr, digits=15) + ")")
+    steps = ["seed0 AS (SELECT 12345::BIGINT AS s0)", mixed("seed0", "seed1", "s0", "s"), mixed("seed1", "seed2", "xor(s, 1013904242)", "s2"),
+             "rep0 AS (SELECT unnest(range(1, " + str(B + 1) + ")) AS b, s FROM seed2)", mixed("rep0", "rep1", "xor(b, s)", "r"),
+             f"row0 AS (SELECT *, row_num & 4294967295 AS lo, (row_num >> 32) & 4294967295 AS hi FROM {src}, (SELECT s, s2 FROM seed2) q)",
+             mixed("row0", "row1", "xor(lo, s)", "a0"), mixed("row1", "row2", "xor(a0, hi)", "a"),
+             mixed("row2", "row3", "xor(lo, s2)", "b0"), mixed("row3", "row4", "xor(b0, hi)", "c"),
+             "cell0 AS (SELECT row4.* EXCLUDE (s, s2, lo, hi, a0, b0), rep1.b, rep1.r FROM row4, rep1)",
+             mixed("cell0", "cell1", "xor(a, r)", "t"), mixed("cell1", "cell2", "xor(t, c)", "u"),
+             f"bw AS (SELECT *, {_W} AS w FROM cell2)", "bs AS (SELECT * EXCLUDE (a, c, r, t, u) FROM bw WHERE w > 0)"]
+    return ", ".join(steps) + ", " + curve_sql("bs", groups, "p", "w") + ", bm AS (" + full_sql("pts", groups, thr, digits=15) + ")"
 
 
 _BOOT = ("auc_roc", "average_precision", "brier_score", "accuracy", "precision", "recall", "specificity", "f1", "npv")
