@@ -111,7 +111,7 @@ def test_imputation_and_scaling(spark):
         x = rng.gauss(50, 10)
         rows.append((i, x, None if i % 7 == 0 else 2 * x + rng.gauss(0, 1), None if i % 9 == 0 else i % 2, i % 2))
     df = spark.createDataFrame(rows, "stay_id long, x double, y double, flag long, mortality long")
-    out = {r.stay_id: r for r in impute.impute_chained(df, ["x", "y", "flag"], key="stay_id", rounds=2).collect()}
+    out = {r.stay_id: r for r in impute.impute_chained(df, ["x", "y", "flag"], key="stay_id", rounds=2, estimator="linear").collect()}
     assert all(r.y is not None and r.flag in (0, 1) for r in out.values())
     assert all(out[i].y == y for i, _, y, _, _ in rows if y is not None)
     assert np.mean([abs(out[i].y - 2 * x) for i, x, y, _, _ in rows if y is None]) < 3
