@@ -36,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import tasks
+from tidewatch.llm.base import release, tasks
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-BLOCK = 8_000_000  # bytes of text whose words share one list
+BLOCK = 4_000_000  # bytes of text whose words share one list
 AT_ONCE = 20_000  # words per call of the library
 
 
@@ -120,11 +120,14 @@ def split_words(df: DataFrame, buckets: int, positions: bool, doc_id: str = "doc
                 if size + len(t) > block and texts:
                     yield from rows()
                     number, ids, texts, size = number + 1, [], [], 0
+                    release()
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
         if texts:
             yield from rows()
+        ids, texts = [], []
+        release()
 
     return df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInArrow(
         work, f"block long, docs array<{kind}>, data binary" if positions else "block long, bucket int, data binary")
@@ -147,6 +150,8 @@ def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
                 ids = [known[w] for w in own]
                 out = packed(bytes(steps), planes(np.array([len(x) for x in ids])), planes(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([out], pa.binary())], names=["block", "ids"])
+        known.clear()
+        release()
 
     return words.select("block", "data", "bucket").repartition(buckets, "bucket").select("block", "data").mapInArrow(work, "block long, ids binary")
 
@@ -170,6 +175,7 @@ def encode(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             for k in range(b.num_rows):
                 docs = b.column(0).slice(k, 1).flatten()
                 yield from _joined(docs, b.column(1)[k].as_py(), b.column(2)[k].as_py() or [], pieces)
+                release()
 
     return both.mapInArrow(work, f"doc_id {kind}, n_tokens long, ids binary, decoded string").withColumnRenamed("doc_id", doc_id)
 
