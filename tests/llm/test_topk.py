@@ -13,19 +13,17 @@ def test_lists_keep_the_first(seed):
     x = r.integers(-3 if seed % 2 else -500, 4 if seed % 2 else 500, (n, d))
     ids = [[int(v)] for v in r.permutation(n)]
     lists = topk.Lists(x, ids)
-    for q in [*r.integers(-300, 300, (5, d)), np.zeros(d, np.int64)]:
-        want = sorted(zip((-(x @ q)).tolist(), [i[0] for i in ids]))[:11]
-        got = lists.search(q, 11)
-        assert list(zip([-s for s in got[1]], got[0])) == want
-        floor = -want[-1][0]
-        got = lists.search(q, 11, floor)
-        assert list(zip([-s for s in got[1]], got[0])) == want
+    qs = np.stack([*r.integers(-300, 300, (5, d)), np.zeros(d, np.int64)])
+    want = [sorted(zip((-(x @ q)).tolist(), [i[0] for i in ids]))[:11] for q in qs]
+    floors = np.array([-w[-1][0] for w in want], float)
+    for got in (lists.search(qs, 11), lists.search(qs, 11, floors), [lists.search(q[None], 11)[0] for q in qs]):
+        assert [list(zip([-s for s in g[1]], g[0])) for g in got] == want
 
 
 def test_reading_stops_early():
     r = np.random.default_rng(0)
     x = r.integers(-500, 500, (5000, 4))
-    assert len(topk.Lists(x, [[i] for i in range(5000)])._contenders(np.array([300, -20, 5, 1]), 11, None)) <= 5000 // 16
+    assert len(topk.Lists(x, [[i] for i in range(5000)])._contenders(np.array([[300, -20, 5, 1]]), 11, np.array([-np.inf]))[0]) <= 5000 // 16
 
 
 def test_scaled():

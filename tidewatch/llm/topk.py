@@ -5,8 +5,8 @@ dimension, its vectors sorted by that component. A query reads all lists of a bl
 end that its own component favours. What a vector's unread dimensions can add lies between the lists'
 last and current entries, which gives each vector a lower and an upper bound of its score. Reading
 stops when no vector outside a short list of contenders can reach the k-th lower bound; the contenders'
-scores are then resolved exactly, and the blocks' answers are merged. ``floor`` lets later blocks start
-from a score that is already reached.
+scores are then resolved exactly, and the blocks' answers are merged. The first block's answer is a
+floor that the other blocks start from. Queries of a block read together.
 
 Scores are exact: 64-bit integers where a bound on the products shows that they fit, Python integers
 otherwise (a final score beyond 64 bits is held at their ends).
@@ -31,7 +31,8 @@ from tidewatch.plans.lineage import stored
 
 SCALE = 1024
 BLOCK = 4096  # distinct vectors in a block, at least
-ROUNDS = 24  # steps in which a list would be read to its end
+ROUNDS = 8  # steps in which a list would be read to its end
+QUERIES = 256  # queries that read together
 ANSWER = "rep long, vec_id long, score long"
 
 
@@ -43,58 +44,69 @@ def scaled(x: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """Sorted lists of a block, one for each dimension."""
+    """Sorted lists of a block, one for each dimension, read in step by many queries.
+
+    A query reads a list from its top where its own component is positive, from its foot where it is
+    negative. To a depth, what all queries have read is one of two sets of entries per list, so the
+    sums over read entries, and the bounds for unread ones, are products of a matrix of queries with
+    matrices of entries. Whole numbers below 2^53 keep them exact."""
 
     def __init__(self, x: np.ndarray, ids: list):
         self.x, self.ids = x, ids
         self.small = x.dtype != object and x.shape[1] < 2 ** 10
         if self.small:
-            self.order = np.argsort(x, axis=0, kind="stable").T  # rising, per dimension
-            self.sorted = np.take_along_axis(x.T, self.order, axis=1)
-
-    def search(self, q: np.ndarray, keep: int, floor: int | None = None) -> tuple[list[int], list[int]]:
-        """The first ``keep`` ids and scores, highest first; scores below ``floor`` may be missing."""
+            n = len(x)
+            order = np.argsort(x, axis=0, kind="stable").T
+            self.cols = x.T.astype(float)
+            self.sorted = np.take_along_axis(self.cols, order, axis=1)  # rising, per dimension
+            self.rank = np.empty(order.shape, np.int64)
+            np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(n), order.shape), axis=1)
+
+    def search(self, q: np.ndarray, keep: int, floor: np.ndarray | None = None) -> list[tuple[list[int], list[int]]]:
+        """For each query (row) its first ``keep`` ids and scores, highest first; scores below the query's ``floor`` may be missing."""
         if not self.small or q.dtype == object:
-            rows = np.arange(len(self.x))
-            score = np.array([sum(int(a) * int(b) for a, b in zip(v, q)) for v in self.x], object)
-        else:
-            rows = self._contenders(q, keep, floor)
-            score = self.x[rows] @ q
+            every = np.arange(len(self.x))
+            return [self._answer(every, np.array([sum(int(a) * int(b) for a, b in zip(v, one)) for v in self.x], object), keep) for one in q]
+        out = []
+        for i in range(0, len(q), QUERIES):
+            part = q[i:i + QUERIES]
+            held = self._contenders(part, keep, np.full(len(part), -np.inf) if floor is None else floor[i:i + QUERIES])
+            out += [self._answer(rows, self.x[rows] @ one, keep) for one, rows in zip(part, held)]
+        return out
+
+    def _answer(self, rows: np.ndarray, score: np.ndarray, keep: int) -> tuple[list[int], list[int]]:
         ids, worst = vectors.first_ids(-score, [self.ids[i] for i in rows], keep)
         return ids, [max(-2 ** 63, min(2 ** 63 - 1, -int(s))) for s in worst]
 
-    def _contenders(self, q: np.ndarray, keep: int, floor: int | None) -> np.ndarray:
-        """Vectors that may be among the first; all others provably are not."""
+    def _contenders(self, q: np.ndarray, keep: int, floor: np.ndarray) -> list[np.ndarray]:
+        """Per query the vectors that may be among the first; all others provably are not."""
         n = len(self.x)
         few = max(keep, n // 16)
         if n <= few:
-            return np.arange(n)
-        use = np.flatnonzero(q)
-        if not len(use):
-            return np.arange(n)
-        w = q[use]
-        up = w > 0
-        order = np.where(up[:, None], self.order[use, ::-1], self.order[use])
-        gain = np.where(up[:, None], self.sorted[use, ::-1], self.sorted[use]) * w[:, None]  # falling along each list
-        last = gain[:, -1]
-        step = -(-n // ROUNDS)
-        low = np.full(n, last.sum())  # read entries, and the lists' last entries for the rest
-        read = np.zeros((len(use), n), bool)
-        for a in range(0, n, step):
-            b = min(n, a + step)
-            who = order[:, a:b]
-            np.add.at(low, who.ravel(), (gain[:, a:b] - last[:, None]).ravel())
-            np.put_along_axis(read, who, True, axis=1)
-            slack = gain[:, b - 1] - last  # what an unread entry may add beyond the last one
-            high = low + slack.sum() - slack @ read
-            reached = np.partition(low, n - keep)[n - keep] if n >= keep else low.min()
-            if floor is not None:
-                reached = max(reached, floor)
-            inside = high >= reached
-            # vectors not met in any list share one upper bound, so they leave together
-            if inside.sum() <= few:
-                return np.flatnonzero(inside)
-        return np.flatnonzero(inside)
+            return [np.arange(n)] * len(q)
+        out: list[np.ndarray] = [np.arange(n)] * len(q)
+        todo = np.arange(len(q))
+        up, down = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
+        least, most = self.sorted[:, 0], self.sorted[:, -1]
+        for round_ in range(1, ROUNDS + 1):
+            depth = -(-n * round_ // ROUNDS)
+            high_read, low_read = self.rank >= n - depth, self.rank < depth
+            u, d = up[todo], down[todo]
+            rest = u @ least + d @ most  # what a vector gets at least where nothing of it is read
+            entries = np.concatenate([self.cols * high_read, self.cols * low_read, high_read, low_read])
+            low = rest[:, None] + np.concatenate([u, d, -u * least, -d * most], axis=1) @ entries
+            # what an unread entry may add beyond the least one: from the list's end to where reading stands
+            slack = np.concatenate([u * (self.sorted[:, n - depth] - least), d * (self.sorted[:, depth - 1] - most)], axis=1)
+            high = low + slack.sum(axis=1)[:, None] - slack @ entries[2 * len(least):]
+            reached = np.maximum(np.partition(low, n - keep, axis=1)[:, n - keep], floor[todo])
+            inside = high >= reached[:, None]
+            done = (inside.sum(axis=1) <= few) | (round_ == ROUNDS)
+            for k in np.flatnonzero(done):
+                out[todo[k]] = np.flatnonzero(inside[k])
+            todo = todo[~done]
+            if not len(todo):
+                break
+        return out
 
 
 def top(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -113,8 +125,8 @@ def top(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", ve
         out = []
         if len(data) and len(asks):
             lists = Lists(scaled(vectors.matrix(data["v"])), data["ids"].tolist())
-            for rep, v, floor in zip(asks["rep"], asks["v"], asks["floor"]):
-                ids, score = lists.search(scaled(np.asarray(v, float)[None])[0], keep, None if pd.isna(floor) else int(floor))
+            floor = asks["floor"].astype(float).fillna(-np.inf).to_numpy()
+            for rep, (ids, score) in zip(asks["rep"], lists.search(scaled(vectors.matrix(asks["v"])), keep, np.where(np.abs(floor) < 2 ** 53, floor, -np.inf))):
                 out += [(rep, i, s) for i, s in zip(ids, score)]
         return pd.DataFrame(out, columns=["rep", "vec_id", "score"]).astype("int64")
 
