@@ -224,3 +224,45 @@ def test_expressions(spark):
     xs = spark.createDataFrame([(1.0, None, 5.0, 7.0)], "a double, b double, c double, d double")
     r = xs.select(X.row_slope(list("abcd"), [0, 1, 2, 3]), X.row_std(list("abcd")), X.row_mean(list("abcd"))).first()
     assert r[0] == pytest.approx(np.polyfit([0, 2, 3], [1, 5, 7], 1)[0]) and r[1] == pytest.approx(np.std([1, 5, 7], ddof=1))
+
+
+def test_corr_pairs_with_gaps_and_offsets(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    x[:, 1] += 0.5 * x[:, 0]
+    x[:, 2] = 1e9 + 1e-2 * x[:, 0] + 1e-3 * x[:, 3]
+    x[::3, 1] = np.nan
+    x[::5, 3] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (7.0, None) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double").repartition(5)
+    got = {(r.a, r.b): r.r for r in select.corr_pairs(df, list("abcdef")).collect()}
+    assert len(got) == 15
+    for i in range(4):
+        for j in range(i + 1, 4):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert got["abcd"[i], "abcd"[j]] == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs=1e-5)
+    assert got["a", "e"] is None and got["a", "f"] is None
+
+
+def test_date_columns_of_a_numeric_table(spark):
+    assert guards.date_columns(spark.range(3).toDF("x")).collect() == []
+
+
+def test_restored_columns_and_fit_rows(spark):
+    rows = [(i, float(i), i % 2, 20.0 + 10 * (i % 2) + (i % 3), None if i == 4 else "a", i < 10) for i in range(20)]
+    full = spark.createDataFrame(rows, "k long, age double, gender_numeric int, bmi double, has_prior_diagnoses string, train boolean")
+    out = {r.k: r for r in impute.restore_columns(full.select("k"), full, "k").collect()}
+    by = {g: float(np.median([r[3] for r in rows if r[2] == g])) for g in (0, 1)}
+    assert all(r.bmi == by[int(r.gender_numeric)] and r.has_prior_diagnoses == "a" and r.age == r.k for r in out.values())
+    train = {r.k: r for r in impute.restore_columns(full.select("k"), full, "k", F.col("train")).collect()}
+    assert train[19].bmi == float(np.median([r[3] for r in rows if r[2] == 1 and r[5]]))
+    alone = impute.restore_columns(full.select("k"), full.drop("gender_numeric"), "k").first()
+    assert alone.bmi == float(np.median([r[3] for r in rows]))
+
+
+def test_chained_imputation_learns_from_named_rows_only(spark):
+    rng = random.Random(9)
+    rows = [(i, float(i % 17), None if i % 5 == 0 else 3.0 * (i % 17) + (1000.0 if i >= 150 else rng.random()), i < 150) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, train boolean")
+    out = {r.k: r.y for r in impute.impute_chained(df, ["x", "y"], key="k", rounds=1, max_missing=0.5, estimator="linear", fit_on=F.col("train")).collect()}
+    assert all(out[i] < 100 for i in range(150, 200, 5))

@@ -32,7 +32,6 @@ LAB_CODES = {
 FAHRENHEIT_CODES = [223761]
 INCH_CODES = [226730, 1394, 3486]
 POUND_CODES = [226531, 763, 3693]
-ANCHOR_HOURS = [0, 1, 2, 3, 4, 6]
 
 # --- value ranges -----------------------------------------------------------
 NORMAL_RANGES = {
@@ -84,7 +83,6 @@ LAB_LIMITS = {
     "anion_gap": (1, 40),
     "inr": (0.5, 12),
 }
-INR_MAX_LIMIT = (0.5, 20)
 VITAL_LIMITS = {
     "heart_rate": (20, 220),
     "resp_rate": (4, 60),
@@ -200,13 +198,14 @@ CLINICAL_TERMS = ["heart_rate", "resp_rate", "sbp", "dbp", "map", "spo2", "temp"
                   "duration_hours", "anion_gap"]
 DERIVED_SUFFIXES = ["_log", "_min", "_max", "_mean", "_delta"]
 SCALE_EXCLUDED = ["subject_id", "hadm_id", "stay_id", "mortality", "target", "label"]
-RESTORE_LIMITS = {"demographic": 0.3, "vitals": 0.5, "labs": 0.6}
+RESTORE_LIMITS = {"demographic": 0.3, "vitals": 0.5, "labs": 0.6, "always": None}
 RESTORE_COLUMNS = {
     "demographic": ["age"],
     "vitals": ["heart_rate_mean", "heart_rate_min", "sbp_mean", "dbp_mean", "map_mean", "resp_rate_mean",
                "temp_mean", "spo2_mean"],
     "labs": ["lactate_max", "wbc_mean", "creatinine_mean", "bun_mean", "glucose_mean", "platelets_mean",
              "hemoglobin_mean", "sodium_mean", "potassium_mean", "bicarbonate_mean"],
+    "always": ["gender_numeric", "has_prior_diagnoses", "duration_hours"],
 }
 
 # --- regular grid -----------------------------------------------------------
@@ -267,6 +266,5 @@ NAMED_THRESHOLDS = {"standard": 0.50, "f1_optimized": 0.45, "balanced": 0.30, "h
                     "clinical_utility": 0.10}
 RESULT_FIELDS = ["model_name", "split", "auc_roc", "average_precision", "brier_score", "threshold_policy",
                  "threshold", "accuracy", "precision", "recall", "specificity", "f1", "npv", "n", "positive_rate"]
-POLICIES = ["high_sensitivity", "balanced_f1", "high_precision"]
 # fixed values: odd multipliers below 2^31 (products of two stay in 63 bits) and a constant of the resampling hash
 MIX = (0x21F0AAAD, 0x735A2D97, 0x3C6EF372)

@@ -62,7 +62,7 @@ def replicate_metrics(df: DataFrame, row_key: str, *, n_boot: int, threshold: fl
     rows = _cells(df, row_key, list(models.values()), y)
     reps = np.arange(1, n_boot + 1)
 
-    def sums(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (m, cell), r in runs([pdf.sort_values("p", ascending=False, kind="stable")], n_boot, seed, cuts, limits, None):
             out.append(pd.DataFrame({"m": m, "cell": cell, "piece": keys[2], "replicate": reps, "pos": r.pos, "neg": r.neg, "area": r.area,

@@ -84,7 +84,7 @@ def prior_codes(cohort: DataFrame, admissions: DataFrame, codes: DataFrame, *, s
 def diagnosis_chapter(code: Column, version: Column) -> Column:
     """Chapter of an ICD-9 or ICD-10 code; V and E are ICD-9 prefixes, dots are ignored."""
     c = F.regexp_replace(F.upper(F.trim(code)), "\\.", "")
-    number = F.try_to_number(F.regexp_extract(F.upper(F.trim(code)), "^([0-9]{1,9})", 1), F.lit("999999999")).cast("int")
+    number = F.regexp_extract(F.upper(F.trim(code)), "^([0-9]+)", 1).try_cast("decimal(38,0)")
     nine = F.when(c.rlike("^[VE]"), F.lit("other_icd9"))
     for low, high, name in K.ICD9_RANGES:
         nine = nine.when(number.between(low, high), F.lit(name))

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.guards import check_prediction_frame
 from tidewatch.operators.joins import spread_join
 from tidewatch.operators.split import fold_entities
 from tidewatch.plans.lineage import cut_lineage
@@ -18,7 +19,9 @@ from tidewatch.plans.lineage import cut_lineage
 
 def prediction_pivot(preds: DataFrame, models: list[str], *, row_key: str = "row_id", model: str = "model_name",
                      y: str = "y_true", p: str = "p_pred") -> DataFrame:
-    """(row_id, y_true, one column per model), aligned by row id."""
+    """(row_id, y_true, one column per model), aligned by row id; a full prediction table is checked against its contract."""
+    if {"split", "model_name", "y_true", "p_pred"} <= set(preds.columns):
+        check_prediction_frame(preds)
     return preds.groupBy(row_key).agg(F.max(y).alias(y), *[F.max(F.when(F.col(model) == m, F.col(p))).alias(m) for m in models])
 
 
@@ -34,6 +37,7 @@ def ensemble_average(wide: DataFrame, models: list[str], name: str = "p_ensemble
     """Mean of at least two model scores; a score outside [0, 1] fails the job."""
     if len(models) < 2:
         raise ValueError("an ensemble needs at least two models")
+    require_complete(wide, models)
     total = sum((F.col(m) for m in models[1:]), F.col(models[0]))
     ok = F.lit(True)
     for m in models:
@@ -56,6 +60,7 @@ def fit_stacker(wide: DataFrame, models: list[str], *, split: str, y: str = "y_t
     """L2 logistic stacker on validation scores; any other split is refused."""
     if split != "validation":
         raise ValueError("the stacker may only be fitted on validation predictions")
+    require_complete(wide, models)
     data = _vec(wide, models).withColumn("_y", F.col(y).cast("double"))
     n = data.count()
     return LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (n * C), elasticNetParam=0.0,

@@ -145,14 +145,28 @@ def group_median_fill(df: DataFrame, group: str, column: str, fit_on: Column | N
 
 
 def restore_columns(processed: DataFrame, original: DataFrame, key: str, fit_on: Column | None = None) -> DataFrame:
-    """Bring back protected columns that preprocessing dropped, if complete enough, filled.
+    """Bring back protected columns that preprocessing dropped, filled by median or, for text, mode.
 
-    Limits on the missing share: demographic 0.3, vitals 0.5, labs 0.6; the fill is the median."""
+    Limits on the missing share: demographic 0.3, vitals 0.5, labs 0.6; sex, prior history and
+    duration have none. Body mass index comes back as the median of the row's sex, or of all rows
+    where the sex is not known as a column."""
     wanted = {c: K.RESTORE_LIMITS[kind] for kind, cs in K.RESTORE_COLUMNS.items() for c in cs
               if c in original.columns and c not in processed.columns}
-    if not wanted:
+    mass = "bmi" in original.columns and "bmi" not in processed.columns
+    if not wanted and not mass:
         return processed
     n, missing = missing_counts(fit_rows(original, fit_on), list(wanted))
-    back = [c for c, limit in wanted.items() if n and missing[c] / n < limit]
-    filled = apply_fill(original.select(key, *back), fit_fill(original, back, fit_on))
-    return processed.join(filled, key, "left")
+    back = [c for c, limit in wanted.items() if n and (limit is None or missing[c] / n < limit)]
+    out = processed
+    if back:
+        filled = apply_fill(original.select(key, *back), fit_fill(original, back, fit_on))
+        out = processed.join(filled, key, "left")
+    if mass:
+        if "gender_numeric" in out.columns and "gender_numeric" in original.columns:
+            value = F.lit(None).cast("double")
+            for sex, median in group_medians(original, "gender_numeric", "bmi", fit_on).items():
+                value = F.when(F.col("gender_numeric") == sex, F.lit(median)).otherwise(value)
+        else:
+            value = F.lit(exact_quantiles(fit_rows(original, fit_on), ["bmi"], [0.5])["bmi"][0]).cast("double")
+        out = out.withColumn("bmi", value)
+    return out

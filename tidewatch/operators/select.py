@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,7 @@ from tidewatch.operators.guards import drop_irrelevant
 from tidewatch.operators.impute import apply_fill, fit_fill
 from tidewatch.operators.profile import numeric_columns, per_column
 from tidewatch.operators.ranking import exact_quantiles
+from tidewatch.plans.lineage import scanned
 
 
 def median_filled(df: DataFrame, columns: list[str], fit_on: Column | None = None) -> DataFrame:
@@ -81,19 +84,45 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.where(F.col("score").isNotNull()).orderBy(F.desc("score"), "column_name").limit(k)
 
 
-def corr_pairs(df: DataFrame, columns: list[str], batch: int = 300) -> DataFrame:
-    """(a, b, r) for every column pair, over pairwise complete rows; ``batch`` pairs per pass."""
-    pairs = list(combinations(columns, 2))
-    out = None
-    for s in range(0, len(pairs), batch):
-        part = pairs[s:s + batch]
-        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-                       for i, (a, b) in enumerate(part)])
-        rows = row.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(part)])).alias("s")).select("s.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def corr_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) for every column pair, over pairwise complete rows.
+
+    One pass adds up cross products of all pairs as matrices, one per task, around the column means,
+    so that large offsets cost no digits; the tasks' matrices meet row by row. r is NULL where a
+    column does not vary over the pair's rows."""
+    spark = df.sparkSession
+    p = len(columns)
+    if p < 2:
+        return spark.createDataFrame([], "a string, b string, r double")
+    data = scanned(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    row = data.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(p)]).first()
+    means = np.array([0.0 if v is None else v for v in row], float)
+
+    def sums(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, p, p))
+        for b in batches:
+            x = b.to_numpy(float) - means
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pd.DataFrame({"i": np.arange(p), "s": [total[:, i, :].ravel() for i in range(p)]})
+
+    def pairs(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [key[0]], "s": [np.sum(np.stack(g["s"].to_numpy()), axis=0)]})
+
+    parts = data.mapInPandas(sums, "i int, s array<double>").groupBy("i").applyInPandas(pairs, "i int, s array<double>")
+    # a pair's sums of its second column stand in that column's row
+    lines = parts.select("i", *[F.slice("s", 1 + k * p, p).alias(n) for k, n in enumerate(("n", "x", "xx", "xy"))])
+    cells = lines.select("i", F.posexplode(F.arrays_zip("n", "x", "xx", "xy")).alias("j", "v")).select("i", "j", "v.*")
+    other = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    both = cells.where("i < j").join(other, ["i", "j"])
+    n = F.col("n")
+    sx, sy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
+    sxy = F.col("xy") - F.col("x") * F.col("y") / n
+    tiny = lambda s, raw: s <= 1e-13 * F.col(raw)
+    r = F.when((n > 1) & ~tiny(sx, "xx") & ~tiny(sy, "yy"), sxy / F.sqrt(sx * sy))
+    names = F.array(*[F.lit(c) for c in columns])
+    return both.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.when(n > 0, r).alias("r"))
 
 
 def corr_filter(df: DataFrame, columns: list[str], threshold: float = 0.8) -> list[str]:

@@ -42,7 +42,7 @@ def preprocess(df: DataFrame, *, key: str, label: str, fit_on: Column | None = N
     elif recipe == "tree":
         kept = select.tree_recipe(clean.fit_rows(work.select(label, *kept), fit_on), label, top_k)
     work = work.select(key, label, *kept)
-    original = df if "bmi" not in df.columns or "bmi" in work.columns or "gender" not in df.columns else df.drop("bmi")
+    original = clean.map_with_mode_fill(df, "gender", {"M": 1, "F": 0}, "gender_numeric", fit_on) if "gender" in df.columns else df
     work = impute.restore_columns(work, original, key, fit_on)
     final = scale.robust_scale(work, [c for c in scale.scalable(work, [key, label])], fit_on)
     return final, profile.before_after(df, final)

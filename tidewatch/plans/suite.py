@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import bootstrap, guards, impute, models, results, split, thresholds
 from tidewatch.operators.metrics import ranking_metrics
-from tidewatch.operators.profile import duplicate_rows, target_correlation
+from tidewatch.operators.profile import NUMERIC, duplicate_rows, target_correlation
 from tidewatch.plans.lineage import cut_lineage
 
 REGISTRY = ("logistic", "forest", "boosted")
@@ -24,17 +25,22 @@ class SuiteReport:
 
 
 def prepare(df: DataFrame, *, entity: str, label: str, row_key: str, categorical: list[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Guarded features, grouped split and train-only preprocessing, written once for all fits."""
+    """Guarded features, grouped split and train-only preprocessing, written once for all fits.
+
+    Every safe column is kept: numbers and booleans as numbers, all others, and those named in
+    ``categorical``, as one column per training category."""
     safe = [c for c in guards.feature_matrix(df, label).columns if c not in (entity, row_key)]
-    cats = [c for c in safe if c in categorical]
-    nums = [c for c, t in df.dtypes if c in safe and c not in cats and t in ("double", "float", "int", "bigint")]
-    rows = split.split_rows(df.select(entity, row_key, label, *nums, *cats), entity, label)
+    number = lambda t: t in (*NUMERIC, "boolean") or t.startswith("decimal")
+    nums = [c for c, t in df.dtypes if c in safe and c not in categorical and number(t)]
+    cats = [c for c in safe if c not in nums]
+    typed = df.select(entity, row_key, label, *[F.col(c).cast("double").alias(c) for c in nums], *[F.col(c).cast("string").alias(c) for c in cats])
+    rows = split.split_rows(typed, entity, label)
     p = impute.fit_preprocessor(rows, nums, cats, F.col("split") == "train")
     out = impute.apply_preprocessor(rows, p, [entity, row_key, label, "split"])
     return cut_lineage(out), [c for c in out.columns if c not in (entity, row_key, label, "split")]
 
 
-def fit_scores(data: DataFrame, columns: list[str], name: str, *, label: str, row_key: str, size: int = 1) -> DataFrame:
+def fit_scores(data: DataFrame, columns: list[str], name: str, *, label: str, row_key: str, trees: int = 300, rounds: int = 1000) -> DataFrame:
     """Validation and test scores of one registered model: (model_name, split, row_id, y, p)."""
     vec = models.assemble(data, columns, label, [row_key])
     train, rest = vec.where("split = 'train'"), vec.where("split <> 'train'")
@@ -42,10 +48,10 @@ def fit_scores(data: DataFrame, columns: list[str], name: str, *, label: str, ro
         train, rest = models.scaled(train, rest)
         model = models.logistic(1.0, train.count()).fit(train)
     elif name == "forest":
-        model = models.forest(trees=20 * size, depth=6).fit(train)
+        model = models.forest(trees=trees, depth=6).fit(train)
     elif name == "boosted":
         both = vec.where("split <> 'test'").withColumn("is_valid", F.col("split") == "validation")
-        model = models.boosted(rounds=10 * size).fit(both)
+        model = models.boosted(rounds=rounds).fit(both)
     else:
         raise ValueError(f"unknown model: {name}")
     return models.score(model, rest).select(F.lit(name).alias("model_name"), "split", F.col(row_key).alias("row_id"),
@@ -53,8 +59,9 @@ def fit_scores(data: DataFrame, columns: list[str], name: str, *, label: str, ro
 
 
 def run_suite(df: DataFrame, *, entity: str, label: str, row_key: str, enabled: list[str] = REGISTRY, categorical: list[str] = (),
-              n_boot: int = 200, size: int = 1) -> SuiteReport:
-    """Fit every enabled model; a failure becomes a status row, an unknown name an error."""
+              n_boot: int = 200, trees: int = 300, rounds: int = 1000) -> SuiteReport:
+    """Fit every enabled model; data that it cannot be fitted on becomes a status row, an unknown
+    name an error. ``trees`` and ``rounds`` bound the forest and the boosted trees."""
     unknown = sorted(set(enabled) - set(REGISTRY))
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
@@ -62,9 +69,9 @@ def run_suite(df: DataFrame, *, entity: str, label: str, row_key: str, enabled:
     preds, status = None, []
     for name in enabled:
         try:
-            one = cut_lineage(fit_scores(data, columns, name, label=label, row_key=row_key, size=size))
-        except Exception as e:  # the suite goes on without this model
-            status.append((name, "failed", str(e)[:200]))
+            one = cut_lineage(fit_scores(data, columns, name, label=label, row_key=row_key, trees=trees, rounds=rounds))
+        except (IllegalArgumentException, AnalysisException, ValueError) as e:  # data a model cannot be fitted on; the suite goes on
+            status.append((name, "failed", str(e)))
             continue
         status.append((name, "completed", ""))
         preds = one if preds is None else preds.unionByName(one)

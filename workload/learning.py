@@ -42,12 +42,12 @@ def _report(scores):
 def impute_chained(spark, sf):
     w = wide(spark, sf, ["age", "heart_rate_mean", "sbp_mean", "resp_rate_mean", "temp_mean", "glucose_mean"])
     cols = ["age", "heart_rate_mean", "sbp_mean", "resp_rate_mean", "temp_mean", "glucose_mean"]
-    return impute.impute_chained(w.drop("intime"), cols, key="stay_id", rounds=1)
+    return impute.impute_chained(w.drop("intime"), cols, key="stay_id", rounds=2, trees=20)
 
 
 @query("importance_topk")
 def importance_topk(spark, sf):
-    return select.top_k(select.importance_scores(wide(spark, sf, COLS), FEATURES, "mortality", trees=20), 5)
+    return select.top_k(select.importance_scores(wide(spark, sf, COLS), FEATURES, "mortality", trees=100), 5)
 
 
 @query("pca_reduce")
@@ -102,9 +102,10 @@ def oof_stacker(spark, sf):
 def permutation_importance(spark, sf):
     data = _split(spark, sf)
     vec = models.assemble(data, ["risk", "age", "glucose_mean"], "mortality", ["stay_id"])
-    model = models.logistic(1.0, 1000).fit(vec.where("split = 'train'"))
+    train = vec.where("split = 'train'")
+    model = models.logistic(1.0, train.count()).fit(train)
     test = data.where("split = 'test'").select("stay_id", "risk", "age", "glucose_mean", "mortality")
-    return models.permutation_importance(model, test, ["risk", "age", "glucose_mean"], label="mortality", row_key="stay_id", repeats=1)
+    return models.permutation_importance(model, test, ["risk", "age", "glucose_mean"], label="mortality", row_key="stay_id", repeats=10)
 
 
 @query("fit_logistic")
@@ -142,15 +143,15 @@ def seed_ensemble(spark, sf):
 @query("random_search")
 def random_search(spark, sf):
     train = _vec(spark, sf).where("split = 'train'")
-    lr = models.logistic(1.0, 1000)
+    lr = models.logistic(1.0, train.count())
     space = {lr.regParam: [0.001, 0.01, 0.1], lr.elasticNetParam: [0.0, 0.5, 1.0]}
-    return models.random_search(train, lr, space, draws=3, entity="subject_id")[1]
+    return models.random_search(train, lr, space, draws=5, entity="subject_id")[1]
 
 
 @query("model_suite")
 def model_suite(spark, sf):
     w = wide(spark, sf, [*COLS, "first_careunit"]).drop("intime")
-    r = suite.run_suite(w, entity="subject_id", label="mortality", row_key="stay_id", n_boot=10, categorical=["first_careunit"])
+    r = suite.run_suite(w, entity="subject_id", label="mortality", row_key="stay_id", n_boot=200, trees=100, rounds=30, categorical=["first_careunit"])
     return rounded(r.comparison, 4)
 
 

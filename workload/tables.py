@@ -221,9 +221,12 @@ def seed_stability(spark, sf):
     return rounded(profile.seed_stability(r, _SEEDS))
 
 
-@query("duplicate_rows", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) x")
+_LINE = 'l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate'.split()
+
+
+@query("duplicate_rows", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY ALL_COLUMNS) x".replace("ALL_COLUMNS", ", ".join(_LINE)))
 def duplicate_rows(spark, sf):
-    return profile.duplicate_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+    return profile.duplicate_rows(table(spark, sf, "lineitem"))
 
 
 @query("target_correlation", f"WITH {wide_sql(NUM + ['mortality'])}, c AS (" + _union(
