@@ -26,19 +26,24 @@ ORACLE_SQL = None
 SURE = 0.5
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column, so that no column of theirs meets one of a model."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang")
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, query_toxicity.model(docs, labels))
-    return scored.where(~F.col("flagged")).select(*docs.columns)
+    scored = toxicity.score(_packed(docs), query_toxicity.model(docs, labels))
+    return scored.where(~F.col("flagged")).select("row.*")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = langid.identify(docs, query_langid.model(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    told = langid.identify(_packed(docs), query_langid.model(docs))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs, words=3, budget=3).select(*docs.columns)
+    return simhash.deduplicate(docs, words=3, budget=3)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -305,8 +305,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3, node: int | None = None) -> DataFrame:
     """Rows of ``df``, all columns, one of each group of near duplicates: that with the smallest id,
     nulls last; of several rows with that id, any one."""
-    docs = stored(fingerprints(df, text, words, "_fp", "_uid"), "fingerprinted")
-    slim = docs.select(F.col("_fp").alias("fp"), "_uid", F.struct(F.col(doc_id).isNull(), F.col(doc_id), "_uid").alias("_k"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("_text"))
+    docs = stored(fingerprints(rows, "_text", words, "_fp", "_uid").drop("_text"), "fingerprinted")
+    id_ = F.col("row")[doc_id]
+    slim = docs.select(F.col("_fp").alias("fp"), "_uid", F.struct(id_.isNull(), id_, "_uid").alias("_k"))
     first = slim.groupBy("fp").agg(F.min("_k").alias("_k"))
     fps = stored(first, "distinct-fingerprints")
     root = components(links(fps, budget, node))
@@ -315,4 +317,4 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
         fps.join(root, "fp", "left_anti").select(F.col("_k._uid").alias("_uid")))
     # what goes is usually less than what stays, and its keys may be few enough to broadcast
     gone = stored(slim.select("_uid").join(kept, "_uid", "left_anti"), "duplicates")
-    return docs.join(gone, "_uid", "left_anti").drop("_fp", "_uid")
+    return docs.join(gone, "_uid", "left_anti").select("row.*")
