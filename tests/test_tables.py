@@ -266,3 +266,17 @@ def test_chained_imputation_learns_from_named_rows_only(spark):
     df = spark.createDataFrame(rows, "k long, x double, y double, train boolean")
     out = {r.k: r.y for r in impute.impute_chained(df, ["x", "y"], key="k", rounds=1, max_missing=0.5, estimator="linear", fit_on=F.col("train")).collect()}
     assert all(out[i] < 100 for i in range(150, 200, 5))
+
+
+def test_neighbours_are_exact_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(models, "NEIGHBOUR_BLOCK", 40)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 3))
+    x[10] = x[11]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    for r in models.neighbours(df, "id", "x", 4).collect():
+        d = np.sqrt(((x - x[r.id]) ** 2).sum(axis=1))
+        want = sorted(d[i] for i in range(150) if i != r.id)[:4]
+        assert [n["d"] for n in r._n] == pytest.approx(want)
+    with pytest.raises(ValueError, match="two minority rows"):
+        models.smote(spark.createDataFrame([(1, 1.0, 1), (2, 2.0, 0), (3, 3.0, 0)], "id long, a double, y int"), ["a"], "y", "id")

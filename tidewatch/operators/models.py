@@ -5,21 +5,23 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import hash_fraction
 from tidewatch.operators import metrics as M
 from tidewatch.operators.joins import spread_join
-from tidewatch.operators.ranking import bucket_of, fit_edges, hash_ranks
+from tidewatch.operators.ranking import hash_ranks
 from tidewatch.operators.split import fold_entities
-from tidewatch.plans.lineage import cut_lineage
+from tidewatch.plans.lineage import cut_lineage, stored
 
 
 def assemble(df: DataFrame, columns: list[str], label: str, keep: list[str] = ()) -> DataFrame:
@@ -117,33 +119,52 @@ def permutation_importance(model, df: DataFrame, columns: list[str], *, label: s
     return df.sparkSession.createDataFrame(rows, "column_name string, importance double, std double")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+NEIGHBOUR_BLOCK = 4096  # rows on each side of one block of distances
 
 
-def smote(df: DataFrame, columns: list[str], label: str, row_key: str, *, minority: int = 1, k: int = 5, reach: int = 5,
-          projections: int = 3, seed: int = 42) -> DataFrame:
-    """Synthetic minority rows up to the majority count, each on the segment between a minority
-    row and one of its near minority rows. Apply it to training rows only.
+def neighbours(rows: DataFrame, row_key: str, x: str, k: int) -> DataFrame:
+    """(row_key, x, _n): the ``k`` other rows with the smallest Euclidean distance of the vector column
+    ``x``, nearest first, ties by vector; exact.
+
+    Rows are dealt into blocks by key, and each pair of blocks meets in one task, which keeps k
+    candidates per row, so no list of pairs is made and no row meets more than a block at a time."""
+    n = rows.count()
+    blocks = max(1, -(-n // NEIGHBOUR_BLOCK))
+    kind = rows.schema[row_key].dataType.simpleString()
+    dealt = rows.select(F.col(row_key).alias("k"), F.col(x).alias("x"), F.pmod(F.xxhash64(row_key), F.lit(blocks)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select("k", "x", F.col("own").alias("a"), every.alias("b"))
+    right = dealt.select("k", "x", F.col("own").alias("b"), every.alias("a"))
+
+    def nearest(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        keys, dist, vec = [], [], []
+        if len(mine) and len(theirs):
+            p, q, ids = np.stack(mine["x"].to_numpy()), np.stack(theirs["x"].to_numpy()), theirs["k"].to_numpy()
+            for key, v in zip(mine["k"], p):
+                d = np.sqrt(((q - v) ** 2).sum(axis=1))
+                d[ids == key] = np.inf
+                for i in np.argsort(d, kind="stable")[:k]:
+                    if np.isfinite(d[i]):
+                        keys.append(key)
+                        dist.append(d[i])
+                        vec.append(q[i])
+        return pd.DataFrame({"k": pd.Series(keys, dtype=mine["k"].dtype), "d": pd.Series(dist, dtype=float), "x": pd.Series(vec, dtype=object)})
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, f"k {kind}, d double, x array<double>")
+    best = found.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "x"))), 1, k).alias("_n"))
+    return dealt.select("k", "x").join(best, "k").withColumnsRenamed({"k": row_key, "x": x})
 
-    Near rows are found without pair joins: minority rows are ordered along a few fixed random
-    directions, the ``reach`` rows on both sides of a row are its candidates in each, and the k
-    closest by true distance are kept (an approximate neighbour search, even under any skew)."""
+
+def smote(df: DataFrame, columns: list[str], label: str, row_key: str, *, minority: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
+    """Synthetic minority rows up to the majority count, each on the segment between a minority
+    row and one of its ``k`` nearest minority rows. Apply it to training rows only; fewer than two
+    minority rows are an error."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if counts.get(minority, 0) < 2:
+        raise ValueError("synthetic rows need at least two minority rows")
     small = df.where(F.col(label) == minority).select(
         row_key, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
-    spread = small.agg(*[F.stddev_pop(F.col("_x")[i]).alias(f"s{i}") for i in range(len(columns))]).first()
-    rng = random.Random(seed)
-    data = small.withColumn("_c", F.array().cast("array<array<double>>"))
-    for t in range(projections):
-        u = sum((F.col("_x")[i] * F.lit(rng.gauss(0, 1) / (spread[f"s{i}"] or 1.0)) for i in range(len(columns))), F.lit(0.0))
-        data = data.withColumn("_u", u)
-        edges = fit_edges(data.select("_u"), "_u")
-        w = Window.partitionBy("_b").orderBy("_u", row_key)
-        near = F.array(*[f("_x", i).over(w) for i in range(1, reach + 1) for f in (F.lag, F.lead)])
-        data = data.withColumn("_b", bucket_of("_u", edges)).withColumn("_c", F.concat("_c", F.filter(near, lambda x: x.isNotNull())))
-    ranked = F.transform(F.array_distinct("_c"), lambda c: F.struct(_distance(F.col("_x"), c).alias("d"), c.alias("x")))
-    data = data.withColumn("_n", F.slice(F.array_sort(ranked), 1, k)).where(F.size("_n") > 0).select(row_key, "_x", "_n")
+    data = stored(neighbours(stored(small, "minority"), row_key, "_x", k), "neighbours")
     need = max(counts.values()) - counts.get(minority, 0)
     order = hash_ranks(data, [], row_key, salt=f"|{seed}", rank="_r")
     times = F.floor(F.lit(need) / F.col("n")) + F.when(F.col("_r") <= F.lit(need) % F.col("n"), 1).otherwise(0)
