@@ -93,6 +93,7 @@ def append(df: DataFrame, text: str | list[str], start: Callable, extra: str, ui
                 made = [*made, pa.array(range(at, at + b.num_rows), pa.int64())]
                 at += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["row", *names, *([uid] if uid else [])])
+        release()
 
     # a struct type written out as text cannot hold every name, so the schema is built
     schema = packed.select("row").schema

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.base import release
 from tidewatch.plans.lineage import stored
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -116,6 +117,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
             yield pa.RecordBatch.from_arrays(
                 [pa.array(u, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(s, pa.int64()),
                  pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(work, PIECES.format(id=kind))
