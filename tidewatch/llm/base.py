@@ -53,7 +53,7 @@ def release() -> None:
         pass
 
 
-def blocks(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+def blocks(texts: Iterable[str | None], size: int) -> Iterator[list[str | None]]:
     """The texts in runs of about ``size`` characters."""
     part, n = [], 0
     for t in texts:

@@ -15,12 +15,9 @@ packed for itself; an empty table gives an empty table; other columns are not lo
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,70 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import release
+from tidewatch.llm.base import blocks, release, texts_of
+from tidewatch.llm.byteids import WordIds, word_ids  # noqa: F401
 from tidewatch.plans.lineage import stored
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE = 1_000_000  # distinct words whose ids a worker keeps
-PER_RANK = 50_000  # pieces of one length ranked in one group
+PER_RANK = 5_000  # pieces of one length ranked in one group
+AT_ONCE = 2_000_000  # characters of texts encoded together
 PIECES = "uid long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of the words of a byte-level tokenizer file.
-
-    The pattern of these tokenizers takes at most one space before a word and otherwise never goes
-    from a word into white space, so a text can be cut before each single space and the parts
-    encoded by themselves. ``encode`` gives texts the library whole where that doesn't hold."""
-
-    _double = re.compile(r" (?=[\s᠎]|\Z)")
-    _unsafe = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
-
-    def __init__(self, path: str, prefix: str = " "):
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.lib, self.prefix = Tokenizer.from_file(path), prefix
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.first = None if prefix == "" else WordIds(path, "")
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        out = self[word] = self.whole(self.prefix + word)
-        return out
-
-    def warm(self, words: Iterable[str]) -> None:
-        """Encode the unknown ones of many words in one call."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            got = self.lib.encode_batch_fast([self.prefix + w for w in part], add_special_tokens=False)
-            self.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special) or self._double.search(text) and self._unsafe.search(text):
-            return self.whole(text)
-        words = text.split(" ")
-        rest = words[1:]
-        if len(rest) > 64:
-            self.warm(set(rest))
-        return self.first[words[0]] + b"".join([self[w] for w in rest])
-
-
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` tokens."""
     first = n if n <= capacity else (n % capacity or capacity)
@@ -100,23 +42,27 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of each document; ``uid`` tells rows apart, whatever their ids."""
-    end = int(end_id).to_bytes(4, "little")
-
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_ids(tokenizer)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            at, rows = [], []
-            for i, t in enumerate(b.column(1)):
-                ids = enc.encode(t.as_py()) + end
-                for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    at.append(i)
-                    rows.append((uid, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)])))
-                    uid += 1
-            u, k, s, n, c = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(s, pa.int64()),
-                 pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+            done = 0
+            for part in blocks(texts_of(b.column(1)), AT_ONCE):
+                ids, lens = enc.batch(part, end_id)
+                raw, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(lens)
+                # of each text: pieces, tokens of the first one; then of each piece: its text, number, place and length
+                n = -(-lens // capacity)
+                first = lens - (n - 1) * capacity
+                doc = np.repeat(np.arange(len(part)), n)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = np.where(k == 0, 0, first[doc] + (k - 1) * capacity)
+                length = np.where(k == 0, first[doc], capacity)
+                at = 4 * ((ends - lens)[doc] + start)
+                crc = [zlib.crc32(raw[i:i + m]) for i, m in zip(at.tolist(), (4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(uid, uid + len(doc))), b.column(0).take(pa.array(doc + done)), pa.array(k.astype(np.int32)), pa.array(start),
+                     pa.array(length), pa.array(crc, pa.int64())], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+                uid, done = uid + len(doc), done + len(part)
         release()
 
     kind = df.schema[doc_id].dataType.simpleString()
