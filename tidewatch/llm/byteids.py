@@ -46,13 +46,14 @@ class WordIds:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _store(self, ids: np.ndarray, lens: np.ndarray) -> None:
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """Keep ids of words that begin at ``at``, one after the other."""
         need = self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
         self.flat[self.used:need] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(lens) - lens])
-        self.len = np.concatenate([self.len, lens])
+        self.start[numbers] = self.used + at
+        self.len[numbers] = np.diff(at, append=len(ids))
         self.used = need
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
@@ -67,21 +68,20 @@ class WordIds:
         new = list(islice(self.index, known, None))
         if not new:
             return
+        self.start, self.len = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.len))
         joined = [i for i, w in enumerate(new) if type(w) is str and w and w.strip() == w and "᠎" not in w]
-        found: list = [None] * len(new)
+        alone = [i for i, w in enumerate(new) if type(w) is tuple or not w or w.strip() != w or "᠎" in w]
         parts = [joined[i:i + AT_ONCE] for i in range(0, len(joined), AT_ONCE)]
         for part, ids in zip(parts, self._each([" " + " ".join([new[i] for i in part]) for part in parts])):
             at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(part) or at[0]:  # a tokenizer of another kind
-                got = self._each([" " + new[i] for i in part])
-            else:
-                got = np.split(ids, at[1:])
-            for i, x in zip(part, got):
-                found[i] = x
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(rest, self._each([w[0] if type(w) is tuple else " " + w for w in (new[i] for i in rest)])):
-            found[i] = x
-        self._store(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+            if len(at) == len(part) and not at[0]:
+                self._store(known + np.array(part), ids, at)
+            else:  # a tokenizer of another kind
+                alone += part
+        if alone:
+            found = self._each([w[0] if type(w) is tuple else " " + w for w in (new[i] for i in alone)])
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            self._store(known + np.array(alone), np.concatenate(found), np.cumsum(n) - n)
 
     def _words(self, text: str) -> Iterator[list]:
         """The words of a text, one segment after the other; the first word of the text is a tuple."""
