@@ -1,5 +1,5 @@
 """All queries of the training-data operators; importing a module registers its own."""
 
-from tidewatch.llm import (query_ann, query_bpe, query_chat, query_html, query_langid, query_packing, query_quality, query_simhash,  # noqa: F401
-                           query_topk, query_toxicity)  # noqa: F401
+from tidewatch.llm import (query_ann, query_bpe, query_chat, query_html, query_idfile, query_langid, query_packing, query_quality,  # noqa: F401
+                           query_simhash, query_topk, query_toxicity)  # noqa: F401
 from tidewatch.llm.base import ORACLES, QUERIES  # noqa: F401
