@@ -2,9 +2,11 @@
 
 The pattern of these tokenizers takes at most one space before a word and otherwise never goes from a
 word into white space, so a text can be cut before each single space and the parts encoded by themselves.
-Texts where that doesn't hold go to the library whole. New words of a batch are joined into long strings,
-which the library encodes much faster than as many short ones: in the answer a word begins where a piece
-begins with a space. Ids of texts are then gathered by word number in numpy."""
+Texts where that doesn't hold go to the library whole. Of new words, runs of Latin letters, perhaps with
+signs after them, are what the pattern cuts out itself, so they go right to the library's BPE model. Other
+words of a batch are joined into long strings, which the library encodes much faster than as many short
+ones: in the answer a word begins where a piece begins with a space. Ids of texts are then gathered by
+word number in numpy."""
 
 from __future__ import annotations
 
@@ -21,6 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE = 1_000_000  # distinct words whose ids a worker keeps
 AT_ONCE = 2_000  # words joined to one string
 SEGMENT = 1_000_000  # characters of a text that are split into words at a time
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?]{{0,3}})")
 _DOUBLE = re.compile(r" (?=[\s᠎]|\Z)")
 _UNSAFE = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
 
@@ -37,6 +41,15 @@ class WordIds:
         vocab = self.lib.get_vocab(True)
         self.opens = np.zeros(1 + max(vocab.values(), default=0), bool)
         self.opens[[i for piece, i in vocab.items() if piece.startswith("Ġ")]] = True
+        # letters as the model sees them; None if the file's steps are not those of a byte-level tokenizer
+        alphabet = [chr(c) for c in range(256) if re.fullmatch(f"[{_LETTERS}]", chr(c))]
+        try:
+            seen = {c: self.lib.pre_tokenizer.pre_tokenize_str(" " + c) for c in alphabet}
+            self.letters = {ord(c): x[0][0][1:] for c, x in seen.items() if len(x) == 1 and x[0][0][:1] == "Ġ"}
+        except AttributeError:
+            self.letters = {}
+        self.direct = len(self.letters) == len(alphabet) and self.lib.normalizer is None and self.lib.post_processor is None
+        self.tails: dict[str, list[int]] = {"": []}
         self.clear()
 
     def clear(self) -> None:
@@ -69,8 +82,27 @@ class WordIds:
         if not new:
             return
         self.start, self.len = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.len))
-        joined = [i for i, w in enumerate(new) if type(w) is str and w and w.strip() == w and "᠎" not in w]
-        alone = [i for i, w in enumerate(new) if type(w) is tuple or not w or w.strip() != w or "᠎" in w]
+        plain, ids, lens, joined, alone = [], [], [], [], []
+        model, letters, tails = self.lib.model.tokenize, self.letters, self.tails
+        for i, w in enumerate(new):
+            if type(w) is tuple:
+                alone.append(i)
+            elif self.direct and (m := _PLAIN.fullmatch(w)):
+                stem, tail = m.groups()
+                own = [t.id for t in model("Ġ" + (stem if stem.isascii() else stem.translate(letters)))]
+                if tail:
+                    if tail not in tails:
+                        tails[tail] = self._each([tail])[0].tolist()
+                    own += tails[tail]
+                plain.append(i)
+                ids += own
+                lens.append(len(own))
+            elif w and w.strip() == w and "᠎" not in w:
+                joined.append(i)
+            else:
+                alone.append(i)
+        if plain:
+            self._store(known + np.array(plain), np.array(ids, np.uint32), np.cumsum(lens) - lens)
         parts = [joined[i:i + AT_ONCE] for i in range(0, len(joined), AT_ONCE)]
         for part, ids in zip(parts, self._each([" " + " ".join([new[i] for i in part]) for part in parts])):
             at = np.flatnonzero(self.opens[ids])
