@@ -42,9 +42,9 @@ from tidewatch.llm.base import blocks, release, tasks, texts_of
 from tidewatch.llm.byteids import word_ids
 from tidewatch.plans.lineage import shared_folder, stored
 
-LIMIT = 20  # bits of the longest code
-BLOCK = 1 << 17  # ids of a block
-EVERY = 256  # ids between two checkpoints
+LIMIT = 18  # bits of the longest code, more if the different ids need them
+BLOCK = 1 << 18  # ids of a block
+EVERY = 128  # ids between two checkpoints
 AT_ONCE = 2_000_000  # characters of texts encoded together
 MAGIC = b"TWH1"
 HEAD = struct.Struct("<4sIIIQ")
@@ -91,34 +91,34 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 @lru_cache(maxsize=2)
-def coder(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(code, length) of each id."""
+def coder(lengths: bytes) -> np.ndarray:
+    """Code and length (lowest 5 bits) of each id."""
     n = np.frombuffer(lengths, np.uint8)
-    return canonical(n)[1], n.astype(np.int64)
+    return canonical(n)[1] << np.uint64(5) | n
 
 
 @lru_cache(maxsize=2)
-def decoder(lengths: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(id, code length) of the first code in each ``width`` bits, and the width; length 0 where no code fits."""
+def decoder(lengths: bytes) -> tuple[np.ndarray, int]:
+    """Id and code length (lowest 5 bits) of the first code in each ``width`` bits, and the width; 0 where no code fits."""
     n = np.frombuffer(lengths, np.uint8)
     ids, _, width = canonical(n)
     room = np.left_shift(1, width - n[ids].astype(np.int64))
-    symbol, bits = np.zeros(1 << width, np.uint32), np.zeros(1 << width, np.uint8)
-    symbol[:room.sum()], bits[:room.sum()] = np.repeat(ids, room), np.repeat(n[ids], room)
-    return symbol, bits, width
+    table = np.zeros(1 << width, np.uint32)
+    table[:room.sum()] = np.repeat(ids << 5 | n[ids], room)
+    return table, width
 
 
 # --- blocks -----------------------------------------------------------------------------------------------
 def encode_block(ids: np.ndarray, docs: list[int], before: int, lengths: bytes, every: int = EVERY) -> bytes:
     """One block; ``docs`` says how many of the ids belong to each document."""
-    codes, bits = coder(lengths)
-    n = bits[ids]
+    found = coder(lengths)[ids]
+    n = (found & np.uint64(31)).astype(np.int64)
     if not n.all():
         raise ValueError("an id without a code")
     end = np.cumsum(n)
     at = end - n
     # a code lies in at most two words of 32 bits
-    word, shifted = at >> 5, codes[ids] << (64 - (at & 31) - n).astype(np.uint64)
+    word, shifted = at >> 5, found >> np.uint64(5) << (64 - (at & 31) - n).astype(np.uint64)
     out = np.zeros(int(end[-1] + 31) // 32 + 2 if len(ids) else 1, np.uint64)
     if len(ids):
         first = np.flatnonzero(np.diff(word, prepend=-1))
@@ -139,20 +139,21 @@ def decode_block(data: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray, i
     lanes = -(-n // every)
     start = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
     raw = np.frombuffer(data, np.uint8, offset=at + 4 * lanes)
-    symbol, bits, width = decoder(lengths)
-    raw = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
-    words = raw[:-3] << np.uint64(24) | raw[1:-2] << np.uint64(16) | raw[2:-1] << np.uint64(8) | raw[3:]  # 32 bits from each byte on
-    last, mask = len(words) - 1, np.int64((1 << width) - 1)
-    words = words.astype(np.int64)
+    table, width = decoder(lengths)
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint32)
+    words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]  # 32 bits from each byte on
+    last, mask, spare = len(words) - 1, np.int64((1 << width) - 1), 32 - width
     out = np.zeros((every, lanes), np.uint32)
     pos = start.copy()
     tail = n - (lanes - 1) * every if lanes else 0
     for k in range(every if lanes > 1 else tail):
         if k == tail:  # the last stretch is shorter
             pos, ended = pos[:-1], pos[-1]
-        code = (words[np.minimum(pos >> 3, last)] >> (32 - width - (pos & 7))) & mask
-        out[k, :len(pos)] = symbol[code]
-        pos = pos + bits[code]
+        code = (words.take(np.minimum(pos >> 3, last)).astype(np.int64) >> (spare - (pos & 7))) & mask
+        found = table.take(code)
+        out[k, :len(pos)] = found
+        pos = pos + (found & 31)
+    out >>= 5
     if lanes:
         pos = pos if tail == every or lanes == 1 else np.append(pos, ended)
         if (pos[:-1] != start[1:]).any() or (pos[-1] + 7) // 8 != len(raw) - 8:
@@ -256,7 +257,7 @@ def id_blocks(ids: DataFrame, lengths: bytes, kind: str, block: int = BLOCK, eve
                     take = min(len(own) - at, block - have)
                     docs.append(i)
                     counts.append(take)
-                    held.append(own[at:at + take].astype(np.int64))
+                    held.append(own[at:at + take])
                     have, at = have + take, at + take
                     if have == block:
                         yield row(type_)
@@ -278,7 +279,8 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, end_id: int = 0, doc_id:
     spark = df.sparkSession
     ids = stored(token_ids(df, tokenizer, end_id, doc_id, text), "ids")
     kind = _kind(len(word_ids(tokenizer).opens), end_id)
-    lengths = code_lengths(id_counts(ids, kind), limit).tobytes()
+    counts = id_counts(ids, kind)
+    lengths = code_lengths(counts, max(limit, int(np.count_nonzero(counts)).bit_length())).tobytes()
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
     id_blocks(ids, lengths, kind, block, every).write.parquet(f"{path}/blocks")
 
