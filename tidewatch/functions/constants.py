@@ -29,6 +29,9 @@ LAB_CODES = {
     "anion_gap": [50868],
     "inr": [51237, 51675],
 }
+URINE_CODES = [226559, 226560, 226561, 226584, 226563, 226564, 226565, 226567, 226557, 226558, 227489, 227488, 226627, 226631]
+HEIGHT_CODES = [226730, 226707, 1394, 216235, 3486, 3485]
+WEIGHT_CODES = [226512, 226531, 224639, 763, 3580, 3693, 3581]
 FAHRENHEIT_CODES = [223761]
 INCH_CODES = [226730, 1394, 3486]
 POUND_CODES = [226531, 763, 3693]

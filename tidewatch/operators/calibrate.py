@@ -1,8 +1,13 @@
-"""Recalibration. Two-parameter logistic fits run as grouped Newton steps over score counts;
-isotonic fits use MLlib on the counts."""
+"""Recalibration. Two-parameter logistic fits run as grouped Newton steps over score counts, isotonic
+fits as pools of violators merged upwards; coefficients and pools are tables, never rows on the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,53 +16,128 @@ from pyspark.sql import types as T
 from tidewatch.functions.exprs import clip, logit, sigmoid
 from tidewatch.operators import metrics as M
 from tidewatch.operators.joins import null_safe_join
-from tidewatch.plans.lineage import cut_lineage
+from tidewatch.plans.lineage import cut_lineage, stored
+
+GROUP_ROWS = 1_000_000  # distinct values of a group up to which one task fits it
+
+
+def newton_groups(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, starts: np.ndarray, ridge: float, steps: int,
+                  tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(intercept, slope, status) of consecutive groups of rows, all groups stepping together."""
+    sizes = np.diff(np.append(starts, len(x)))
+    total = lambda v, s=starts: np.add.reduceat(v, s)
+    p, n = total(pos), total(neg)
+    a, b = np.zeros(len(starts)), np.zeros(len(starts))
+    status = np.where((p > 0) & (n > 0), "not converged", "one class").astype(object)
+    for _ in range(steps):
+        open_ = np.flatnonzero(status == "not converged")
+        if not len(open_):
+            break
+        rows = np.repeat(status == "not converged", sizes)
+        X, P, N = x[rows], pos[rows], pos[rows] + neg[rows]
+        at = np.cumsum(sizes[open_]) - sizes[open_]
+        mu = 1.0 / (1.0 + np.exp(-np.clip(np.repeat(a[open_], sizes[open_]) + np.repeat(b[open_], sizes[open_]) * X, -50.0, 50.0)))
+        w, g = N * mu * (1 - mu), P - N * mu
+        h00, h01, h11 = (np.add.reduceat(v, at) for v in (w, w * X, w * X * X))
+        g0, g1 = np.add.reduceat(g, at), np.add.reduceat(g * X, at) - ridge * b[open_]
+        h11 = h11 + ridge
+        det = h00 * h11 - h01 * h01
+        fine = det != 0
+        safe = np.where(fine, det, 1.0)
+        da, db = np.where(fine, (h11 * g0 - h01 * g1) / safe, 0.0), np.where(fine, (h00 * g1 - h01 * g0) / safe, 0.0)
+        a[open_] += da
+        b[open_] += db
+        near = np.maximum(np.abs(da), np.abs(db)) < tolerance * np.maximum(1.0, np.maximum(np.abs(a[open_]), np.abs(b[open_])))
+        status[open_[fine & near]] = "converged"
+        status[open_[~fine]] = "singular"
+    return a, b, status
 
 
 def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: float = 1e-6, steps: int = 100,
-                    tolerance: float = 1e-10) -> DataFrame:
-    """(groups, intercept, slope) of y on x from (groups, x, pos, neg) rows; NULL where a group has
-    one class or, as with separable data, the steps do not converge.
-
-    ``ridge`` penalises the slope only (1/C). A step is one map-side combined aggregate of seven
-    sums per group; only those sums and the coefficients, one row per group of the report, pass
-    the driver. They return as a local table, which Spark broadcasts only if it is small. The
-    counts are written once, since every step reads them."""
+                    tolerance: float = 1e-10, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(groups, intercept, slope, status) of y on x from (groups, x, pos, neg) rows. Both are NULL unless the status is
+    "converged"; others are "one class", "singular" and "not converged", as with separable data.
+
+    ``ridge`` penalises the slope only (1/C). One job fits all groups: rows are shuffled by group, and each task steps
+    through all groups of its batches at once. Only groups of more than ``group_rows`` distinct values, at most
+    rows / ``group_rows`` many, are fitted by map-side combined sums instead, seven per group and step."""
+    counts = counts.select(*groups, F.col(x).cast("double").alias("x"), F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg"))
+    counts = stored(counts.withColumn("_key", F.to_json(F.struct(*groups)) if groups else F.lit("")), "counts")
+    large = counts.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("_key")
+    huge = [r[0] for r in large.collect()]
+    small = counts.where(~F.col("_key").isin(huge)) if huge else counts
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for g in groups for f in counts.schema.fields if f.name == g)
+    names = [*groups, "intercept", "slope", "status"]
+
+    def fit(table: pa.Table) -> pa.RecordBatch:
+        key = table.column("_key").combine_chunks()
+        starts = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        a, b, status = newton_groups(*(table.column(c).to_numpy() for c in ("x", "pos", "neg")), starts, ridge, steps, tolerance)
+        bad = status != "converged"
+        first = table.select(groups).take(pa.array(starts)).combine_chunks()
+        cols = [first.column(g).combine_chunks() for g in groups]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(a, mask=bad), pa.array(b, mask=bad), pa.array(status, pa.string())], names=names)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = held.column("_key")
+            if key[0].as_py() == key[-1].as_py():
+                continue  # one group so far
+            last = pc.index(key, key[-1]).as_py()
+            yield fit(held.slice(0, last))
+            held = held.slice(last)
+        if held is not None:
+            yield fit(held)
+
+    dealt = small.repartition("_key").sortWithinPartitions("_key")
+    out = dealt.mapInArrow(work, (kinds + ", " if kinds else "") + "intercept double, slope double, status string")
+    if huge:
+        out = out.unionByName(_newton_sums(counts.where(F.col("_key").isin(huge)).drop("_key"), groups, ridge, steps, tolerance))
+    return out
+
+
+def _newton_sums(counts: DataFrame, groups: list[str], ridge: float, steps: int, tolerance: float) -> DataFrame:
+    """The same fits by one aggregate of seven sums per group and step: for few groups of very many values."""
     spark = counts.sparkSession
-    counts = cut_lineage(counts.select(*groups, x, "pos", "neg"))
+    counts = cut_lineage(counts)
     kinds = [f for f in counts.schema.fields if f.name in groups]
     schema = T.StructType([*sorted(kinds, key=lambda f: groups.index(f.name)), T.StructField("_a", T.DoubleType()),
-                           T.StructField("_b", T.DoubleType())])
-    coef: dict[tuple, tuple[float | None, float | None]] = {}
-    X, n = F.col(x), (F.col("pos") + F.col("neg")).cast("double")
+                           T.StructField("_b", T.DoubleType()), T.StructField("status", T.StringType())])
+    coef: dict[tuple, tuple[float | None, float | None, str]] = {}
+    X, n = F.col("x"), F.col("pos") + F.col("neg")
     for step in range(steps):
         if step == 0:
             data = counts.withColumns({"_a": F.lit(0.0), "_b": F.lit(0.0)})
         else:
-            known = spark.createDataFrame([(*k, *v) for k, v in coef.items() if v[0] is not None], schema)
+            known = spark.createDataFrame([(*k, *v) for k, v in coef.items() if v[2] == "not converged"], schema).drop("status")
             data = null_safe_join(counts, known, groups) if groups else counts.crossJoin(F.broadcast(known))
         mu = sigmoid(F.col("_a") + F.col("_b") * X)
         w, g = n * mu * (1 - mu), F.col("pos") - n * mu
         rows = data.groupBy(*groups).agg(
             F.sum(w).alias("h00"), F.sum(w * X).alias("h01"), F.sum(w * X * X).alias("h11"), F.sum(g).alias("g0"),
             F.sum(g * X).alias("g1"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
-        moving = set()
         for r in rows:
             key = tuple(r[k] for k in groups)
-            a, b = coef.get(key, (0.0, 0.0))
-            h11, g1 = r.h11 + ridge if r.h11 is not None else None, (r.g1 or 0.0) - ridge * b
-            det = r.h00 * h11 - r.h01 * r.h01 if r.pos and r.neg else 0.0
+            a, b, _ = coef.get(key, (0.0, 0.0, ""))
+            if not (r.pos and r.neg):
+                coef[key] = (None, None, "one class")
+                continue
+            h11, g1 = r.h11 + ridge, r.g1 - ridge * b
+            det = r.h00 * h11 - r.h01 * r.h01
             if not det:
-                coef[key] = (None, None)
+                coef[key] = (None, None, "singular")
                 continue
             da, db = (h11 * r.g0 - r.h01 * g1) / det, (r.h00 * g1 - r.h01 * r.g0) / det
-            coef[key] = (a + da, b + db)
-            if not max(abs(da), abs(db)) < tolerance * max(1.0, abs(a), abs(b)):
-                moving.add(key)
-        if not moving:
+            near = max(abs(da), abs(db)) < tolerance * max(1.0, abs(a + da), abs(b + db))
+            coef[key] = (a + da, b + db, "converged" if near else "not converged")
+        if all(v[2] != "not converged" for v in coef.values()):
             break
-    coef.update(dict.fromkeys(moving, (None, None)))
-    return spark.createDataFrame([(*k, *v) for k, v in coef.items()], schema).withColumnsRenamed({"_a": "intercept", "_b": "slope"})
+    done = [(*k, *(v if v[2] == "converged" else (None, None, v[2]))) for k, v in coef.items()]
+    return spark.createDataFrame(done, schema).withColumnsRenamed({"_a": "intercept", "_b": "slope"})
 
 
 def calibration_slope(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p", steps: int = 100) -> DataFrame:
@@ -66,10 +146,11 @@ def calibration_slope(df: DataFrame, groups: list[str] = (), y: str = "y", p: st
     return slope_of_counts(M.score_counts(df, groups, y, p), list(groups), steps)
 
 
-def slope_of_counts(counts: DataFrame, groups: list[str], steps: int = 100) -> DataFrame:
+def slope_of_counts(counts: DataFrame, groups: list[str], steps: int = 100, status: bool = False) -> DataFrame:
+    """``status`` adds the column calibration_status, which says why a slope is NULL."""
     fit = newton_logistic(counts.withColumn("x", logit("p")), groups, "x", ridge=1e-6, steps=steps)
-    return fit.withColumnsRenamed(
-        {"intercept": "calibration_intercept", "slope": "calibration_slope"})
+    fit = fit.withColumnsRenamed({"intercept": "calibration_intercept", "slope": "calibration_slope", "status": "calibration_status"})
+    return fit if status else fit.drop("calibration_status")
 
 
 def calibration_summary(df: DataFrame, groups: list[str] = (), y: str = "y", p: str = "p", n_bins: int = 10) -> DataFrame:
@@ -91,7 +172,7 @@ def fit_platt(valid: DataFrame, y: str = "y", p: str = "p", C: float = 1.0, step
     """One metadata row: sigmoid calibration fitted on validation logits with an L2 slope penalty."""
     _require_two_classes(valid, y)
     counts = M.score_counts(valid, (), y, p).withColumn("x", logit("p"))
-    coef = newton_logistic(counts, [], "x", ridge=1.0 / C, steps=steps)
+    coef = newton_logistic(counts, [], "x", ridge=1.0 / C, steps=steps).drop("status")
     info = valid.agg(F.count("*").alias("fit_n"), F.avg(F.col(y).cast("double")).alias("fit_positive_rate"))
     return coef.crossJoin(info).select(F.lit("platt_scaling").alias("method"), F.lit("validation").alias("fit_split"), "fit_n",
                                        "fit_positive_rate", F.col("slope").alias("coefficient"), "intercept",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag, hours_between, plus_hours
-from tidewatch.operators.joins import spread_join
+from tidewatch.operators.joins import interval_join, spread_join
 
 
 def first_per_entity(stays: DataFrame, subject: str = "subject_id", time: str = "intime",
@@ -84,11 +84,10 @@ def prior_codes(cohort: DataFrame, admissions: DataFrame, codes: DataFrame, *, s
 def diagnosis_chapter(code: Column, version: Column) -> Column:
     """Chapter of an ICD-9 or ICD-10 code; V and E are ICD-9 prefixes, dots are ignored."""
     c = F.regexp_replace(F.upper(F.trim(code)), "\\.", "")
-    number = F.regexp_extract(F.upper(F.trim(code)), "^([0-9]+)", 1).try_cast("decimal(38,0)")
-    nine = F.when(c.rlike("^[VE]"), F.lit("other_icd9"))
-    for low, high, name in K.ICD9_RANGES:
-        nine = nine.when(number.between(low, high), F.lit(name))
-    nine = nine.otherwise(F.lit("other_icd9"))
+    # the leading number, if it has at most three digits, picks its chapter from a list: evaluated once per code
+    number = F.regexp_extract(F.upper(F.trim(code)), "^0*([0-9]{1,3})(?![0-9])", 1).try_cast("int")
+    chapters = [next((n for low, high, n in K.ICD9_RANGES if low <= i <= high), "other_icd9") for i in range(1000)]
+    nine = F.coalesce(F.get(F.array(*[F.lit(n) for n in chapters]), number), F.lit("other_icd9"))
     ten = F.when(F.lit(False), F.lit(None).cast("string"))
     for pattern, name in K.ICD10_PREFIXES:
         ten = ten.when(c.rlike(pattern), F.lit(name))
@@ -100,14 +99,12 @@ def diagnosis_chapter(code: Column, version: Column) -> Column:
 def chapter_counts(subjects: DataFrame, codes: DataFrame, chapter: Column, chapters: list[str] = K.CHAPTERS,
                    subject: str = "subject_id", prefix: str = "prev_dx_") -> DataFrame:
     """Count of prior codes per chapter, total and a has-any flag; zero when there are none."""
-    wide = (codes.select(subject, chapter.alias("_ch")).groupBy(subject).pivot("_ch", chapters)
-            .agg(F.count(F.lit(1))))
-    out = subjects.select(subject).distinct().join(wide, subject, "left")
-    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in chapters]
-    total = sum(counts[1:], counts[0])
-    return out.select(subject, flag(total > 0).alias("has_prior_diagnoses"),
-                      *[c.alias(f"{prefix}{n}_count") for c, n in zip(counts, chapters)],
-                      total.alias(f"{prefix}count_total"))
+    found = codes.select(subject, chapter.alias("_ch")).groupBy(subject).agg(
+        F.count(F.when(F.col("_ch").isin(list(chapters)), 1)).alias("_total"), *[F.count(F.when(F.col("_ch") == c, 1)).alias(f"_{i}") for i, c in enumerate(chapters)])
+    out = subjects.select(subject).distinct().join(found, subject, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return out.select(subject, flag(F.col("_total") > 0).alias("has_prior_diagnoses"),
+                      *[zero(f"_{i}").alias(f"{prefix}{n}_count") for i, n in enumerate(chapters)], zero("_total").alias(f"{prefix}count_total"))
 
 
 def metastatic(code: Column, version: Column) -> Column:
@@ -143,6 +140,15 @@ def bridge(events: DataFrame, cohort: DataFrame, source: str = "subject_id", sta
     return spread_join(events, first, [source], by=[c for c in events.columns if c != source])
 
 
+def bridge_overlapping(events: DataFrame, stays: DataFrame, *, source: str = "subject_id", time: str = "charttime", start: str = "intime",
+                       end: str = "outtime", width: float = 24.0) -> DataFrame:
+    """Give source-level events every stay of their source that is under way at their time.
+
+    An event within several overlapping stays comes once per stay, one outside all of them not at all.
+    ``width``: hours of a time bucket, near the usual length of a stay."""
+    return interval_join(events, stays, [source], time=time, start=start, end=end, width=width)
+
+
 def map_codes(events: DataFrame, items: DataFrame, code: str = "itemid", value: str | None = None,
               fahrenheit: list | None = None) -> DataFrame:
     """Keep events with a known code and name their variable; Fahrenheit codes become Celsius."""

@@ -163,10 +163,10 @@ def hourly_bins(win: DataFrame, cohort: DataFrame, variables: list[str], *, hour
 
 
 def bins_base(win: DataFrame, *, hours: float = 6.0, bin_hours: float = 1.0, id_col: str = "stay_id",
-              variable: str = "variable", time: str = "charttime", value: str = "valuenum") -> DataFrame:
-    """(id, variable, bin, mean, min, max, last, count): the one aggregate over events."""
+              variable: str = "variable", time: str = "charttime", value: str = "valuenum", also: list[str] = ()) -> DataFrame:
+    """(id, variable, bin, also, mean, min, max, last, count): the one aggregate over events; ``also`` are further key columns."""
     data = win.where(F.col(variable).isNotNull() & F.col(value).isNotNull())
-    return data.groupBy(id_col, variable, bin_index(hours, bin_hours).alias("bin")).agg(
+    return data.groupBy(id_col, variable, bin_index(hours, bin_hours).alias("bin"), *also).agg(
         F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.max_by(value, F.struct(time, value)).alias("last"), F.count(value).alias("count"))
 
@@ -274,13 +274,13 @@ def measurement_process(win: DataFrame, cohort: DataFrame, variables: list[str],
 
 
 def process_base(win: DataFrame, *, id_col: str = "stay_id", variable: str = "variable",
-                 source: str | None = "source") -> DataFrame:
-    """(id, variable, source, count, first hour, last hour): the one aggregate over events."""
+                 source: str | None = "source", also: list[str] = ()) -> DataFrame:
+    """(id, variable, source, also, count, first hour, last hour): the one aggregate over events; ``also`` are further key columns."""
     h = F.col("hours_from_admit")
     data = win.where(F.col(variable).isNotNull())
     if source:
         data = data.withColumn(source, sanitize_token(source))
-    return data.groupBy(id_col, variable, *([source] if source else [])).agg(
+    return data.groupBy(id_col, variable, *([source] if source else []), *also).agg(
         F.count("*").alias("_n"), F.min(h).alias("_a"), F.max(h).alias("_z"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.exprs import hours_between
+
 SALT = 16
 
 
@@ -44,3 +46,22 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], *, by: list[s
 def keep_members(big: DataFrame, members: DataFrame, key: str, *, by: list[str], keep: bool = True) -> DataFrame:
     """Rows of ``big`` whose key is (or, with ``keep=False``, is not) among the members."""
     return spread_join(big, members.select(key).distinct(), [key], by=by, how="left_semi" if keep else "left_anti")
+
+
+def _bucket(df: DataFrame, time: str, width: float) -> Column:
+    """Number of the stretch of ``width`` hours since 1970 that holds a time."""
+    epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType)
+    return F.floor(hours_between(epoch, time) / F.lit(float(width))).cast("bigint")
+
+
+def interval_join(events: DataFrame, spans: DataFrame, keys: list[str], *, time: str, start: str, end: str, width: float) -> DataFrame:
+    """Every event with every span of its key that holds its time, both ends included.
+
+    Keys and time buckets of ``width`` hours are joined for equality: a span is listed once per bucket it
+    touches, so an event only meets spans that touch its own bucket, however many its key has over the years. Choose
+    ``width`` near the usual length of a span. Null times and spans that end before they start match nothing."""
+    some = spans.where(F.col(start) <= F.col(end))
+    listed = some.withColumn("_bucket", F.explode(F.sequence(_bucket(spans, start, width), _bucket(spans, end, width))))
+    dealt = events.where(F.col(time).isNotNull()).withColumn("_bucket", _bucket(events, time, width))
+    both = spread_join(dealt, listed, [*keys, "_bucket"], by=[time])
+    return both.where((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end))).drop("_bucket")

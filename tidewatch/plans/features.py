@@ -5,12 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewatch.operators import cohort as C
-from tidewatch.operators import events as E
-from tidewatch.operators import guards, rules, windows
-from tidewatch.plans.lineage import cut_lineage
+from tidewatch.operators import guards, onepass, rules, windows
 
 
 @dataclass
@@ -34,36 +31,14 @@ def build_features(cohort: DataFrame, events: DataFrame, options: FeatureOptions
                    positives: DataFrame | None = None, id_col: str = "stay_id", label: str = "mortality") -> DataFrame:
     """Every feature group of the windowed events, joined to the cohort by id.
 
-    The windowed events are written once and read by all groups; each group is aggregated to one row per
-    id before it meets the others, so all joins are one to one on the same key."""
+    Events are shuffled once, for all groups together (``operators.onepass``)."""
     o = options
-    win = windows.windowed_events(events, cohort, hours=o.hours, id_col=id_col, variable_col="variable")
-    win = cut_lineage(win)
-    variables = o.vitals + o.labs
-    vital, lab = win.where(F.col("variable").isin(o.vitals)), win.where(F.col("variable").isin(o.labs))
-    parts = []
-    if o.vitals:
-        parts.append(E.spread(E.vital_summary(vital, hours=o.hours, id_col=id_col), id_col, "variable", o.vitals,
-                              ["mean", "min", "max", "measured"]))
-    if o.labs:
-        parts.append(E.spread(E.lab_summary(lab, id_col=id_col), id_col, "variable", o.labs,
-                              ["mean", "min", "max", "delta", "measured"]))
-    near = E.anchor_changes(E.nearest_at_anchors(win, o.anchors, id_col=id_col), o.anchors, [id_col, "variable"])
-    parts.append(E.spread(near, id_col, "variable", variables, [c for c in near.columns if c not in (id_col, "variable")]))
-    if o.trajectory:
-        t = E.trajectory(win, hours=o.hours, id_col=id_col)
-        parts.append(E.spread(t, id_col, "variable", variables, [c for c in t.columns if c not in (id_col, "variable")]))
-    if o.instability:
-        i = E.instability(win, hours=o.hours, id_col=id_col)
-        parts.append(E.spread(i, id_col, "variable", variables, [c for c in i.columns if c not in (id_col, "variable")]))
-    if o.bins:
-        parts.append(E.hourly_bins(win, cohort, variables, hours=o.hours, bin_hours=o.bin_hours, id_col=id_col))
-    if o.process:
-        parts.append(E.measurement_process(win, cohort, variables, hours=o.hours, sources=o.sources, expected=variables, id_col=id_col))
-    out = cohort.select(id_col).distinct()
-    for p in parts + ([static] if static is not None else []):
-        out = out.join(p, id_col, "left")
-    out = out.fillna(0, [f"{v}_measured" for v in variables if f"{v}_measured" in out.columns])
+    busy = onepass.slice_counts(events, id_col)
+    win = windows.windowed_events(events.join(busy, id_col, "left"), cohort, hours=o.hours, id_col=id_col, variable_col="variable")
+    out = onepass.wide_features(win, cohort, hours=o.hours, vitals=o.vitals, labs=o.labs, bin_hours=o.bin_hours, anchors=o.anchors, sources=o.sources,
+                                bins=o.bins, trajectory=o.trajectory, instability=o.instability, process=o.process, id_col=id_col)
+    if static is not None:
+        out = out.join(static, id_col, "left")
     if o.row_rules:
         out = rules.interactions(rules.organ_flags(rules.derived_flags(out)))
     if o.check_provenance:

@@ -16,7 +16,8 @@ from tidewatch.plans import preprocess as plan_preprocess
 from tidewatch.plans import suite
 from tidewatch.plans.lineage import cut_lineage, shared_folder
 from tidewatch.streaming import windows as stream
-from workload.base import (BIN, HOURS, ORACLES, SOURCES, VARIABLES, event_cohort, long_events, query, rounded, scored, table, wide)
+from workload import raw
+from workload.base import (BIN, HOURS, ORACLES, SOURCES, VARIABLES, event_cohort, long_events, query, rounded, scored, table, wide, win_sql)
 
 FEATURES = ["age", "heart_rate_mean", "sbp_mean", "resp_rate_mean", "temp_mean", "lactate_mean", "glucose_mean", "sodium_mean",
             "alkaline_phosphatase_mean", "risk"]
@@ -162,12 +163,16 @@ def preprocess_table(spark, sf):
     return plan_preprocess.preprocess(w.drop("subject_id"), key="stay_id", label="mortality")[0]
 
 
-@query("feature_table")
+@query("feature_table", win_sql().replace(" AS h\n", " AS h, valuenum AS v\n") + ", "
+       + raw.stats_sql(HOURS, BIN, [0, 24, 48, 96], 0.5, 1.0, 2.0, VARIABLES)
+       + f" SELECT c.stay_id, {raw.columns_sql(['click', 'error', 'view'], ['purchase', 'signup'], HOURS, BIN, [0, 24, 48, 96])}, "
+       "CASE WHEN c.stay_id IN (SELECT user_id FROM events WHERE value > 200) THEN 1 ELSE 0 END AS mortality "
+       "FROM cohort c LEFT JOIN s USING (stay_id) LEFT JOIN tot USING (stay_id) GROUP BY c.stay_id")
 def feature_table(spark, sf):
     o = plan_features.FeatureOptions(hours=HOURS, bin_hours=BIN, anchors=[0, 24, 48, 96], vitals=["click", "error", "view"],
                                      labs=["purchase", "signup"], row_rules=False)
     e = long_events(spark, sf)
-    return plan_features.build_features(event_cohort(spark, sf), e, o, positives=e.where("valuenum > 200"))
+    return rounded(plan_features.build_features(event_cohort(spark, sf), e, o, positives=e.where("valuenum > 200")))
 
 
 # --- streams: the same rows as the batch operators --------------------------------------------------
