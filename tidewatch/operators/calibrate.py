@@ -6,9 +6,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.exprs import clip, logit, sigmoid
 from tidewatch.operators import metrics as M
 from tidewatch.operators.joins import null_safe_join
+from tidewatch.operators.ranking import bucket_of, fit_edges
 from tidewatch.plans.lineage import cut_lineage, stored
 
 GROUP_ROWS = 1_000_000  # distinct values of a group up to which one task fits it
@@ -184,16 +185,76 @@ def apply_platt(df: DataFrame, fitted: DataFrame, p: str = "p", name: str = "p_c
     return joined.withColumn(name, sigmoid(F.col("_a") + F.col("_b") * logit(p))).drop("_a", "_b")
 
 
-def fit_isotonic(valid: DataFrame, y: str = "y", p: str = "p") -> IsotonicRegressionModel:
-    """Isotonic fit on validation probabilities, on one weighted row per distinct score."""
-    _require_two_classes(valid, y)
-    c = M.score_counts(valid, (), y, p)
+def pool_violators(low: np.ndarray, high: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pools (low, high, sum, weight) of consecutive pools in order, neighbours merged until their means rise."""
+    out: list[list[float]] = []
+    for a, b, s, w in zip(low.tolist(), high.tolist(), total.tolist(), n.tolist()):
+        while out and out[-1][2] * w >= s * out[-1][3]:
+            a, _, t, v = out.pop()
+            s, w = s + t, w + v
+        out.append([a, b, s, w])
+    return tuple(np.array(c, float) for c in zip(*out)) if out else (np.zeros(0),) * 4
+
+
+POOL = "p_low double, p_high double, total double, n double"
+
+
+def isotonic_pools(counts: DataFrame, per_bucket: int = 20_000, fan: int = 16) -> DataFrame:
+    """(p_low, p_high, total, n) pools of the isotonic fit of (p, pos, neg) rows, one row per distinct p.
+
+    Scores are cut into buckets of about ``per_bucket`` distinct values, each pooled by itself; then ``fan`` neighbouring
+    buckets at a time are put together and pooled again, until one is left. Pools are the edges of a convex chain under
+    the running counts, so n rows leave at most about n^(2/3) of them, however the scores lie: that is the most
+    that ever meets in one task."""
     n = F.col("pos") + F.col("neg")
-    data = c.select(F.col("p").alias("x"), (F.col("pos") / n).alias("t"), n.cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="x", labelCol="t", weightCol="w", predictionCol="_iso").fit(data)
+    edges = fit_edges(counts, "p", max(1, counts.count() // per_bucket))
+    pools = counts.select(bucket_of("p", edges).alias("bucket"), F.col("p").cast("double").alias("p_low"), F.col("p").cast("double").alias("p_high"),
+                          F.col("pos").cast("double").alias("total"), n.cast("double").alias("n"))
+    left = len(edges) + 1
+
+    def pooled(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("p_low", kind="stable")
+        made = pool_violators(*(part[c].to_numpy() for c in ("p_low", "p_high", "total", "n")))
+        return pd.DataFrame({"bucket": part["bucket"].iloc[0], **dict(zip(("p_low", "p_high", "total", "n"), made))})
+
+    while True:
+        pools = pools.groupBy("bucket").applyInPandas(pooled, f"bucket int, {POOL}")
+        if left == 1:
+            return pools.drop("bucket")
+        pools = pools.withColumn("bucket", F.floor(F.col("bucket") / fan).cast("int"))
+        left = -(-left // fan)
+
+
+def fit_isotonic(valid: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """(p_low, p_high, value, n): the pools of an isotonic fit on validation probabilities, stored once."""
+    _require_two_classes(valid, y)
+    counts = stored(M.score_counts(valid, (), y, p), "scores")
+    return stored(isotonic_pools(counts).select("p_low", "p_high", (F.col("total") / F.col("n")).alias("value"), "n"), "pools")
+
+
+KNOTS = 64  # knots of a pool table that a row is held against
+
 
+def apply_isotonic(df: DataFrame, pools: DataFrame, p: str = "p", name: str = "p_calibrated") -> DataFrame:
+    """Interpolated fit, constant outside the fitted range, within [0, 1]; NULL for a null score.
 
-def apply_isotonic(df: DataFrame, model: IsotonicRegressionModel, p: str = "p", name: str = "p_calibrated") -> DataFrame:
-    """Interpolated fit, constant outside the fitted range, within [0, 1]."""
-    out = model.transform(df.withColumn("x", F.col(p).cast("double")))
-    return out.withColumn(name, clip("_iso", 0.0, 1.0)).drop("x", "_iso")
+    Rows join the few knots around them by bucket, so the pool table is never sent whole to a task."""
+    knots = pools.select(F.explode(F.array(F.struct(F.col("p_low").alias("x"), F.col("value").alias("v")),
+                                           F.struct(F.col("p_high").alias("x"), F.col("value").alias("v")))).alias("k")).select("k.*").distinct()
+    knots = stored(knots, "knots")
+    edges = fit_edges(knots, "x", max(1, knots.count() // KNOTS))
+    own = knots.groupBy(bucket_of("x", edges).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("_k"))
+    # one row per bucket, with the last knot before and the first after; buckets lie between neighbouring edges
+    near = own.select("_b", "_k", F.element_at("_k", 1).alias("a"), F.element_at("_k", -1).alias("z"))
+    ahead = near.select((F.col("_b") + 1).alias("_b"), F.array("z").alias("_prev"))
+    behind = near.select((F.col("_b") - 1).alias("_b"), F.array("a").alias("_next"))
+    none = F.slice(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("v"))), 1, 0)
+    both = near.select("_b", "_k").join(ahead, "_b", "left").join(behind, "_b", "left").select(
+        "_b", F.concat(F.coalesce("_prev", none), "_k", F.coalesce("_next", none)).alias("_k"))
+    x = F.col(p).cast("double")
+    joined = df.withColumn("_b", bucket_of(x, edges)).join(both, "_b", "left")
+    under, over = F.filter("_k", lambda k: k["x"] <= x), F.filter("_k", lambda k: k["x"] >= x)
+    lo, hi = F.element_at(F.when(F.size(under) > 0, under), -1), F.element_at(F.when(F.size(over) > 0, over), 1)
+    part = F.try_divide(x - lo["x"], hi["x"] - lo["x"])
+    value = F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["x"] == hi["x"]), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * part)
+    return joined.withColumn(name, F.when(x.isNotNull(), clip(value, 0.0, 1.0))).drop("_b", "_k")

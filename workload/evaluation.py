@@ -294,10 +294,33 @@ def platt_metadata(spark, sf):
     return rounded(calibrate.fit_platt(s.where("split = 'validation'")), 5)
 
 
-@query("isotonic_scale")
+def _isotonic_sql(score: str) -> str:
+    """Max-min form of the isotonic fit over the distinct validation scores: the value at i is the largest, over starts a
+    up to i, of the smallest mean of a..b over ends b from i on."""
+    return f"""iso_c AS (SELECT {score} AS p, sum(y) AS s, count(*) AS n FROM scored WHERE split = 'validation' GROUP BY 1),
+iso_r AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p) AS cs, sum(n) OVER (ORDER BY p) AS cn, s, n FROM iso_c),
+iso_t AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM iso_r a JOIN iso_r b ON b.i >= a.i),
+iso_m AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM iso_t),
+iso AS (SELECT p, max(m) AS v FROM iso_m JOIN iso_r USING (i) GROUP BY p)"""
+
+
+@query("isotonic_scale", f"WITH {SCORED}, {_isotonic_sql('p_b')} SELECT row_id, split, s.p_b AS p, round(v, 6) AS p_calibrated FROM scored s LEFT JOIN iso ON iso.p = s.p_b")
 def isotonic_scale(spark, sf):
     s = scored(spark, sf).select("row_id", "split", "y", F.col("p_b").alias("p"))
-    return calibrate.apply_isotonic(s, calibrate.fit_isotonic(s.where("split = 'validation'"))).drop("y")
+    out = calibrate.apply_isotonic(s, calibrate.fit_isotonic(s.where("split = 'validation'"))).drop("y")
+    return out.withColumn("p_calibrated", F.round("p_calibrated", 6))
+
+
+_FINE = "round(p_a, 2)"
+
+
+@query("isotonic_curve", f"WITH {SCORED}, {_isotonic_sql(_FINE)} SELECT p, n, CAST(s AS BIGINT) AS pos, round(v, 6) AS p_calibrated FROM iso_c JOIN iso USING (p)")
+def isotonic_curve(spark, sf):
+    """The fitted curve at every validation score, to two decimals."""
+    s = scored(spark, sf).where("split = 'validation'").select("y", F.expr(_FINE).alias("p"))
+    seen = s.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"))
+    out = calibrate.apply_isotonic(seen, calibrate.fit_isotonic(s))
+    return out.select("p", "n", "pos", F.round("p_calibrated", 6).alias("p_calibrated"))
 
 
 # --- bootstrap ----------------------------------------------------------------------------------
