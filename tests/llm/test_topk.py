@@ -58,3 +58,30 @@ def test_edge_cases(spark):
     one = 1024 * 1024
     assert answers(topk.top(df)) == {0: [(8, 2 ** 63 - 1), (1, one), (7, one), (100, 0)], 100: [(0, 0), (1, 0), (7, 0), (8, 0)]}
     assert topk.top(df.limit(0)).collect() == [] and topk.top(df.where("vec_id = 0")).collect() == []
+
+
+@pytest.mark.parametrize("size", [2 ** 20, 2 ** 26, 2 ** 29, 2 ** 40])
+def test_large_components_are_exact(size):
+    """Permutations of one vector have the same score with a constant query, so ids alone decide."""
+    r = np.random.default_rng(size)
+    v = r.integers(-size, size, 200)
+    x = np.stack([r.permutation(v) for _ in range(400)])
+    ids = r.permutation(400).tolist()
+    q = np.full((3, 200), [[1], [3], [size]])
+    q[1, 0] += 1
+    score = np.array([[sum(int(a) * int(b) for a, b in zip(row, one)) for row in x] for one in q], object)
+    held = lambda s: max(-2 ** 63, min(2 ** 63 - 1, s))
+    for one, (got, scores) in zip(score, topk.Lists(x, [[i] for i in ids]).search(q, 11)):
+        want = sorted((-s, i) for s, i in zip(one, ids))[:11]
+        assert got == [i for _, i in want] and scores == [held(-s) for s, _ in want]
+
+
+def test_queries_are_dealt_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 60)
+    monkeypatch.setattr(topk, "ASKED", 3)
+    r = np.random.default_rng(4)
+    x = r.normal(0, 2.0 ** 22, (300, 5))
+    df = spark.createDataFrame([(10 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    z = np.floor(x * 1024).astype(np.int64).astype(object)
+    want = {q: [(10 * i, -s) for s, i in sorted((-int(z[q // 10] @ z[i]), i) for i in range(300) if i != q // 10)[:10]] for q in range(0, 3000, 100)}
+    assert answers(topk.top(df)) == {q: [(i, max(-2 ** 63, min(2 ** 63 - 1, s))) for i, s in v] for q, v in want.items()}

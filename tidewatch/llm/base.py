@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,16 @@ def blocks(texts: Iterable[str | None], size: int) -> Iterator[list[str | None]]
         yield part
 
 
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(place, run) of a text column in runs of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        to = min(len(column), 1 + int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def sampled(hash_: Column, fraction: float) -> Column:
     """Whether a row's hash falls into the first ``fraction`` of its range: a sample that needs no sort."""
     return F.pmod(hash_, F.lit(1 << 30)) < F.lit(min(1 << 30, int(fraction * (1 << 30)) + 1))

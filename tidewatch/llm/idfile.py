@@ -38,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import blocks, release, tasks, texts_of
+from tidewatch.llm.base import release, slices, tasks
 from tidewatch.llm.byteids import word_ids
 from tidewatch.plans.lineage import shared_folder, stored
 
 LIMIT = 18  # bits of the longest code, more if the different ids need them
 BLOCK = 1 << 18  # ids of a block
 EVERY = 128  # ids between two checkpoints
-AT_ONCE = 2_000_000  # characters of texts encoded together
+AT_ONCE = 4_000_000  # bytes of texts encoded together
 MAGIC = b"TWH1"
 HEAD = struct.Struct("<4sIIIQ")
 
@@ -189,19 +189,27 @@ def crc_joined(parts: Iterable[tuple[int, int]]) -> int:
 
 # --- tables -------------------------------------------------------------------------------------------------
 def token_ids(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(uid, doc_id, n, ids): each document's ids and the end id, little-endian, in 2 bytes where all ids of the tokenizer allow."""
+    """(uid, doc_id, n, ids): each document's ids and the end id, little-endian, in 2 bytes where all ids of the tokenizer allow.
+
+    Each task adds a row with a negative uid, whose ``ids`` are its counts of all ids (64 bits each)."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_ids(tokenizer)
-        uid, kind = TaskContext.get().partitionId() << 40, _kind(len(enc.opens), end_id)
+        part = TaskContext.get().partitionId()
+        uid, kind, type_ = part << 40, _kind(len(enc.opens), end_id), None
+        counts = np.zeros(max(len(enc.opens), end_id + 1), np.int64)
         for b in batches:
-            done = 0
-            for part in blocks(texts_of(b.column(1)), AT_ONCE):
-                ids, lens = enc.batch(part, end_id)
-                ids, ends = ids.astype(kind), np.cumsum(lens)
-                own = [ids[e - n:e].tobytes() for e, n in zip(ends.tolist(), lens.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(part))), b.column(0).slice(done, len(part)), pa.array(lens),
+            type_ = b.column(0).type
+            for at, texts in slices(b.column(1), AT_ONCE):
+                ids, lens = enc.batch(texts, end_id)
+                counts += np.bincount(ids, minlength=len(counts))
+                raw, ends = memoryview(ids.astype(kind)).cast("B"), np.cumsum(lens) * int(kind[-1])
+                own = [raw[e - n:e] for e, n in zip(ends.tolist(), (lens * int(kind[-1])).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(lens))), b.column(0).slice(at, len(lens)), pa.array(lens),
                                                   pa.array(own, pa.binary())], names=["uid", "doc_id", "n", "ids"])
-                uid, done = uid + len(part), done + len(part)
+                uid += len(lens)
+        if type_ is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int64()), pa.nulls(1, type_), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary())],
+                                             names=["uid", "doc_id", "n", "ids"])
         release()
 
     kind = df.schema[doc_id].dataType.simpleString()
@@ -212,20 +220,18 @@ def _kind(vocabulary: int, end_id: int) -> str:
     return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
 
 
-def id_counts(ids: DataFrame, kind: str) -> np.ndarray:
-    """How often each id occurs over all documents: a count per id and task, added up in Spark."""
+def id_counts(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs over all documents: the tasks' counts, added up in Spark; at most a row per id comes back."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(own) > len(total):
-                    total, own = own.astype(np.int64), total
-                total[:len(own)] += own
+                own = np.frombuffer(x.as_buffer(), np.int64)
+                total = own + total if len(total) else own
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.where("uid < 0").select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 + max((r.id for r in rows), default=0), np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -269,7 +275,7 @@ def id_blocks(ids: DataFrame, lengths: bytes, kind: str, block: int = BLOCK, eve
         release()
 
     keys = [F.asc_nulls_first("doc_id"), F.asc("n"), F.asc("_c"), F.asc("uid")]
-    dealt = ids.withColumn("_c", F.crc32("ids")).repartitionByRange(tasks(ids), *keys).sortWithinPartitions(*keys)
+    dealt = ids.where("uid >= 0").withColumn("_c", F.crc32("ids")).repartitionByRange(tasks(ids), *keys).sortWithinPartitions(*keys)
     return dealt.select("doc_id", "ids").mapInArrow(work, f"part int, number long, first long, n_ids long, docs array<{docs_type}>, data binary")
 
 
@@ -279,7 +285,7 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, end_id: int = 0, doc_id:
     spark = df.sparkSession
     ids = stored(token_ids(df, tokenizer, end_id, doc_id, text), "ids")
     kind = _kind(len(word_ids(tokenizer).opens), end_id)
-    counts = id_counts(ids, kind)
+    counts = id_counts(ids)
     lengths = code_lengths(counts, max(limit, int(np.count_nonzero(counts)).bit_length())).tobytes()
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
     id_blocks(ids, lengths, kind, block, every).write.parquet(f"{path}/blocks")

@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import blocks, release, texts_of
+from tidewatch.llm.base import release, slices
 from tidewatch.llm.byteids import WordIds, word_ids  # noqa: F401
 from tidewatch.plans.lineage import stored
 
 PER_RANK = 5_000  # pieces of one length ranked in one group
-AT_ONCE = 2_000_000  # characters of texts encoded together
+AT_ONCE = 4_000_000  # bytes of texts encoded together
 PIECES = "uid long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,8 +46,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
         enc = word_ids(tokenizer)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            done = 0
-            for part in blocks(texts_of(b.column(1)), AT_ONCE):
+            for done, part in slices(b.column(1), AT_ONCE):
                 ids, lens = enc.batch(part, end_id)
                 raw, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(lens)
                 # of each text: pieces, tokens of the first one; then of each piece: its text, number, place and length
@@ -62,7 +61,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(uid, uid + len(doc))), b.column(0).take(pa.array(doc + done)), pa.array(k.astype(np.int32)), pa.array(start),
                      pa.array(length), pa.array(crc, pa.int64())], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
-                uid, done = uid + len(doc), done + len(part)
+                uid += len(doc)
         release()
 
     kind = df.schema[doc_id].dataType.simpleString()
