@@ -80,7 +80,7 @@ def test_queries_are_dealt_in_groups(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 60)
     monkeypatch.setattr(topk, "ASKED", 3)
     r = np.random.default_rng(4)
-    x = r.normal(0, 2.0 ** 22, (300, 5))
+    x = r.normal(0, 2.0 ** 16, (300, 5))
     df = spark.createDataFrame([(10 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     z = np.floor(x * 1024).astype(np.int64).astype(object)
     want = {q: [(10 * i, -s) for s, i in sorted((-int(z[q // 10] @ z[i]), i) for i in range(300) if i != q // 10)[:10]] for q in range(0, 3000, 100)}

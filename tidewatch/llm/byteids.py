@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE = 1_000_000  # distinct words whose ids a worker keeps
+CACHE = 500_000  # distinct words whose ids a worker keeps
 AT_ONCE = 2_000  # words joined to one string
 SEGMENT = 1_000_000  # characters of a text that are split into words at a time
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -59,7 +59,10 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        """Forget all words."""
+        """Forget all words. The old table refers to itself by its factory, so it is emptied at once."""
+        if hasattr(self, "index"):
+            self.index.default_factory = None
+            self.index.clear()
         self.index: dict = defaultdict()  # a word after a space, or (word,) of a text's first one -> its number
         self.index.default_factory = self.index.__len__
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
