@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE = 500_000  # distinct words whose ids a worker keeps
+CACHE = 300_000  # distinct words whose ids a worker keeps
 AT_ONCE = 2_000  # words joined to one string
 SEGMENT = 1_000_000  # characters of a text that are split into words at a time
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -209,4 +209,10 @@ class WordIds:
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
+    """The encoder of a file, one per worker; it lives on between tasks."""
     return WordIds(path)
+
+
+def forget() -> None:
+    """Drop encoders that an earlier stage has left in this worker."""
+    word_ids.cache_clear()

@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.base import release, slices, tasks
-from tidewatch.llm.byteids import word_ids
+from tidewatch.llm.byteids import forget, word_ids
 from tidewatch.plans.lineage import shared_folder, stored
 
 LIMIT = 18  # bits of the longest code, more if the different ids need them
 BLOCK = 1 << 18  # ids of a block
 EVERY = 128  # ids between two checkpoints
-AT_ONCE = 4_000_000  # bytes of texts encoded together
+AT_ONCE = 2_000_000  # bytes of texts encoded together
 MAGIC = b"TWH1"
 HEAD = struct.Struct("<4sIIIQ")
 
@@ -207,6 +207,7 @@ def token_ids(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(lens))), b.column(0).slice(at, len(lens)), pa.array(lens),
                                                   pa.array(own, pa.binary())], names=["uid", "doc_id", "n", "ids"])
                 uid += len(lens)
+            release()
         if type_ is not None:
             yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int64()), pa.nulls(1, type_), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary())],
                                              names=["uid", "doc_id", "n", "ids"])
@@ -244,6 +245,7 @@ def id_blocks(ids: DataFrame, lengths: bytes, kind: str, block: int = BLOCK, eve
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(docs_type)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part = TaskContext.get().partitionId()
         docs, counts, held, have, before, number = [], [], [], 0, 0, 0
 
@@ -302,6 +304,7 @@ def read_pieces(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     rows = found.join(F.broadcast(base), "part").select((F.col("base") + F.col("first")).alias("first"), "docs", "data")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for k in range(b.num_rows):
                 got, n, before = decode_block(b.column(2)[k].as_buffer(), lengths)
