@@ -8,13 +8,15 @@ spread over many tasks. Nothing but edges of cells reaches the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.constants import POISSON_CUTS
-from tidewatch.functions.resample import runs
+from tidewatch.functions.resample import BLOCK_CELLS, runs, weights
 from tidewatch.operators import metrics as M
 from tidewatch.operators.ranking import cell_of, fit_cells, fit_edges
 from tidewatch.plans.lineage import stored
@@ -104,6 +106,65 @@ def replicate_metrics(df: DataFrame, row_key: str, *, n_boot: int, threshold: fl
     return M.finish_metrics(table, ["replicate", "model"], True)
 
 
+def replicate_values(df: DataFrame, row_key: str, callbacks: dict[str, Callable], *, n_boot: int, seed: int = 12345, models: dict[str, str] | None = None,
+                     y: str = "y", p: str = "p") -> DataFrame:
+    """(replicate, model, metric, value) of the caller's own metrics on the same resamples as ``replicate_metrics``.
+
+    A metric is a function of three arrays: distinct scores in rising order, and how many positive and negative rows
+    the replicate has at each (``of_rows`` wraps a function of labels and scores). An error or a value that is not a
+    finite number leaves the value NULL. Weights are counted per score in the tasks that hold the rows, so rows are
+    never repeated; one replicate's counts, 24 bytes per distinct score, meet in one task, as any function of all scores needs."""
+    models = models or {"model": p}
+    cuts, reps, names = POISSON_CUTS, np.arange(1, n_boot + 1, dtype=np.int64), list(models)
+    scores = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).cast("double").alias("p")) for m, c in enumerate(models.values())]))
+    rows = df.select(F.col(y).cast("bigint").alias("y"), F.col(row_key).cast("bigint").alias("k"), scores.alias("s")).select("s.m", "s.p", "y", "k")
+    rows = rows.where("p IS NOT NULL AND y IS NOT NULL")
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for m, own in pdf.groupby("m", sort=False):
+                own = own.sort_values("p", kind="stable")
+                step = max(1, BLOCK_CELLS // n_boot)
+                for i in range(0, len(own), step):
+                    part = own.iloc[i:i + step]
+                    x, label = part["p"].to_numpy(float), part["y"].to_numpy(np.int64)
+                    w = weights(part["k"].to_numpy(np.int64), reps, seed, cuts)
+                    first = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1))
+                    pos = np.add.reduceat(w * label[:, None], first, axis=0)
+                    neg = np.add.reduceat(w, first, axis=0) - pos
+                    some = (pos + neg) > 0
+                    at = x[first]
+                    yield pd.DataFrame({"m": m, "replicate": reps, "x": [at[some[:, r]] for r in range(n_boot)],
+                                        "pos": [pos[some[:, r], r] for r in range(n_boot)], "neg": [neg[some[:, r], r] for r in range(n_boot)]})
+
+    counted = rows.mapInPandas(count, "m int, replicate int, x array<double>, pos array<bigint>, neg array<bigint>")
+
+    def value(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, pos, neg = (np.concatenate(pdf[c].to_numpy()) for c in ("x", "pos", "neg"))
+        order = np.argsort(x, kind="stable")
+        x, pos, neg = x[order], pos[order], neg[order]
+        if len(x):
+            first = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1))
+            x, pos, neg = x[first], np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+        out = []
+        for name, fn in callbacks.items():
+            try:
+                v = float(fn(x, pos, neg))
+            except Exception:  # a metric that a resample leaves undefined
+                v = float("nan")
+            out.append(v if np.isfinite(v) else None)
+        return pd.DataFrame({"replicate": np.int32(keys[1]), "model": names[keys[0]], "metric": list(callbacks), "value": pd.array(out, dtype="Float64")})
+
+    return counted.groupBy("m", "replicate").applyInPandas(value, "replicate int, model string, metric string, value double")
+
+
+def of_rows(fn: Callable) -> Callable:
+    """A metric of (labels, scores) as a metric of score counts."""
+    def metric(x, pos, neg):
+        return fn(np.repeat(np.tile([1, 0], len(x)), np.stack([pos, neg], 1).ravel()), np.repeat(np.repeat(x, 2), np.stack([pos, neg], 1).ravel()))
+    return metric
+
+
 def _cut(models: dict[str, str], thresholds: dict[str, float]) -> Column:
     t = F.when(F.lit(False), F.lit(0.0))
     for m in models:
@@ -123,11 +184,19 @@ def _two_classes(name: str) -> Column:
 
 
 def bootstrap_ci(df: DataFrame, row_key: str, *, threshold: float = 0.5, n_boot: int = 1000, seed: int = 12345,
-                 confidence: float = 0.95, metrics: tuple[str, ...] = METRICS, y: str = "y", p: str = "p") -> DataFrame:
+                 confidence: float = 0.95, metrics: tuple[str, ...] = METRICS, callbacks: dict[str, Callable] | None = None,
+                 y: str = "y", p: str = "p") -> DataFrame:
     """(metric, mean, ci_lower, ci_upper, n_success, n_boot, confidence); resamples where a
-    metric is undefined are left out of it. Percentiles run over n_boot values only."""
-    per = replicate_metrics(df, row_key, n_boot=n_boot, threshold=threshold, seed=seed, y=y, p=p)
-    long = per.select("replicate", *[_two_classes(m).alias(m) for m in metrics]).unpivot(["replicate"], list(metrics), "metric", "value")
+    metric is undefined are left out of it. Percentiles run over n_boot values only.
+
+    ``callbacks`` adds the caller's own metrics by name, see ``replicate_values``."""
+    parts = []
+    if metrics:
+        per = replicate_metrics(df, row_key, n_boot=n_boot, threshold=threshold, seed=seed, y=y, p=p)
+        parts.append(per.select("replicate", *[_two_classes(m).alias(m) for m in metrics]).unpivot(["replicate"], list(metrics), "metric", "value"))
+    if callbacks:
+        parts.append(replicate_values(df, row_key, callbacks, n_boot=n_boot, seed=seed, y=y, p=p).select("replicate", "metric", "value"))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return long.groupBy("metric").agg(*_interval("value", confidence)).withColumns(
         {"n_boot": F.lit(n_boot), "confidence": F.lit(confidence)})
 
@@ -136,6 +205,8 @@ def paired_difference(df: DataFrame, row_key: str, *, metric: str, model_a: tupl
                       n_boot: int = 1000, seed: int = 12345, confidence: float = 0.95, threshold_a: float = 0.5,
                       threshold_b: float = 0.5, y: str = "y") -> DataFrame:
     """metric(a) - metric(b) on shared resamples, with interval and two-sided p-value."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}; for an own function compare replicate_values of both models")
     models = dict([model_a, model_b])
     cuts = {model_a[0]: threshold_a, model_b[0]: threshold_b}
     a, b = model_a[0], model_b[0]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import clip, logit, sigmoid
+from tidewatch.functions.numeric import newton_groups, pool_violators
 from tidewatch.operators import metrics as M
 from tidewatch.operators.joins import null_safe_join
 from tidewatch.operators.ranking import bucket_of, fit_edges
@@ -22,38 +23,6 @@ from tidewatch.plans.lineage import cut_lineage, stored
 GROUP_ROWS = 1_000_000  # distinct values of a group up to which one task fits it
 
 
-def newton_groups(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, starts: np.ndarray, ridge: float, steps: int,
-                  tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(intercept, slope, status) of consecutive groups of rows, all groups stepping together."""
-    sizes = np.diff(np.append(starts, len(x)))
-    total = lambda v, s=starts: np.add.reduceat(v, s)
-    p, n = total(pos), total(neg)
-    a, b = np.zeros(len(starts)), np.zeros(len(starts))
-    status = np.where((p > 0) & (n > 0), "not converged", "one class").astype(object)
-    for _ in range(steps):
-        open_ = np.flatnonzero(status == "not converged")
-        if not len(open_):
-            break
-        rows = np.repeat(status == "not converged", sizes)
-        X, P, N = x[rows], pos[rows], pos[rows] + neg[rows]
-        at = np.cumsum(sizes[open_]) - sizes[open_]
-        mu = 1.0 / (1.0 + np.exp(-np.clip(np.repeat(a[open_], sizes[open_]) + np.repeat(b[open_], sizes[open_]) * X, -50.0, 50.0)))
-        w, g = N * mu * (1 - mu), P - N * mu
-        h00, h01, h11 = (np.add.reduceat(v, at) for v in (w, w * X, w * X * X))
-        g0, g1 = np.add.reduceat(g, at), np.add.reduceat(g * X, at) - ridge * b[open_]
-        h11 = h11 + ridge
-        det = h00 * h11 - h01 * h01
-        fine = det != 0
-        safe = np.where(fine, det, 1.0)
-        da, db = np.where(fine, (h11 * g0 - h01 * g1) / safe, 0.0), np.where(fine, (h00 * g1 - h01 * g0) / safe, 0.0)
-        a[open_] += da
-        b[open_] += db
-        near = np.maximum(np.abs(da), np.abs(db)) < tolerance * np.maximum(1.0, np.maximum(np.abs(a[open_]), np.abs(b[open_])))
-        status[open_[fine & near]] = "converged"
-        status[open_[~fine]] = "singular"
-    return a, b, status
-
-
 def newton_logistic(counts: DataFrame, groups: list[str], x: str, *, ridge: float = 1e-6, steps: int = 100,
                     tolerance: float = 1e-10, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(groups, intercept, slope, status) of y on x from (groups, x, pos, neg) rows. Both are NULL unless the status is
@@ -185,17 +154,6 @@ def apply_platt(df: DataFrame, fitted: DataFrame, p: str = "p", name: str = "p_c
     return joined.withColumn(name, sigmoid(F.col("_a") + F.col("_b") * logit(p))).drop("_a", "_b")
 
 
-def pool_violators(low: np.ndarray, high: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pools (low, high, sum, weight) of consecutive pools in order, neighbours merged until their means rise."""
-    out: list[list[float]] = []
-    for a, b, s, w in zip(low.tolist(), high.tolist(), total.tolist(), n.tolist()):
-        while out and out[-1][2] * w >= s * out[-1][3]:
-            a, _, t, v = out.pop()
-            s, w = s + t, w + v
-        out.append([a, b, s, w])
-    return tuple(np.array(c, float) for c in zip(*out)) if out else (np.zeros(0),) * 4
-
-
 POOL = "p_low double, p_high double, total double, n double"
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag, hours_between, plus_hours
 from tidewatch.operators.joins import interval_join, spread_join
+from tidewatch.plans.lineage import stored
 
 
 def first_per_entity(stays: DataFrame, subject: str = "subject_id", time: str = "intime",
@@ -57,6 +58,33 @@ def cohort_flow(stays: DataFrame, events: DataFrame, *, min_hours: float, subjec
         for i, (n, c) in enumerate(steps)])).alias("s")).select("s.step", "s.name", "s.n")
 
 
+def _flow_rows(spark, steps: list[tuple[str, int]]) -> DataFrame:
+    return spark.createDataFrame([(i, name, int(n)) for i, (name, n) in enumerate(steps)], "step int, name string, n long")
+
+
+def observed_cohort(stays: DataFrame, events: DataFrame, *, min_hours: float = 6.0, subject: str = "subject_id", stay: str = "stay_id",
+                    time: str = "intime", end: str = "outtime", event_time: str = "charttime") -> tuple[DataFrame, DataFrame]:
+    """(cohort as ``select_cohort`` gives it, stored; its flow as (step, name, n)) from one pass over stays and events.
+
+    The counts are metrics observed while the one job that writes the cohort runs: nothing is read again to report
+    them. Stays without a subject count as one subject, as they do when first stays are chosen. A stage that is run again
+    after an executor was lost may be counted again, so the flow is a report; the cohort itself is not affected."""
+    every, first_, long_, read = (Observation(n) for n in ("stays", "first_stays", "durations", "events"))
+    seen = events.observe(read, F.count("*").alias("n"), F.sum(flag(F.col(event_time).isNull())).alias("untimed"))
+    first = first_per_entity(stays.observe(every, F.count("*").alias("n")), subject, time, stay).observe(first_, F.count("*").alias("n"))
+    timed = first.join(earliest_record(seen, stay, event_time), stay, "left").withColumn("duration_hours", hours_between("earliest_record", end))
+    d = F.col("duration_hours")
+    told = timed.observe(long_, F.sum(flag(F.col("earliest_record").isNull())).alias("none"), F.sum(flag(d < min_hours)).alias("short"),
+                         F.sum(flag(d >= min_hours)).alias("kept"))
+    cohort = stored(told.where(d >= min_hours).select(stay, *[c for c in stays.columns if c != stay], "earliest_record", "duration_hours"), "cohort")
+    total, firsts = every.get["n"], first_.get["n"]
+    n = {k: v or 0 for k, v in long_.get.items()}
+    steps = [("total_stays", total), ("subjects", firsts), ("first_stays", firsts), ("excluded_repeat_stays", total - firsts),
+             ("excluded_no_record", n["none"]), ("excluded_short", n["short"]), ("final_cohort", n["kept"]),
+             ("events_read", read.get["n"]), ("events_without_time", read.get["untimed"] or 0)]
+    return cohort, _flow_rows(stays.sparkSession, steps)
+
+
 def with_window(cohort: DataFrame, hours: float, time: str = "intime", name: str = "window_end") -> DataFrame:
     return cohort.withColumn(name, plus_hours(time, hours))
 

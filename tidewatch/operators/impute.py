@@ -66,27 +66,42 @@ def apply_fill(df: DataFrame, params: FillParams) -> DataFrame:
     return df.withColumns(new)
 
 
+MOST_CATEGORIES = 200  # categories of a column up to which each is a column of its own
+HASHED = 64  # columns for a column with more categories
+
+
 @dataclass
 class Preprocessor:
     fill: FillParams
     categories: dict[str, list[str]]
+    hashed: dict[str, int] = field(default_factory=dict)
 
 
-def fit_preprocessor(df: DataFrame, numeric: list[str], categorical: list[str], fit_on: Column | None) -> Preprocessor:
-    """Train-only medians, modes and category lists (categories are columns of the result)."""
+def fit_preprocessor(df: DataFrame, numeric: list[str], categorical: list[str], fit_on: Column | None,
+                     max_categories: int = MOST_CATEGORIES, width: int = HASHED) -> Preprocessor:
+    """Train-only medians, modes and category lists (categories are columns of the result).
+
+    A column with more than ``max_categories`` of them, as free text, is hashed into ``width`` columns instead, so
+    neither the result's columns nor what the driver holds grow with the data."""
     base = fit_rows(df, fit_on)
     fill = fit_fill(df, numeric + categorical, fit_on)
     cats: dict[str, list[str]] = {}
+    hashed: dict[str, int] = {}
     for c in categorical:
         filled = F.coalesce(F.col(c), F.lit(fill.texts[c]))
-        cats[c] = sorted(r[0] for r in base.select(filled.alias(c)).distinct().collect())
-    return Preprocessor(fill, cats)
+        found = [r[0] for r in base.select(filled.alias(c)).distinct().limit(max_categories + 1).collect()]
+        if len(found) > max_categories:
+            hashed[c] = width
+        else:
+            cats[c] = sorted(found)
+    return Preprocessor(fill, cats, hashed)
 
 
 def apply_preprocessor(df: DataFrame, p: Preprocessor, keep: list[str]) -> DataFrame:
-    """Filled numeric columns and one-hot columns; a category unseen in training is all zeros."""
+    """Filled numeric columns and one-hot columns; a category unseen in training is all zeros, unless its column is hashed."""
     filled = apply_fill(df, p.fill)
     hot = [flag(F.col(c) == v).alias(f"{c}_{v}") for c, vs in p.categories.items() for v in vs]
+    hot += [flag(F.pmod(F.xxhash64(c), F.lit(n)) == i).alias(f"{c}_hash_{i}") for c, n in p.hashed.items() for i in range(n)]
     return filled.select(*keep, *p.fill.values, *hot)
 
 

@@ -5,20 +5,19 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import hash_fraction
 from tidewatch.operators import metrics as M
 from tidewatch.operators.joins import spread_join
+from tidewatch.operators.nearest import nearest
 from tidewatch.operators.ranking import hash_ranks
 from tidewatch.operators.split import fold_entities
 from tidewatch.plans.lineage import cut_lineage, stored
@@ -119,40 +118,25 @@ def permutation_importance(model, df: DataFrame, columns: list[str], *, label: s
     return df.sparkSession.createDataFrame(rows, "column_name string, importance double, std double")
 
 
-NEIGHBOUR_BLOCK = 4096  # rows on each side of one block of distances
+NEIGHBOUR_BLOCK = 2048  # rows of a block of neighbours, at least
 
 
 def neighbours(rows: DataFrame, row_key: str, x: str, k: int) -> DataFrame:
     """(row_key, x, _n): the ``k`` other rows with the smallest Euclidean distance of the vector column
-    ``x``, nearest first, ties by vector; exact.
-
-    Rows are dealt into blocks by key, and each pair of blocks meets in one task, which keeps k
-    candidates per row, so no list of pairs is made and no row meets more than a block at a time."""
-    n = rows.count()
-    blocks = max(1, -(-n // NEIGHBOUR_BLOCK))
-    kind = rows.schema[row_key].dataType.simpleString()
-    dealt = rows.select(F.col(row_key).alias("k"), F.col(x).alias("x"), F.pmod(F.xxhash64(row_key), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select("k", "x", F.col("own").alias("a"), every.alias("b"))
-    right = dealt.select("k", "x", F.col("own").alias("b"), every.alias("a"))
-
-    def nearest(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        keys, dist, vec = [], [], []
-        if len(mine) and len(theirs):
-            p, q, ids = np.stack(mine["x"].to_numpy()), np.stack(theirs["x"].to_numpy()), theirs["k"].to_numpy()
-            for key, v in zip(mine["k"], p):
-                d = np.sqrt(((q - v) ** 2).sum(axis=1))
-                d[ids == key] = np.inf
-                for i in np.argsort(d, kind="stable")[:k]:
-                    if np.isfinite(d[i]):
-                        keys.append(key)
-                        dist.append(d[i])
-                        vec.append(q[i])
-        return pd.DataFrame({"k": pd.Series(keys, dtype=mine["k"].dtype), "d": pd.Series(dist, dtype=float), "x": pd.Series(vec, dtype=object)})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, f"k {kind}, d double, x array<double>")
-    best = found.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "x"))), 1, k).alias("_n"))
-    return dealt.select("k", "x").join(best, "k").withColumnsRenamed({"k": row_key, "x": x})
+    ``x``, nearest first, ties by vector; exact, by blocks of which most are skipped."""
+    return nearest(rows, rows, row_key, x, k, NEIGHBOUR_BLOCK)
+
+
+def _between(data: DataFrame, times: Column, row_key: str, columns: list[str], label: str, minority: int, seed: int) -> DataFrame:
+    """``times`` synthetic rows per minority row (row_key, _x, _n), each on the way to one of its neighbours ``_n``."""
+    rows = data.withColumn("_t", times.cast("int")).where("_t > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_t"))))
+    key = F.col(row_key).cast("string")
+    pick = F.floor(hash_fraction(key, F.col("copy").cast("string"), "neighbour", seed) * F.size("_n")).cast("int")
+    frac = hash_fraction(key, F.col("copy").cast("string"), "fraction", seed)
+    other = F.element_at("_n", pick + 1)["x"]
+    new = F.zip_with("_x", other, lambda a, b: a + (b - a) * frac)
+    out = rows.select(F.col(row_key).alias("source_key"), "copy", new.alias("_s"), F.lit(minority).alias(label))
+    return out.select("source_key", "copy", *[F.col("_s")[i].alias(c) for i, c in enumerate(columns)], label)
 
 
 def smote(df: DataFrame, columns: list[str], label: str, row_key: str, *, minority: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
@@ -168,11 +152,26 @@ def smote(df: DataFrame, columns: list[str], label: str, row_key: str, *, minori
     need = max(counts.values()) - counts.get(minority, 0)
     order = hash_ranks(data, [], row_key, salt=f"|{seed}", rank="_r")
     times = F.floor(F.lit(need) / F.col("n")) + F.when(F.col("_r") <= F.lit(need) % F.col("n"), 1).otherwise(0)
-    rows = order.withColumn("_t", times.cast("int")).where("_t > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_t"))))
-    key = F.col(row_key).cast("string")
-    pick = F.floor(hash_fraction(key, F.col("copy").cast("string"), "neighbour", seed) * F.size("_n")).cast("int")
-    frac = hash_fraction(key, F.col("copy").cast("string"), "fraction", seed)
-    other = F.element_at("_n", pick + 1)["x"]
-    new = F.zip_with("_x", other, lambda a, b: a + (b - a) * frac)
-    out = rows.select(F.col(row_key).alias("source_key"), "copy", new.alias("_s"), F.lit(minority).alias(label))
-    return out.select("source_key", "copy", *[F.col("_s")[i].alias(c) for i, c in enumerate(columns)], label)
+    return _between(order, times, row_key, columns, label, minority, seed)
+
+
+def adasyn(df: DataFrame, columns: list[str], label: str, row_key: str, *, minority: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
+    """Synthetic minority rows where the minority is hard to tell: a row gets them in proportion to the share of other
+    classes among its ``k`` nearest rows of all classes, about majority less minority in all (each count is rounded to the
+    nearest integer, halves to even). Each lies between the row and one of its ``k`` nearest minority rows.
+
+    Apply it to training rows only; fewer than two minority rows, or none with a neighbour of another class, are an error."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if counts.get(minority, 0) < 2:
+        raise ValueError("synthetic rows need at least two minority rows")
+    rows = stored(df.select(row_key, F.col(label).alias("_y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")), "rows")
+    small = stored(rows.where(F.col("_y") == minority).select(row_key, "_x"), "minority")
+    near = nearest(small, rows, row_key, "_x", k, NEIGHBOUR_BLOCK).select(row_key, F.explode("_n.id").alias("_id"))
+    kinds = near.join(rows.select(F.col(row_key).alias("_id"), "_y"), "_id")
+    share = stored(kinds.groupBy(row_key).agg(F.avg(F.when(F.col("_y") == minority, 0.0).otherwise(1.0)).alias("_r")), "shares")
+    total = share.agg(F.sum("_r")).first()[0] or 0.0
+    if not total:
+        raise ValueError("no minority row has a neighbour of another class")
+    need = max(counts.values()) - counts[minority]
+    data = neighbours(small, row_key, "_x", k).join(share, row_key)
+    return _between(data, F.rint(F.col("_r") / F.lit(total) * F.lit(float(need))), row_key, columns, label, minority, seed)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import flag, ratio
 from tidewatch.operators.ranking import exact_quantiles
+from tidewatch.plans.lineage import scanned
 
 NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint")
 
@@ -50,6 +51,7 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def describe_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max and missing share per numeric column."""
+    df = scanned(df.select(*columns))
     q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     d = lambda c: F.col(c).cast("double")
     return per_column(df, columns, lambda c: [

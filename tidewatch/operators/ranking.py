@@ -7,6 +7,8 @@ of the buckets before it come back as a small offset table (buckets x groups row
 
 from __future__ import annotations
 
+from collections import Counter
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +37,8 @@ def fit_cells(df: DataFrame, value: str, buckets: int) -> tuple[list[float], lis
     cut points; each of those can get a cell of its own."""
     probs = [i / buckets for i in range(1, buckets)]
     raw = df.select(F.percentile_approx(F.col(value).cast("double"), probs, 5 * buckets).alias("e")).first().e or []
-    return sorted(set(raw)), sorted(v for v in set(raw) if raw.count(v) > 1)
+    times = Counter(raw)
+    return sorted(times), sorted(v for v, n in times.items() if n > 1)
 
 
 def cell_of(value, edges: list[float], heavy: list[float]) -> Column:

@@ -9,6 +9,7 @@ from tidewatch.functions import constants as K
 from tidewatch.operators.clean import fit_rows
 from tidewatch.operators.profile import numeric_columns, per_column
 from tidewatch.operators.ranking import exact_quantiles
+from tidewatch.plans.lineage import scanned
 
 
 def scalable(df: DataFrame, excluded: list[str] = ()) -> list[str]:
@@ -20,6 +21,7 @@ def scalable(df: DataFrame, excluded: list[str] = ()) -> list[str]:
 
 def robust_scale(df: DataFrame, columns: list[str] | None = None, fit_on: Column | None = None) -> DataFrame:
     cols = columns or [c for c in scalable(df) if c not in ("gender_numeric", "sirs_criteria_count")]
+    df = scanned(df)  # read for the quantiles and again for the result
     q = exact_quantiles(fit_rows(df, fit_on), cols, [0.25, 0.5, 0.75])
     new = {}
     for c in cols:

@@ -40,8 +40,9 @@ def variance_filter(df: DataFrame, columns: list[str], threshold: float = 0.01)
 def anova_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """ANOVA F per column (median filled): one aggregate per class, then sums over classes.
 
-    Values are centred on the overall mean first, so the sums of squares do not cancel."""
-    filled = median_filled(df, columns)
+    Values are centred on the overall mean first, so the sums of squares do not cancel. The columns are
+    written once if they are more than a scan, for all passes over them."""
+    filled = median_filled(scanned(df.select(label, *[c for c in columns if c != label])), columns)
     means = filled.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     d = lambda i, c: F.col(c) - F.lit(means[f"m{i}"] or 0.0)
     per_class = filled.groupBy(label).agg(
@@ -64,6 +65,7 @@ def anova_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 def binned_mi(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of the label with each column cut at its quantiles."""
     probs = [i / bins for i in range(1, bins)]
+    df = scanned(df.select(label, *[c for c in columns if c != label]))
     q = exact_quantiles(df, columns, probs)
     parts = []
     for c in columns:

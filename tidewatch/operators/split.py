@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.exprs import hash_fraction
 from tidewatch.operators.joins import spread_join
 from tidewatch.operators.ranking import hash_ranks
+from tidewatch.plans.lineage import stored
 
 
 def entity_labels(df: DataFrame, entity: str, label: str) -> DataFrame:
@@ -54,7 +55,7 @@ def split_overlap(assigned: DataFrame, entity: str) -> DataFrame:
 def fold_entities(df: DataFrame, entity: str, label: str, *, k: int = 5, seed: int = 42,
                   stratify: bool = True) -> DataFrame:
     """(entity, fold): k folds, k capped by the smallest stratum's entity count."""
-    ranked = hash_ranks(_strata(entity_labels(df, entity, label), stratify), ["_stratum"], entity, salt=f"|{seed}")
+    ranked = stored(hash_ranks(_strata(entity_labels(df, entity, label), stratify), ["_stratum"], entity, salt=f"|{seed}"), "entities")
     cap = ranked.agg(F.least(F.lit(k), F.min("n")).cast("bigint").alias("_k"))
     return ranked.crossJoin(cap).select(entity, ((F.col("rank") - 1) % F.col("_k")).cast("int").alias("fold"))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import hours_between
 from tidewatch.operators.joins import spread_join
+from tidewatch.plans.lineage import stored
 
 STAYS = T.StructType([T.StructField("stay_id", T.LongType()), T.StructField("subject_id", T.LongType()),
                       T.StructField("hadm_id", T.LongType()), T.StructField("intime", T.TimestampType()),
@@ -60,6 +61,31 @@ def filtered_event_scan(events: DataFrame, cohort: DataFrame, items: DataFrame,
     return data.select(id_col, "variable", "hours_from_admit", value_col)
 
 
+def observed_event_scan(events: DataFrame, cohort: DataFrame, items: DataFrame, *, max_hours: float, id_col: str = "stay_id",
+                        time_col: str = "charttime", item_col: str = "itemid", value_col: str = "valuenum", source_id: str | None = None,
+                        allow_before: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``filtered_event_scan``, stored; what each step left out as (step, name, n)) from one pass over the events.
+
+    Counts are observed while the rows are written. ``items`` and ``cohort`` hold one row per item and key, as there."""
+    key = source_id or id_col
+    read, known, matched, kept = (Observation(n) for n in ("read", "known", "matched", "kept"))
+    cols = [key, time_col, item_col, value_col]
+    null = F.lit(False)
+    for c in cols:
+        null = null | F.col(c).isNull()
+    data = events.select(*cols).observe(read, F.count("*").alias("n"), F.sum(null.cast("int")).alias("nulls")).na.drop()
+    data = data.join(items, item_col).observe(known, F.count("*").alias("n"))
+    data = spread_join(data, cohort.select(*{key, id_col}, "intime"), [key], by=[time_col]).observe(matched, F.count("*").alias("n"))
+    data = data.withColumn("hours_from_admit", hours_between("intime", time_col))
+    inside = F.col("hours_from_admit") <= max_hours
+    data = data.where(inside if allow_before else inside & (F.col("hours_from_admit") >= 0)).observe(kept, F.count("*").alias("n"))
+    out = stored(data.select(id_col, "variable", "hours_from_admit", value_col), "events")
+    n, nulls = read.get["n"], read.get["nulls"] or 0
+    steps = [("read", n), ("dropped_null", nulls), ("dropped_unknown_item", n - nulls - known.get["n"]), ("dropped_no_stay", known.get["n"] - matched.get["n"]),
+             ("dropped_outside_window", matched.get["n"] - kept.get["n"]), ("kept", kept.get["n"])]
+    return out, events.sparkSession.createDataFrame([(i, name, int(x)) for i, (name, x) in enumerate(steps)], "step int, name string, n long")
+
+
 def table_contract(df: DataFrame, table: str, required: list[str]) -> DataFrame:
     """(table, check, passed) rows: each required column, and at least one row."""
     rows = [(f"column:{c}", c in df.columns) for c in required]
@@ -86,6 +112,31 @@ def collect_results(parts: list[tuple[str, str, str, DataFrame]]) -> DataFrame:
     return out
 
 
+FILE_NAME = "regexp_extract(_metadata.file_path, '([^/]+)$', 1)"
+
+
+def collect_files(spark: SparkSession, paths: dict[tuple[str, str], str | list[str]], fmt: str = "parquet", schemas: dict[str, T.StructType] | None = None) -> DataFrame:
+    """Union of result files with their lineage: (run_name, stage, source_file, columns of all), one read per (run, stage).
+
+    ``source_file`` is the name of the file that each row was read from, as the reader reports it. Files of one
+    (run, stage) may differ in columns, as those of different ones may: schemas are merged by name and absent columns are NULL.
+    CSV results need a schema per stage, so nothing is inferred."""
+    out = None
+    for (run, stage), path in paths.items():
+        reader = spark.read.format(fmt)
+        if fmt == "csv":
+            if not schemas or stage not in schemas:
+                raise ValueError("csv results need an explicit schema")
+            reader = reader.option("header", "true").option("enforceSchema", "false").schema(schemas[stage])
+        elif fmt == "parquet":
+            reader = reader.option("mergeSchema", "true")
+        df = reader.load(path)
+        tagged = df.select(F.lit(run).alias("run_name"), F.lit(stage).alias("stage"), F.expr(FILE_NAME).alias("source_file"),
+                           *[F.col(f"`{c}`") for c in df.columns if c not in ("run_name", "stage", "source_file")])
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     """Read an aggregate result table; a missing path gives an empty table of the schema."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -60,7 +60,7 @@ def pca_reduce(spark, sf):
 def select_recipe(spark, sf):
     w = wide(spark, sf, COLS)
     rows = [("logistic", c) for c in select.logistic_recipe(w, FEATURES, "mortality", 5)]
-    rows += [("tree", c) for c in select.tree_recipe(w.select(*COLS), "mortality", 5, trees=10)]
+    rows += [("tree", c) for c in select.tree_recipe(w.select(*COLS), "mortality", 5)]
     return spark.createDataFrame(rows, "recipe string, column_name string")
 
 
@@ -70,6 +70,12 @@ def smote(spark, sf):
     return models.smote(train, ["heart_rate_mean", "sbp_mean", "lactate_mean", "risk"], "mortality", "stay_id")
 
 
+@query("adasyn")
+def adasyn(spark, sf):
+    train = _split(spark, sf).where("split = 'train'")
+    return models.adasyn(train, ["heart_rate_mean", "sbp_mean", "lactate_mean", "risk"], "mortality", "stay_id")
+
+
 @query("leakage_probe")
 def leakage_probe(spark, sf):
     w = wide(spark, sf, COLS).drop("intime").withColumn("death_time_hours", F.col("risk") * 2)
@@ -95,7 +101,7 @@ def oof_stacker(spark, sf):
     data = _split(spark, sf).where("split = 'train'")
     bases = {"p_lr": lambda: LogisticRegression(featuresCol="_x", labelCol="_y"),
              "p_rf": lambda: RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=5, maxDepth=4, seed=1)}
-    out, _, _ = ensemble.oof_stacker(data, FEATURES, bases, entity="subject_id", label="mortality", k=2)
+    out, _, _ = ensemble.oof_stacker(data, FEATURES, bases, entity="subject_id", label="mortality")
     return out.select("stay_id", "fold", "mortality", "p_lr", "p_rf", "p_stacked")
 
 
@@ -124,7 +130,7 @@ def l1_select(spark, sf):
 @query("fit_forest")
 def fit_forest(spark, sf):
     v = _vec(spark, sf)
-    return _report(models.score(models.forest(30, 6).fit(v.where("split = 'train'")), v.where("split <> 'train'")))
+    return _report(models.score(models.forest().fit(v.where("split = 'train'")), v.where("split <> 'train'")))
 
 
 @query("fit_gbt")

@@ -9,7 +9,8 @@ from tidewatch.operators import cohort as C
 from tidewatch.operators import onepass
 from tidewatch.operators.events import bin_labels
 from tidewatch.plans import raw_features as R
-from workload.base import STAYS, order_stays, query, rounded, table
+from tidewatch.sources import tables as S
+from workload.base import FIRST, RECORD, STAYS, line_events, order_stays, query, rounded, table
 
 HOURS, BIN, ANCHORS, EDGE = 168.0, 84.0, [0, 24, 48, 96, 168], 48.0
 # item codes as the raw tables hold them, the last one unknown to the code tables
@@ -170,3 +171,38 @@ def bridge_overlapping(spark, sf):
     ev = table(spark, sf, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").alias("charttime"), F.col("o_totalprice").alias("valuenum"))
     out = C.bridge_overlapping(ev, order_stays(spark, sf), width=2400.0)
     return out.select("subject_id", "charttime", "valuenum", "stay_id")
+
+
+@query("cohort_flow_observed", f"""WITH {STAYS}, {FIRST}, {RECORD}, j AS (
+ SELECT *, (epoch_us(outtime) - epoch_us(earliest_record)) / 3600000000.0 AS d FROM firsts LEFT JOIN rec USING (stay_id)),
+a AS (SELECT (SELECT count(*) FROM stays) AS t, count(*) AS f, count(*) FILTER (earliest_record IS NULL) AS nr, count(*) FILTER (d < 1920) AS sh,
+ count(*) FILTER (d >= 1920) AS k, (SELECT count(*) FROM lineitem) AS e FROM j)
+SELECT CAST(i AS INTEGER) AS step, ['total_stays', 'subjects', 'first_stays', 'excluded_repeat_stays', 'excluded_no_record', 'excluded_short', 'final_cohort',
+ 'events_read', 'events_without_time'][i + 1] AS name, [t, f, f, t - f, nr, sh, k, e, 0][i + 1] AS n FROM a, range(9) r(i)""")
+def cohort_flow_observed(spark, sf):
+    return C.observed_cohort(order_stays(spark, sf), line_events(spark, sf), min_hours=1920.0)[1]
+
+
+_ITEMS = {1: "first_line", 2: "second_line", 3: "third_line"}
+
+
+@query("event_scan_observed", f"""WITH {STAYS}, l AS (SELECT l_orderkey, l_shipdate, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_quantity END AS v FROM lineitem),
+s AS (SELECT * FROM stays WHERE stay_id % 5 <> 0), j AS (SELECT l.*, s.stay_id, (epoch_us(l_shipdate) - epoch_us(intime)) / 3600000000.0 AS h FROM l LEFT JOIN s ON l_orderkey = stay_id),
+a AS (SELECT count(*) AS r, count(*) FILTER (v IS NULL) AS nu, count(*) FILTER (v IS NOT NULL AND l_linenumber > 3) AS un,
+ count(*) FILTER (v IS NOT NULL AND l_linenumber <= 3 AND stay_id IS NULL) AS ns,
+ count(*) FILTER (v IS NOT NULL AND l_linenumber <= 3 AND NOT (h >= 0 AND h <= 720)) AS ow, count(*) FILTER (v IS NOT NULL AND l_linenumber <= 3 AND h >= 0 AND h <= 720) AS k FROM j)
+SELECT CAST(i AS INTEGER) AS step, ['read', 'dropped_null', 'dropped_unknown_item', 'dropped_no_stay', 'dropped_outside_window', 'kept'][i + 1] AS name,
+ [r, nu, un, ns, ow, k][i + 1] AS n FROM a, range(6) q(i)""")
+def event_scan_observed(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("stay_id"), F.col("l_shipdate").alias("charttime"), F.col("l_linenumber").alias("itemid"),
+                                             F.when(F.col("l_partkey") % 11 == 0, None).otherwise(F.col("l_quantity")).alias("valuenum"))
+    stays = order_stays(spark, sf).where("stay_id % 5 <> 0").select("stay_id", "intime")
+    return S.observed_event_scan(li, stays, spark.createDataFrame(list(_ITEMS.items()), "itemid int, variable string"), max_hours=720.0)[1]
+
+
+@query("collect_files", """SELECT 'run1' AS run_name, 'geography' AS stage, 'region.parquet' AS source_file, r_regionkey, r_name,
+ CAST(NULL AS BIGINT) AS p_partkey, CAST(NULL AS VARCHAR) AS p_brand FROM region
+UNION ALL SELECT 'run1', 'parts', 'part.parquet', NULL, NULL, p_partkey, p_brand FROM part""")
+def collect_files(spark, sf):
+    out = S.collect_files(spark, {("run1", "geography"): f"{sf}/region.parquet", ("run1", "parts"): f"{sf}/part.parquet"})
+    return out.select("run_name", "stage", "source_file", "r_regionkey", "r_name", "p_partkey", "p_brand")
