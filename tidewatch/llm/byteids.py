@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE = 300_000  # distinct words whose ids a worker keeps
+CACHE = 600_000  # distinct words whose ids a worker keeps
 AT_ONCE = 2_000  # words joined to one string
 SEGMENT = 1_000_000  # characters of a text that are split into words at a time
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -97,11 +97,16 @@ class WordIds:
             return
         self.start, self.len = (np.concatenate([x, np.zeros(len(new), np.int32)]) for x in (self.start, self.len))
         plain, ids, lens, joined, alone = [], [], [], [], []
-        model, letters = self.lib.model.tokenize, self.letters
+        model, letters, direct = self.lib.model.tokenize, self.letters, self.direct
         for i, w in enumerate(new):
             if type(w) is tuple:
                 alone.append(i)
-            elif self.direct and (m := _PLAIN.fullmatch(w)):
+            elif direct and w.isascii() and w.isalpha():
+                own = [t.id for t in model("Ġ" + w)]
+                plain.append(i)
+                ids += own
+                lens.append(len(own))
+            elif direct and (m := _PLAIN.fullmatch(w)):
                 stem, tail, stem2, tail2 = m.groups()
                 own = [t.id for t in model("Ġ" + (stem if stem.isascii() else stem.translate(letters)))]
                 if tail:
