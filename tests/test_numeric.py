@@ -172,3 +172,30 @@ def test_files_carry_their_own_names(spark, tmp_path):
     assert csv[0].source_file.endswith(".csv") and csv[0].stage == "two" and csv[0].score == 0.5
     with pytest.raises(ValueError):
         S.collect_files(spark, {("r", "two"): str(tmp_path / "s2")}, "csv")
+
+
+def test_many_categories_are_hashed(spark):
+    from tidewatch.operators import impute
+    df = spark.createDataFrame([(i, f"text {i}", "ab"[i % 2], "train" if i % 3 else "test") for i in range(60)] + [(60, None, None, "train")],
+                               "k long, free string, few string, split string")
+    p = impute.fit_preprocessor(df, [], ["free", "few"], F.col("split") == "train", max_categories=5, width=8)
+    out = impute.apply_preprocessor(df, p, ["k"])
+    assert p.hashed == {"free": 8} and out.columns == ["k", *sorted(["few_a", "few_b"]), *[f"free_hash_{i}" for i in range(8)]]
+    assert all(sum(r[f"free_hash_{i}"] for i in range(8)) == 1 for r in out.collect())
+
+
+def test_observed_counts_come_with_the_one_pass(spark, at):
+    from tidewatch.operators import cohort as C
+    stays = spark.createDataFrame([(1, 1, at(0), at(10)), (2, 1, at(5), at(20)), (3, 2, at(0), at(3)), (4, 3, at(0), at(9))],
+                                  "stay_id long, subject_id long, intime timestamp_ntz, outtime timestamp_ntz")
+    events = spark.createDataFrame([(1, at(1)), (1, at(2)), (3, at(1)), (2, at(6)), (4, None)], "stay_id long, charttime timestamp_ntz")
+    cohort, flow = C.observed_cohort(stays, events, min_hours=6.0)
+    assert [r.stay_id for r in cohort.collect()] == [1]
+    assert {r.name: r.n for r in flow.collect()} == {"total_stays": 4, "subjects": 3, "first_stays": 3, "excluded_repeat_stays": 1, "excluded_no_record": 1,
+                                                    "excluded_short": 1, "final_cohort": 1, "events_read": 5, "events_without_time": 1}
+    rows = spark.createDataFrame([(1, at(1), 7, 2.0), (1, None, 7, 2.0), (1, at(1), 8, 2.0), (9, at(1), 7, 2.0), (1, at(99), 7, 2.0)],
+                                 "stay_id long, charttime timestamp_ntz, itemid int, valuenum double")
+    kept, report = S.observed_event_scan(rows, stays.select("stay_id", "intime"), spark.createDataFrame([(7, "x")], "itemid int, variable string"), max_hours=6.0)
+    assert kept.count() == 1 and [r.n for r in report.orderBy("step").collect()] == [5, 1, 1, 1, 1, 1]
+    empty, report = S.observed_event_scan(rows.limit(0), stays.select("stay_id", "intime"), spark.createDataFrame([(7, "x")], "itemid int, variable string"), max_hours=6.0)
+    assert empty.count() == 0 and {r.n for r in report.collect()} == {0}

@@ -118,6 +118,46 @@ def provenance(names: DataFrame, column: str, families=K.FEATURE_FAMILIES) -> Da
                       .when(F.col("_ok"), "matched").otherwise("disallowed").alias("status"))
 
 
+def provenance_details(names: DataFrame, column: str, hours: float = 6.0, families=K.FEATURE_FAMILIES) -> DataFrame:
+    """Where a feature comes from, read off its name: (column, feature_name, feature_group, source, source_variable,
+    window_start, window_end, statistic, is_binary, is_missingness_indicator, leakage_risk, allowed_for_model).
+
+    Hours count from admission; features of the time before it have no window. A name of no family is excluded."""
+    n = F.col(column)
+    first = lambda pick: _first_family(n, families, pick)
+    group, allowed = first(lambda f: F.lit(f[2])), F.coalesce(first(lambda f: F.lit(f[3])), F.lit(False))
+    vitals, labs = "|".join(K.VITAL_CODES), "|".join(K.LAB_CODES)
+    found = F.regexp_extract(n, f"^({vitals}|{labs}|urine_output|age|gender|bmi|prev_dx)(?:_|$)", 1)
+    variable = F.when(found != "", found)
+    source = (F.when(group.isin("demographic") & (variable != "bmi"), "patients").when(group == "diagnosis", "diagnoses")
+              .when(variable.isin(list(K.VITAL_CODES)) | variable.isin("bmi", "urine_output"), "chart events")
+              .when(variable.isin(list(K.LAB_CODES)), "lab events").when(group.isNotNull(), "derived"))
+    at = F.regexp_extract(n, "_hour_([0-9]+)$", 1).try_cast("double")
+    low, high = (F.regexp_extract(n, "_bin_([0-9]+)_([0-9]+)h_", i).try_cast("double") for i in (1, 2))
+    inside = source.isin("chart events", "lab events", "derived")
+    edge = F.lit(hours / 3.0)
+    start = F.when(inside, F.coalesce(at, low, F.when(n.rlike("last_2h_mean$"), F.lit(hours) - edge).otherwise(F.lit(0.0))))
+    end = F.when(inside, F.coalesce(at, high, F.when(n.rlike("first_2h_mean$"), edge).otherwise(F.lit(float(hours)))))
+    told = F.regexp_extract(n, "_(mean|min|max|delta|last|first|total|count|slope|trend|std|cv|range|measured|observed|missing|squared|log)(?:_0_6h)?$", 1)
+    statistic = F.when(told != "", told)
+    binary = n.rlike("(_measured|_measured_0_6h|_missing|_observed|_flag|_dysfunction)$|^has_|^gender_")
+    absent = F.coalesce(group == "missingness", F.lit(False)) | n.rlike("_observed$|_measured_0_6h$")
+    known = first(lambda f: F.lit(f[0]))
+    return names.select(column, known.alias("feature_name"), group.alias("feature_group"), source.alias("source"), variable.alias("source_variable"),
+                        start.alias("window_start"), end.alias("window_end"), statistic.alias("statistic"), binary.alias("is_binary"),
+                        absent.alias("is_missingness_indicator"), F.when(allowed, "low").otherwise("excluded").alias("leakage_risk"),
+                        allowed.alias("allowed_for_model"))
+
+
+def _first_family(name: Column, families, pick) -> Column:
+    """What ``pick`` says of the first family whose pattern the whole name matches."""
+    out = None
+    for f in families:
+        here = name.rlike(f"^(?:{f[1]})$")
+        out = F.when(here, pick(f)) if out is None else out.when(here, pick(f))
+    return out
+
+
 def provenance_gate(df: DataFrame, ignore: list[str] = ()) -> None:
     """Fail when a feature column is unknown or not allowed."""
     names = _names(df.select(*[c for c in df.columns if c not in ignore]))

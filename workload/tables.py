@@ -541,6 +541,30 @@ def provenance_match(spark, sf):
     return guards.provenance(names, "feature")
 
 
+def _details_sql() -> str:
+    pick = lambda i: " ".join(f"WHEN regexp_full_match(feature, '{f[1]}') THEN " + (f"'{f[i]}'" if i != 3 else str(f[i]).lower()) for f in guards.K.FEATURE_FAMILIES)
+    vitals, labs = ", ".join(f"'{v}'" for v in guards.K.VITAL_CODES), ", ".join(f"'{v}'" for v in guards.K.LAB_CODES)
+    known = "|".join([*guards.K.VITAL_CODES, *guards.K.LAB_CODES])
+    return f"""WITH f AS (SELECT DISTINCT {_family_names()} AS feature FROM part),
+m AS (SELECT feature, CASE {pick(0)} END AS feature_name, CASE {pick(2)} END AS feature_group, coalesce(CASE {pick(3)} END, false) AS ok,
+ nullif(regexp_extract(feature, '^({known}|urine_output|age|gender|bmi|prev_dx)(?:_|$)', 1), '') AS v FROM f),
+s AS (SELECT *, CASE WHEN feature_group = 'demographic' AND v <> 'bmi' THEN 'patients' WHEN feature_group = 'diagnosis' THEN 'diagnoses'
+ WHEN v IN ({vitals}, 'bmi', 'urine_output') THEN 'chart events' WHEN v IN ({labs}) THEN 'lab events' WHEN feature_group IS NOT NULL THEN 'derived' END AS source FROM m)
+SELECT feature, feature_name, feature_group, source, v AS source_variable,
+ CASE WHEN source IN ('chart events', 'lab events', 'derived') THEN CASE WHEN feature LIKE '%_hour_3' THEN 3.0e0 WHEN feature LIKE '%last_2h_mean' THEN 4.0e0 ELSE 0.0e0 END END AS window_start,
+ CASE WHEN source IN ('chart events', 'lab events', 'derived') THEN CASE WHEN feature LIKE '%_hour_3' THEN 3.0e0 WHEN feature LIKE '%_bin_0_1h_%' THEN 1.0e0 ELSE 6.0e0 END END AS window_end,
+ nullif(regexp_extract(feature, '_(mean|min|max|delta|last|first|total|count|slope|trend|std|cv|range|measured|observed|missing|squared|log)(?:_0_6h)?$', 1), '') AS statistic,
+ regexp_matches(feature, '(_measured|_measured_0_6h|_missing|_observed|_flag|_dysfunction)$|^has_|^gender_') AS is_binary,
+ coalesce(feature_group = 'missingness', false) OR regexp_matches(feature, '_observed$|_measured_0_6h$') AS is_missingness_indicator,
+ CASE WHEN ok THEN 'low' ELSE 'excluded' END AS leakage_risk, ok AS allowed_for_model FROM s"""
+
+
+@query("provenance_details", _details_sql())
+def provenance_details(spark, sf):
+    names = table(spark, sf, "part").select(F.expr(_family_names()).alias("feature")).distinct()
+    return guards.provenance_details(names, "feature")
+
+
 @query("align_features", """WITH f AS (SELECT l_orderkey AS stay_id, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1)
 SELECT f.* FROM f JOIN (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'P') o ON stay_id = o_orderkey""")
 def align_features(spark, sf):
