@@ -9,6 +9,7 @@ from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag, hours_between, plus_hours
 from tidewatch.operators.joins import interval_join, spread_join
 from tidewatch.plans.lineage import stored
+from tidewatch.sources.tables import observed
 
 
 def first_per_entity(stays: DataFrame, subject: str = "subject_id", time: str = "intime",
@@ -77,11 +78,10 @@ def observed_cohort(stays: DataFrame, events: DataFrame, *, min_hours: float = 6
     told = timed.observe(long_, F.sum(flag(F.col("earliest_record").isNull())).alias("none"), F.sum(flag(d < min_hours)).alias("short"),
                          F.sum(flag(d >= min_hours)).alias("kept"))
     cohort = stored(told.where(d >= min_hours).select(stay, *[c for c in stays.columns if c != stay], "earliest_record", "duration_hours"), "cohort")
-    total, firsts = every.get["n"], first_.get["n"]
-    n = {k: v or 0 for k, v in long_.get.items()}
+    total, firsts, n = observed(every)["n"], observed(first_)["n"], observed(long_)
     steps = [("total_stays", total), ("subjects", firsts), ("first_stays", firsts), ("excluded_repeat_stays", total - firsts),
              ("excluded_no_record", n["none"]), ("excluded_short", n["short"]), ("final_cohort", n["kept"]),
-             ("events_read", read.get["n"]), ("events_without_time", read.get["untimed"] or 0)]
+             ("events_read", observed(read)["n"]), ("events_without_time", observed(read)["untimed"])]
     return cohort, _flow_rows(stays.sparkSession, steps)
 
 

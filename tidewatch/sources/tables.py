@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,17 @@ def filtered_event_scan(events: DataFrame, cohort: DataFrame, items: DataFrame,
     return data.select(id_col, "variable", "hours_from_admit", value_col)
 
 
+def observed(o: Observation) -> dict[str, int]:
+    """Counts of an observation after its job, 0 where nothing passed; a step that the optimizer left out because
+    its input was empty has no row of metrics at all."""
+    try:
+        return defaultdict(int, {k: v or 0 for k, v in o.get.items()})
+    except Py4JJavaError as e:
+        if "assertion failed" not in str(e):
+            raise
+        return defaultdict(int)
+
+
 def observed_event_scan(events: DataFrame, cohort: DataFrame, items: DataFrame, *, max_hours: float, id_col: str = "stay_id",
                         time_col: str = "charttime", item_col: str = "itemid", value_col: str = "valuenum", source_id: str | None = None,
                         allow_before: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -80,9 +93,9 @@ def observed_event_scan(events: DataFrame, cohort: DataFrame, items: DataFrame,
     inside = F.col("hours_from_admit") <= max_hours
     data = data.where(inside if allow_before else inside & (F.col("hours_from_admit") >= 0)).observe(kept, F.count("*").alias("n"))
     out = stored(data.select(id_col, "variable", "hours_from_admit", value_col), "events")
-    n, nulls = read.get["n"], read.get["nulls"] or 0
-    steps = [("read", n), ("dropped_null", nulls), ("dropped_unknown_item", n - nulls - known.get["n"]), ("dropped_no_stay", known.get["n"] - matched.get["n"]),
-             ("dropped_outside_window", matched.get["n"] - kept.get["n"]), ("kept", kept.get["n"])]
+    n, nulls, known_, matched_, kept_ = observed(read)["n"], observed(read)["nulls"], observed(known)["n"], observed(matched)["n"], observed(kept)["n"]
+    steps = [("read", n), ("dropped_null", nulls), ("dropped_unknown_item", n - nulls - known_), ("dropped_no_stay", known_ - matched_),
+             ("dropped_outside_window", matched_ - kept_), ("kept", kept_)]
     return out, events.sparkSession.createDataFrame([(i, name, int(x)) for i, (name, x) in enumerate(steps)], "step int, name string, n long")
 
 
