@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import newton_groups, pool_violators
-from tidewatch.operators import bootstrap, calibrate, metrics, models, nearest
+from tidewatch.operators import bootstrap, calibrate, models, nearest
 from tidewatch.sources import tables as S
 
 
