@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.guards import check_prediction_frame
 from tidewatch.operators.joins import spread_join
+from tidewatch.operators.models import plain
 from tidewatch.operators.split import fold_entities
 from tidewatch.plans.lineage import cut_lineage
 
@@ -52,7 +53,7 @@ def _vec(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _score(model, df: DataFrame, name: str, features: str = "_x") -> DataFrame:
     keep = df.columns
-    out = model.transform(df)
+    out = plain(model, df).transform(df)
     return out.select(*keep, vector_to_array("probability")[1].alias(name))
 
 

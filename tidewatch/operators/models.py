@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
@@ -20,7 +21,7 @@ from tidewatch.operators.joins import spread_join
 from tidewatch.operators.nearest import nearest
 from tidewatch.operators.ranking import hash_ranks
 from tidewatch.operators.split import fold_entities
-from tidewatch.plans.lineage import cut_lineage, stored
+from tidewatch.plans.lineage import shared_folder, stored
 
 
 def assemble(df: DataFrame, columns: list[str], label: str, keep: list[str] = ()) -> DataFrame:
@@ -56,9 +57,21 @@ def boosted(rounds: int = 100, depth: int = 4, step: float = 0.1, seed: int = 42
                          validationIndicatorCol="is_valid", validationTol=0.001)
 
 
+def plain(model, df: DataFrame):
+    """The model without its training summary, by saving it in the shared folder of ``df``'s session and loading it.
+
+    Tasks that score take the model with its summary, and that with its session; a session that was ever used for an
+    ``Observation`` cannot be sent."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidewatch-model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def score(model, df: DataFrame, name: str = "p") -> DataFrame:
     keep = df.columns
-    return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(name))
+    return plain(model, df).transform(df).select(*keep, vector_to_array("probability")[1].alias(name))
 
 
 def l1_select(train: DataFrame, columns: list[str], *, C: float = 0.1, limit: float = 0.01) -> DataFrame:
@@ -89,7 +102,9 @@ def random_search(train: DataFrame, make: Estimator, space: dict, *, draws: int,
             b = b.baseOn({param: rng.choice(values)})
         grid.append(b.build()[0])
     folds = fold_entities(train, entity, "label", k=k, seed=seed)
-    data = cut_lineage(spread_join(train, folds, [entity], by=["label", "weight", "features"]))
+    data = stored(spread_join(train, folds, [entity], by=["label", "weight", "features"]), "folds")
+    # the search scores with models that hold their training summary, see ``plain``: a session of its own can be sent
+    data = train.sparkSession.newSession().read.schema(data.schema).parquet(*data.inputFiles())
     cv = CrossValidator(estimator=make, estimatorParamMaps=grid, numFolds=k, foldCol="fold", parallelism=parallelism,
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"))
     model = cv.fit(data)
@@ -105,6 +120,7 @@ def permutation_importance(model, df: DataFrame, columns: list[str], *, label: s
         vec = VectorAssembler(inputCols=columns, outputCol="features").transform(data)
         return M.ranking_metrics(score(model, vec).select(F.col(label).alias("y"), "p")).first()[metric]
 
+    model = plain(model, df)
     base = value(df)
     rows = []
     for c in columns:
