@@ -114,6 +114,17 @@ def test_neighbours_of_equal_rows_and_few_rows(spark, n, monkeypatch):
     assert [m.d for m in nearest.nearest(q, rows, "id", "x", 4, 10).first()._n] == [1.0] * min(4, n)
 
 
+def test_ties_are_cut_in_order_and_few_rows_are_kept_of_equal_ones(spark):
+    x = np.zeros((500, 2))
+    at, d, near = nearest.nearest_rows(x[:20], x, np.arange(20), np.arange(500), np.full(20, np.inf), 3)
+    assert len(at) == 60 and (d == 0).all() and near[:6].tolist() == [1, 2, 3, 0, 2, 3]
+    rows = spark.createDataFrame([(i // 2 if i else None, [float(i > 399), 0.0]) for i in range(500)] + [(900, [float("nan"), 0.0])], "id long, x array<double>")
+    assert nearest.Blocks(nearest._needed(rows, "id", "x", 3), "id", "x", 10).rows.count() == 13
+    got = {r.id: [(n.d, n.id) for n in r._n] for r in nearest.nearest(rows, rows, "id", "x", 3, 10).collect()}
+    assert got[0] == [(0.0, None), (0.0, 1), (0.0, 1)] and got[1] == [(0.0, None), (0.0, None), (0.0, 0)] and got[249][0] == (0.0, 200)
+    assert len(got) == 250 and 900 not in got
+
+
 def test_adasyn_against_brute_force(spark):
     r = np.random.default_rng(8)
     x = np.concatenate([r.normal(0, 1, (150, 2)), r.normal(1.5, 1, (40, 2))])

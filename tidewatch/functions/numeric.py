@@ -66,21 +66,75 @@ def tree_leaves(x: np.ndarray, tree: list[tuple[int, float, int, int]]) -> np.nd
     return out
 
 
+def cells(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of rows in compact cells of at most ``size`` rows: halves along the widest dimension; equal rows as they come."""
+    out, todo = [], [np.arange(len(x))] if len(x) else []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        v = x[rows]
+        d = int(np.argmax(v.max(0) - v.min(0)))
+        order = np.argpartition(v[:, d], len(rows) // 2)
+        todo += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
+    return out
+
+
+def box_gaps(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Least distance between boxes, pairwise by broadcasting; the last axis holds the dimensions."""
+    return np.sqrt((np.maximum(np.maximum(lows - high, low - highs), 0.0) ** 2).sum(-1))
+
+
 def nearest_rows(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, bound: np.ndarray, k: int,
-                 numbers: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, distance, row) of the k rows nearest to each query within its bound, those of the k-th distance all included."""
+                 cell: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, distance, row) of the k rows nearest to each query within its bound, ties by earlier row; rows of the query's
+    own id and rows and queries that are not finite take no part.
+
+    Queries and rows are cut into small cells. The rows nearest to a cell of queries bound their k-th distances, and only
+    cells of rows that may hold something as near are looked at."""
     at, dist, near = [], [], []
-    step = max(1, numbers // max(1, x.size))
-    for i in range(0, len(q), step):
-        part = q[i:i + step]
-        d = np.sqrt(((part[:, None, :] - x[None, :, :]) ** 2).sum(2))
-        d[own[i:i + step, None] == ids[None, :]] = np.inf
-        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        a, b = np.nonzero((d <= np.minimum(last, bound[i:i + step])[:, None]) & np.isfinite(d))
-        at.append(a + i)
-        dist.append(d[a, b])
-        near.append(b)
-    return np.concatenate(at), np.concatenate(dist), np.concatenate(near)
+    fine = np.flatnonzero(np.isfinite(x).all(1))
+    groups = [fine[g] for g in cells(x[fine], cell)]
+    lows, highs = (np.array([f(x[g], axis=0) for g in groups]).reshape(-1, x.shape[1]) for f in (np.min, np.max))
+    sizes = np.array([len(g) for g in groups], np.int64)
+    asked = np.flatnonzero(np.isfinite(q).all(1))
+
+    def distances(rows: np.ndarray, found: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(rows), len(found)))
+        for j in range(x.shape[1]):
+            d += (q[rows, j][:, None] - x[found, j][None, :]) ** 2
+        d = np.sqrt(d)
+        d[own[rows][:, None] == ids[found][None, :]] = np.inf
+        return d
+
+    def last(d: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1]) if d.shape[1] >= k else most
+
+    for part in cells(q[asked], cell) if groups else []:
+        rows = asked[part]
+        low, high = q[rows].min(0), q[rows].max(0)
+        gap = box_gaps(low, high, lows, highs)
+        order = np.lexsort((((lows + highs - low - high) ** 2).sum(1), gap))
+        first = order[:1 + int(np.searchsorted(np.cumsum(sizes[order]), 4 * k))]
+        limit = last(distances(rows, np.concatenate([groups[g] for g in first])), bound[rows])
+        # a little slack against rounding of the gaps
+        reach = float(limit.max()) * (1 + 1e-9) + 1e-300
+        found = np.sort(np.concatenate([groups[g] for g in order[gap[order] <= reach]] or [fine[:0]]))
+        for i in range(0, len(found), 1 << 16):  # pieces bounded by memory
+            d = distances(rows, found[i:i + (1 << 16)])
+            limit = last(d, limit)
+            a, b = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            at.append(rows[a])
+            dist.append(d[a, b])
+            near.append(found[i + b])
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    a, d, b = np.concatenate(at), np.concatenate(dist), np.concatenate(near)
+    order = np.lexsort((b, d, a))
+    a, d, b = a[order], d[order], b[order]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[rank < k], d[rank < k], b[rank < k]
 
 
 # the helpers travel with the job, so executors need no copy of this package

@@ -134,7 +134,7 @@ def permutation_importance(model, df: DataFrame, columns: list[str], *, label: s
     return df.sparkSession.createDataFrame(rows, "column_name string, importance double, std double")
 
 
-NEIGHBOUR_BLOCK = 2048  # rows of a block of neighbours, at least
+NEIGHBOUR_BLOCK = 32_768  # rows of a block of neighbours, at least
 
 
 def neighbours(rows: DataFrame, row_key: str, x: str, k: int) -> DataFrame:
