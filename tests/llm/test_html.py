@@ -131,6 +131,19 @@ def test_near_copies_are_no_template(spark):
     assert all(got[400 + i] == ["Summary", f"Case {i}", f"Rest {i}"] for i in range(6))
 
 
+def test_pages_with_articles_are_aligned_and_vote(spark):
+    """What stands around articles is template on the host's other pages; what stands in articles stays."""
+    article = "<body><div>Shop name</div><article><p>Case {0}</p><p>Always said</p><p>Rest {0}</p></article><div>Call us</div></body>"
+    other = "<body><div>Shop name</div><div><p>Own {0}</p><p>words {0}</p></div><div>Call us</div></body>"
+    rows = [(i, "http://h.example/", article.format(i)) for i in range(8)] + [(100 + i, "http://h.example/", other.format(i)) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    marked = [r for r in H.blocks(df).collect() if r._article]
+    assert len(marked) == 8 and all(len(r._around) == 2 for r in marked)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(got[i] == f"Case {i}\nAlways said\nRest {i}" for i in range(8))
+    assert all(got[100 + i] == f"Own {i}\nwords {i}" for i in range(2))
+
+
 def test_query_against_a_plain_parse(spark):
     from tidewatch.llm.queries import QUERIES
     sf = "/root/testdata/sf0.01"

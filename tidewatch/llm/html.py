@@ -8,8 +8,9 @@ is template: constant. The rest is varying, and content if it lies in the main r
 elements that say they are menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
 Evidence comes from pages that mostly differ from the seed: copies and near copies of one page are one
-vote (``votes``), so a page copied or changed a little many times is no template. The blocks of an
-explicit article are content whatever other pages hold: there nothing is template.
+vote (``votes``), so a page copied or changed a little many times is no template. A page with an explicit
+article is aligned and votes like any other, for the nodes outside of the article: what stands in articles
+only is content, however many of them hold it.
 
 All pages are aligned; the seed is one row per host, and its tree without texts is broadcast only if
 a check of its size allows it. The aligned blocks are stored, evidence is counted over all of them.
@@ -33,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidewatch.plans.lineage import stored
 
@@ -283,6 +285,19 @@ def _region(root: Node) -> tuple[list[tuple[str, Node]], bool]:
     return [], False
 
 
+def around(root: Node) -> list[int]:
+    """The seed nodes that a page with an explicit article holds outside of articles and of what is boilerplate by its name."""
+    out, todo = set(), [root]
+    while todo:
+        n = todo.pop()
+        if n.tag == "article" or n is not root and boilerplate(n):
+            continue
+        if n.mark >= 0:
+            out.add(n.mark)
+        todo += n.kids
+    return sorted(out)
+
+
 def skeleton(node: Node) -> list:
     """[tag, hash of the own texts, children] without the texts."""
     out: list = []
@@ -397,7 +412,8 @@ def _placed(df: DataFrame, small: DataFrame, size: int) -> DataFrame:
 
 def blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` (without html) with _host, _sig (hash of the main texts), _blocks: the texts of the main
-    region, each with the seed node that it equals, or -1, and _article: whether that is an article."""
+    region, each with the seed node that it equals, or -1, _article: whether that is an article, and _around: if so,
+    the seed nodes held outside of it."""
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
     rest = [F.col(f"`{c}`") for c in pages.columns if c != html]
     rows = pages.select(F.struct(*rest).alias("_row"), host.alias("_host"), F.col(html).alias("_html"))
@@ -417,12 +433,12 @@ def blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Seed] = {}
         for b in batches:
-            out, sigs, free = [], [], []
+            out, sigs, free, outer = [], [], [], []
             for page, tree in zip(b.column(2), b.column(3)):
                 page, tree = page.as_py(), tree.as_py()
                 root = parse(page or "")
                 found, article = _region(root)
-                if found and tree and not article:
+                if found and tree:
                     if tree not in known:
                         if len(known) > 1000:
                             known.clear()
@@ -430,29 +446,30 @@ def blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
                     align(root, known[tree])
                 out.append([{"text": t, "node": n.mark} for t, n in found])
                 free.append(article)
+                outer.append(around(root) if article else None)
                 sigs.append(xxhash.xxh64_intdigest("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass")) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.int64()), pa.array(out, kind), pa.array(free, pa.bool_())],
-                                             names=["_row", "_host", "_sig", "_blocks", "_article"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.int64()), pa.array(out, kind), pa.array(free, pa.bool_()),
+                                              pa.array(outer, pa.list_(pa.int32()))], names=["_row", "_host", "_sig", "_blocks", "_article", "_around"])
 
-    schema = joined.select("_row", "_host").schema.add("_sig", "long").add("_blocks", _type()).add("_article", "boolean")
+    schema = joined.select("_row", "_host").schema.add("_sig", "long").add("_blocks", _type()).add("_article", "boolean").add("_around", ArrayType(IntegerType()))
     return joined.mapInArrow(work, schema)
 
 
 def _type():
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
     return ArrayType(StructType([StructField("text", StringType()), StructField("node", IntegerType())]))
 
 
 def votes(aligned: DataFrame) -> DataFrame:
-    """(_host, m, _vote): per page without an article that mostly differs from the seed, its seed nodes and
-    the vote it belongs to.
+    """(_host, m, _vote): per page that mostly differs from the seed, its seed nodes, outside of its article if
+    it has one, and the vote it belongs to.
 
     Near copies of the seed hold few other blocks and have no vote of their own. Near copies of another
     page share most blocks that are not the seed's: their vote is named by the first of these that other
     pages hold too. A page without a majority of such blocks votes alone."""
     own = F.filter("_blocks", lambda x: x["node"] < 0)
     size = lambda b: F.aggregate(F.transform(b, lambda x: F.char_length(x["text"])), F.lit(0), lambda a, n: a + n)
-    pages = aligned.where("NOT _article").select("_host", "_sig", F.array_distinct(F.transform(F.filter("_blocks", lambda x: x["node"] >= 0), lambda x: x["node"])).alias("m"),
+    held = F.array_distinct(F.transform(F.filter("_blocks", lambda x: x["node"] >= 0), lambda x: x["node"]))
+    pages = aligned.select("_host", "_sig", F.when(F.col("_article"), F.col("_around")).otherwise(held).alias("m"),
                            F.array_distinct(F.transform(own, lambda x: F.xxhash64(x["text"]))).alias("b"),
                            ((2 * F.size(own) >= F.size("_blocks")) | (2 * size(own) >= size(F.col("_blocks")))).alias("far"))
     # a page without a seed node is no evidence for one, but counts in the share
@@ -477,7 +494,7 @@ def templates(aligned: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` without html, with the main text (a column of that name is replaced)."""
-    aligned = stored(blocks(pages, url, html), "blocks")  # blocks of articles have no seed node
+    aligned = stored(blocks(pages, url, html), "blocks")
     const = stored(templates(aligned), "templates")
     size = const.agg(F.sum(F.size("_template") * 4 + F.octet_length("_host"))).first()[0] or 0
     both = _placed(aligned, const, size)
