@@ -113,6 +113,28 @@ def test_long_labelled_texts_do_not_end_the_sample(spark, monkeypatch):
     assert len(got[1]) == 20 and sum(map(len, got[1])) <= bound
 
 
+def test_all_labelled_rows_are_learnt(spark, monkeypatch):
+    """Rows and texts beyond the old sample count, and every pass meets all rows of all tasks."""
+    texts, y = corpus(900)
+    texts = [t + " quxfoo" if i % 9 == 4 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    monkeypatch.setattr(X, "MAX_ROWS", 10)
+    monkeypatch.setattr(X, "PASS_ROWS", 200)
+    model = X.train(docs, labels)
+    more, z = corpus(400, 9)
+    assert ((X.Scorer(model.net).score(more) >= 0.5) == z).mean() > 0.95 and set(model.cuts) <= {"en"}
+
+
+def test_cuts_are_the_thresholds_of_the_rows(spark):
+    r = np.random.default_rng(2)
+    z = np.round(r.normal(0, 2, 600), 2)
+    y, lang = (r.random(600) < 1 / (1 + np.exp(-2 * z - 1))).astype(int), np.array(["a", "b", None], object)[r.integers(0, 3, 600)]
+    df = spark.createDataFrame([(v, float(a), float(b), float(1 - b)) for v, a, b in zip(lang.tolist(), z, y)], "lang string, z double, pos double, neg double")
+    got, want = X._cuts(df, (1.0, 0.0)), X.thresholds(X._sigmoid(z), y, lang.tolist())
+    assert got == pytest.approx(want) and set(got) == {"a", "b"}
+
+
 def test_query_on_held_out_rows(spark):
     from tidewatch.llm.queries import QUERIES
     sf = "/root/testdata/sf0.1"

@@ -6,10 +6,11 @@ the maxima into a score, calibrated by Platt scaling on rows kept out of the fit
 source, id nor label enter a score. Decision thresholds are calibrated by language as a second
 output: ``flagged`` compares the score with its language's threshold.
 
-The fit takes a bounded sample: ``max_rows`` labelled training rows picked by id hash, at most ``max_chars``
-characters of text in total. Where the characters do not suffice, the longest texts are passed over and later
-rows take their place. The choice is made on lengths; only the texts of chosen rows reach the driver.
-Scoring is a map over all rows and whole texts.
+The fit takes all labelled rows and whole texts (``train``): counts that start the embeddings are summed in Spark, then
+each pass over the rows is a job whose tasks go on from the common net, and the next net is the mean of theirs, an
+embedding's over the tasks that changed it. A fifth of the rows, by id hash, is held out of the fit; on all of these the
+score and the thresholds are calibrated. Only the net, of a fixed size, and sums reach the driver. With ``max_rows`` the
+fit runs on the driver instead, on a bounded sample of rows and characters. Scoring is a map over all rows and whole texts.
 
 Defined cases: a null or empty text scores like a text of blanks; a null label is no training row;
 different labels of one id all count; with labels of one class only, or none, every score is that
@@ -18,17 +19,21 @@ table; other columns are not looked at."""
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import append, blocks, sampled
+from tidewatch.llm.base import append, blocks, sampled, texts_of
+from tidewatch.operators.ranking import fit_edges, running_totals
+from tidewatch.plans.lineage import stored
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 MAX_ROWS, MAX_CHARS = 6000, 30_000_000
@@ -161,8 +166,21 @@ def fit(texts: list[str], y: np.ndarray, *, epochs: int | None = None, batch: in
     t = Texts(texts)
     seen = _start(net, t, used, y)
     epochs = epochs or max(8, min(60, 12_000 // len(used)))
-    memory = {k: np.full(v.shape, 1e-4, np.float32) for k, v in net.p.items()}
+    step = _stepper(net, _memory(net), seen, rate)
+    for _ in range(epochs):
+        r.shuffle(used)
+        for i in range(0, len(used), batch):
+            _learn(net, t, used[i:i + batch], y, r, drop, step)
+    net.scale = _platt(Scorer(net).logits([texts[k] for k in held]), y[held])
+    return net
+
 
+def _memory(net: Net) -> dict[str, np.ndarray]:
+    return {k: np.full(v.shape, 1e-4, np.float32) for k, v in net.p.items()}
+
+
+def _stepper(net: Net, memory: dict[str, np.ndarray], seen: np.ndarray, rate: float):
+    """One parameter's step against its gradient, by the squares of its gradients so far."""
     def step(key, grad, rows=None):
         if rows is not None:
             rows, grad = rows[seen[rows]], grad[seen[rows]]
@@ -173,13 +191,16 @@ def fit(texts: list[str], y: np.ndarray, *, epochs: int | None = None, batch: in
         else:
             m[rows] += grad * grad
             p[rows] -= rate * grad / np.sqrt(m[rows])
+    return step
 
-    for _ in range(epochs):
-        r.shuffle(used)
-        for i in range(0, len(used), batch):
-            _learn(net, t, used[i:i + batch], y, r, drop, step)
-    net.scale = _platt(Scorer(net).logits([texts[k] for k in held]), y[held])
-    return net
+
+def _hits(t: Texts, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Texts of each class that hold each bucket."""
+    hits = np.zeros((2, BUCKETS))
+    for k in rows:
+        own = np.unique(t.buckets[np.unique(t.tokens[t.start[k]:t.end[k] - PAD])])
+        hits[int(y[k]), own] += 1
+    return hits
 
 
 def _start(net: Net, t: Texts, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -188,11 +209,10 @@ def _start(net: Net, t: Texts, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     A bucket met in fewer than ``SEEN`` texts stays zero: it could only teach single texts by heart.
     The first number of the others is how surely they tell the classes apart, their log odds over
     its standard error, and the first filter looks at it."""
-    hits = np.zeros((2, BUCKETS))
-    for k in rows:
-        own = np.unique(t.buckets[np.unique(t.tokens[t.start[k]:t.end[k] - PAD])])
-        hits[int(y[k]), own] += 1
-    total = np.array([(y[rows] == c).sum() for c in (0, 1)])
+    return _begin(net, _hits(t, rows, y), np.array([(y[rows] == c).sum() for c in (0, 1)]))
+
+
+def _begin(net: Net, hits: np.ndarray, total: np.ndarray) -> np.ndarray:
     odds = np.log((hits[1] + 1) / (total[1] + 2)) - np.log((hits[0] + 1) / (total[0] + 2))
     sure = odds / np.sqrt(1 / (hits[1] + 1) + 1 / (hits[0] + 1))
     seen = hits.sum(axis=0) >= SEEN
@@ -315,8 +335,152 @@ def choose(sizes: list[int], max_rows: int, max_chars: int) -> list[int]:
     return sorted(taken)
 
 
+PASS_ROWS = 4000  # rows of a task in a pass, at least
+WORKERS = 64  # tasks of a pass, at most: each sends a net
+
+
+def _pieces(net: Net) -> list[tuple[str, int]]:
+    """(parameter, first row) of the parts in which nets travel."""
+    return [(k, i) for k, v in net.p.items() for i in range(0, len(v), 4096)]
+
+
+def _pass(data: DataFrame, net: Net, memory: dict[str, np.ndarray], seen: np.ndarray, tasks: int, seed: int, batch: int = 32, rate: float = 0.05, drop: float = 0.5) -> None:
+    """One pass of all tasks over their rows (y, t); ``net`` and ``memory`` become the means of theirs."""
+    shared = data.sparkSession.sparkContext.broadcast((net, memory, seen))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, memory_, seen_ = shared.value
+        net_ = copy.copy(own)
+        net_.p, mem = {k: v.copy() for k, v in own.p.items()}, {k: v.copy() for k, v in memory_.items()}
+        step, r, met = _stepper(net_, mem, seen_, rate), np.random.default_rng([seed, TaskContext.get().partitionId()]), 0
+        for b in batches:
+            y, at = b.column(0).to_numpy(zero_copy_only=False), 0
+            for texts in blocks(texts_of(b.column(1)), BLOCK):
+                t, label = Texts(texts), y[at:at + len(texts)]
+                at, order = at + len(texts), r.permutation(len(texts))
+                for i in range(0, len(order), batch):
+                    _learn(net_, t, order[i:i + batch], label, r, drop, step)
+                met += len(texts)
+        if not met:
+            return
+        for n, (k, i) in enumerate(_pieces(net_)):
+            p, m = net_.p[k][i:i + 4096], mem[k][i:i + 4096]
+            moved = (m != memory_[k][i:i + 4096]).reshape(len(p), -1).any(axis=1) if k == "E" else np.ones(len(p), bool)
+            sent = np.concatenate([moved.astype(np.float32), *[np.where(moved.reshape(-1, *[1] * (p.ndim - 1)), x, 0).ravel() for x in (p, m)]])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([sent.astype(np.float32).tobytes()], pa.binary())], names=["piece", "sent"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t["sent"])
+        return pa.table({"piece": t["piece"][:1], "sent": pa.array([total.tobytes()], pa.binary())})
+
+    found = data.select("y", "t").coalesce(tasks).mapInArrow(work, "piece int, sent binary").groupBy("piece").applyInArrow(add, "piece int, sent binary").collect()
+    pieces = _pieces(net)
+    for f in found:
+        k, i = pieces[f.piece]
+        x, n = np.frombuffer(f.sent, float), len(net.p[k][i:i + 4096])
+        moved, rest = x[:n], x[n:].reshape(2, n, *net.p[k].shape[1:])
+        hit = moved > 0
+        many = moved[hit].reshape(-1, *[1] * (net.p[k].ndim - 1))
+        net.p[k][i:i + 4096][hit], memory[k][i:i + 4096][hit] = rest[0][hit] / many, rest[1][hit] / many
+    shared.destroy()
+
+
+def _fit(data: DataFrame, n: int, total: np.ndarray, seed: int = 7) -> Net:
+    """The net fitted on rows (y, t), ``n`` of them, ``total`` by class; each pass takes all of them."""
+    net = Net(seed)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = np.zeros((2, BUCKETS))
+        for b in batches:
+            y, at = b.column(0).to_numpy(zero_copy_only=False), 0
+            for texts in blocks(texts_of(b.column(1)), BLOCK):
+                hits += _hits(Texts(texts), np.arange(len(texts)), y[at:at + len(texts)])
+                at += len(texts)
+        c, bucket = np.nonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(bucket, pa.int64()), pa.array(hits[c, bucket])], names=["c", "b", "n"])
+
+    hits = np.zeros((2, BUCKETS))
+    found = data.select("y", "t").mapInArrow(count, "c long, b long, n double").groupBy("c", "b").agg(F.sum("n").alias("n")).toPandas()
+    hits[found["c"], found["b"]] = found["n"]
+    seen, memory = _begin(net, hits, total), _memory(net)
+    for k in range(max(4, min(60, 12_000 // n)) if n > 6000 else max(8, min(60, 12_000 // n))):
+        _pass(data, net, memory, seen, max(1, min(WORKERS, n // PASS_ROWS)), seed + k)
+    return net
+
+
+def _calibrated(held: DataFrame, net: Net) -> Model:
+    """The net with its scale and thresholds by language, from rows (y, t, lang) kept out of its fit."""
+    if held.select("y").distinct().count() < 2:
+        return Model(net, {})
+    shared = held.sparkSession.sparkContext.broadcast(net)
+
+    def start():
+        own = Scorer(shared.value)
+        return lambda texts: [pa.array(np.concatenate([own.logits(part) for part in blocks(texts, BLOCK)] or [np.zeros(0)]))]
+
+    z = stored(append(held, "t", start, "z double").groupBy("lang", "z").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "held-scores")
+    top = z.agg(F.max(F.abs("z")).alias("s"), F.sum(F.col("pos") + F.col("neg")).alias("n")).first()
+    s = max(1e-6, top.s)
+    a, pull = np.array([s, 0.0]), np.array([1e-2, 0.0]) * top.n / s
+    for _ in range(60):  # Newton as in ``_platt``, its sums from Spark
+        x = F.col("z") / F.lit(s)
+        p = 1 / (1 + F.exp(-F.least(F.greatest(F.lit(float(a[0])) * x + F.lit(float(a[1])), F.lit(-35.0)), F.lit(35.0))))
+        w, g = (F.col("pos") + F.col("neg")) * p * (1 - p), (F.col("pos") + F.col("neg")) * p - F.col("pos")
+        r = z.agg(*[F.sum(v).alias(k) for k, v in {"g0": g * x, "g1": g, "h00": w * x * x, "h01": w * x, "h11": w}.items()]).first()
+        grad = np.array([r.g0, r.g1]) + pull * (a - np.array([s, 0.0]))
+        d = np.linalg.solve(np.array([[r.h00, r.h01], [r.h01, r.h11]]) + np.diag(pull + 1e-9), grad)
+        d *= min(1.0, 5.0 / max(1e-12, np.abs(d).max()))
+        a = a - d
+        if np.abs(d).max() < 1e-8:
+            break
+    net.scale = (float(a[0] / s), float(a[1])) if a[0] > 0 else (1.0, 0.0)
+    return Model(net, _cuts(z, net.scale))
+
+
+def _cuts(z: DataFrame, scale: tuple[float, float], least: int = 30) -> dict[str, float]:
+    """``thresholds`` of counts (lang, z, pos, neg) of whole tables: a language's cuts are 0.5 and the middles between its scores."""
+    at = F.least(F.greatest(F.lit(scale[0]) * F.col("z") + F.lit(scale[1]), F.lit(-35.0)), F.lit(35.0))
+    counts = z.where("lang IS NOT NULL AND lang <> ''").groupBy("lang", (1 / (1 + F.exp(-at))).alias("s")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = stored(counts, "held-counts")
+    edges = fit_edges(counts, "s")
+    upto = running_totals(counts, ["lang"], "s", ["pos", "neg"], edges)
+    sums = counts.groupBy("lang").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(F.when(F.col("s") < 0.5, F.col("pos")).otherwise(F.col("neg"))).alias("half"))
+    # the cut above a score leaves its positives below and takes the negatives above; the last score has no middle
+    errors = upto.join(sums.where(f"P >= {least} AND N >= {least}"), "lang").select(
+        "lang", "s", "half", (F.col("cum_pos") + F.col("N") - F.col("cum_neg")).alias("e"), (F.col("cum_pos") + F.col("cum_neg") < F.col("P") + F.col("N")).alias("inner"))
+    errors = stored(errors, "held-errors")
+    least_ = errors.groupBy("lang").agg(F.min(F.when(F.col("inner"), F.col("e"))).alias("low"), F.max("half").alias("half")).withColumn("low", F.coalesce(F.least("low", "half"), F.col("half")))
+    out = {r.lang: 0.5 for r in least_.where("half <= low").collect()}
+    # of each side of 0.5 the nearest score with the fewest errors, and the next score above it
+    best = errors.join(least_.where("half > low").select("lang", "low"), "lang").where("inner AND e = low")
+    ends = best.groupBy("lang").agg(F.max(F.when(F.col("s") < 0.5, F.col("s"))).alias("below"), F.min(F.when(F.col("s") >= 0.5, F.col("s"))).alias("above"))
+    sides = ends.select("lang", F.explode(F.array("below", "above")).alias("low")).where("low IS NOT NULL")
+    nexts = sides.join(counts.select("lang", "s"), "lang").where("s > low").groupBy("lang", "low").agg(F.min("s").alias("high")).collect()
+    for r in sorted(nexts, key=lambda r: (r.lang, r.low)):
+        cut = (r.low + r.high) / 2
+        if r.lang not in out or abs(cut - 0.5) < abs(out[r.lang] - 0.5):
+            out[r.lang] = cut
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic",
-          max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+          max_rows: int | None = None, max_chars: int = MAX_CHARS) -> Model:
+    """Fit on all labelled rows of ``docs``; ``labels`` holds the training rows only. With ``max_rows``, see ``train_on_sample``."""
+    if max_rows is not None:
+        return train_on_sample(docs, labels, doc_id, text, lang, label, max_rows, max_chars)
+    y = labels.select(F.col(doc_id).alias("_i"), F.col(label).cast("double").alias("y")).where("y IN (0, 1) AND _i IS NOT NULL").distinct()
+    rows = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("t"), F.col(lang).alias("lang") if lang in docs.columns else F.lit(None).cast("string").alias("lang"))
+    data = stored(rows.join(y, "_i").withColumn("held", F.pmod(F.xxhash64("_i", F.lit(11)), F.lit(5)) == 0), "labelled")
+    counts = {(r.held, r.y): r.n for r in data.groupBy("held", "y").agg(F.count("*").alias("n")).collect()}
+    total = np.array([counts.get((False, c), 0) for c in (0.0, 1.0)])
+    if not total.all():  # one class, or none, in the rows to fit on
+        found = {c for (_, c) in counts}
+        return Model(fit([""] * len(found), np.array(sorted(found))) if len(found) < 2 else fit(["", ""], np.array([0.0, 0.0 if total[0] else 1.0])), {})
+    return _calibrated(data.where("held").select("y", "t", "lang"), _fit(data.where("NOT held"), int(total.sum()), total))
+
+
+def train_on_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic",
+                    max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``; ``labels`` holds the training rows only."""
     y = labels.select(F.col(doc_id).alias("_i"), F.col(label).cast("double").alias("y")).where("y IN (0, 1) AND _i IS NOT NULL").distinct()
     rows = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("t"), F.col(lang).alias("lang") if lang in docs.columns else F.lit(None).cast("string").alias("lang"))
