@@ -370,7 +370,7 @@ def _pass(data: DataFrame, net: Net, memory: dict[str, np.ndarray], seen: np.nda
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([sent.astype(np.float32).tobytes()], pa.binary())], names=["piece", "sent"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t["sent"])
+        total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in sorted(t["sent"], key=lambda x: x.as_py()))
         return pa.table({"piece": t["piece"][:1], "sent": pa.array([total.tobytes()], pa.binary())})
 
     found = data.select("y", "t").coalesce(tasks).mapInArrow(work, "piece int, sent binary").groupBy("piece").applyInArrow(add, "piece int, sent binary").collect()
@@ -470,7 +470,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return train_on_sample(docs, labels, doc_id, text, lang, label, max_rows, max_chars)
     y = labels.select(F.col(doc_id).alias("_i"), F.col(label).cast("double").alias("y")).where("y IN (0, 1) AND _i IS NOT NULL").distinct()
     rows = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("t"), F.col(lang).alias("lang") if lang in docs.columns else F.lit(None).cast("string").alias("lang"))
-    data = stored(rows.join(y, "_i").withColumn("held", F.pmod(F.xxhash64("_i", F.lit(11)), F.lit(5)) == 0), "labelled")
+    # in a fixed order, so that the same rows give the same net
+    data = stored(rows.join(y, "_i").sortWithinPartitions("_i", F.xxhash64("t"), "y").withColumn("held", F.pmod(F.xxhash64("_i", F.lit(11)), F.lit(5)) == 0), "labelled")
     counts = {(r.held, r.y): r.n for r in data.groupBy("held", "y").agg(F.count("*").alias("n")).collect()}
     total = np.array([counts.get((False, c), 0) for c in (0.0, 1.0)])
     if not total.all():  # one class, or none, in the rows to fit on
