@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import Observation
@@ -42,3 +45,39 @@ def test_stackers_in_a_session_with_observations(rows):
              "p_rf": lambda: RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=2, maxDepth=2, seed=1)}
     scored, _, _ = ensemble.oof_stacker(rows.drop("features"), ["a", "b"], bases, entity="entity", label="label", k=2)
     assert scored.where("p_stacked BETWEEN 0 AND 1").count() == 240
+
+
+def test_importance_pairs_rows_by_two_hash_orders_in_few_jobs(spark):
+    """Brute force over the same pairings, and no more jobs for more repeats."""
+    n = 120
+    data = [(i, float((i * 37) % 11), float((i * 53) % 17), int((i * 37) % 11 + (i * 7) % 5 > 6)) for i in range(n)]
+    df = spark.createDataFrame(data, "k long, a double, b double, y int")
+    vec = models.assemble(df, ["a", "b"], "y", ["k"])
+    model = models.logistic(1.0, n).fit(vec)
+    weight, start = model.coefficients.toArray(), model.intercept
+
+    def auc(rows):
+        s = [(start + a * weight[0] + b * weight[1], y) for a, b, y in rows]
+        pairs = [(p, q) for p, y in s if y for q, z in s if not z]
+        return sum(1.0 if p > q else 0.5 if p == q else 0.0 for p, q in pairs) / len(pairs)
+
+    def order(salt):
+        return sorted(range(n), key=lambda i: hashlib.md5(f"{i}{salt}".encode()).hexdigest())
+
+    def drops(column, repeats):
+        out = []
+        for r in range(repeats):
+            value = {i: data[j][1 + column] for i, j in zip(order(f"|rows42{r}{'ab'[column]}"), order(f"|values42{r}{'ab'[column]}"))}
+            out.append(auc([(a, b, y) for _, a, b, y in data]) - auc([(value[i] if column == 0 else a, value[i] if column == 1 else b, y) for i, a, b, y in data]))
+        return out
+
+    sc, jobs = spark.sparkContext, {}
+    for repeats in (2, 5):
+        sc.setJobGroup(f"importance{repeats}", "test")
+        got = {r.column_name: r for r in models.permutation_importance(model, df, ["a", "b"], label="y", row_key="k", repeats=repeats).collect()}
+        jobs[repeats] = len(sc.statusTracker().getJobIdsForGroup(f"importance{repeats}"))
+        for i, c in enumerate("ab"):
+            want = drops(i, repeats)
+            assert got[c].importance == pytest.approx(np.mean(want), abs=1e-12) and got[c].std == pytest.approx(np.std(want), abs=1e-12)
+    sc._jsc.sc().clearJobGroup()
+    assert jobs[5] <= jobs[2] + 4

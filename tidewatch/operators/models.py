@@ -19,7 +19,7 @@ from tidewatch.functions.exprs import hash_fraction
 from tidewatch.operators import metrics as M
 from tidewatch.operators.joins import spread_join
 from tidewatch.operators.nearest import nearest
-from tidewatch.operators.ranking import hash_ranks
+from tidewatch.operators.ranking import fit_edges, hash_ranks
 from tidewatch.operators.split import fold_entities
 from tidewatch.plans.lineage import shared_folder, stored
 
@@ -115,23 +115,36 @@ def random_search(train: DataFrame, make: Estimator, space: dict, *, draws: int,
 def permutation_importance(model, df: DataFrame, columns: list[str], *, label: str, row_key: str, repeats: int = 2,
                            seed: int = 42, metric: str = "auc_roc") -> DataFrame:
     """Drop of the metric when one column is shuffled: the column's values are paired with rows
-    through two independent hash orders of the table, an even shuffle join."""
-    def value(data):
-        vec = VectorAssembler(inputCols=columns, outputCol="features").transform(data)
-        return M.ranking_metrics(score(model, vec).select(F.col(label).alias("y"), "p")).first()[metric]
+    through two independent hash orders of the table, an even shuffle join.
 
+    The rows are written once; all repeats of a column are ranked, paired, scored and measured in one job."""
     model = plain(model, df)
-    base = value(df)
-    rows = []
+    rows = stored(df.select(row_key, *columns, label), "rows")
+
+    def scores(data):
+        vec = VectorAssembler(inputCols=columns, outputCol="features").transform(data)
+        return score(model, vec).withColumnRenamed(label, "y")
+
+    first = stored(M.score_counts(scores(rows)), "scores")
+    edges = fit_edges(first, "p")  # they balance the shuffled scores as well: only one column of them differs
+    base = M.curve_metrics(M.curve(first, (), edges)).first()[metric]
+    found = []
     for c in columns:
-        drops = []
-        for r in range(repeats):
-            left = hash_ranks(df, [], row_key, salt=f"|rows{seed}{r}{c}", rank="_rank").drop("n", c)
-            right = hash_ranks(df.select(row_key, c), [], row_key, salt=f"|values{seed}{r}{c}", rank="_rank").select("_rank", c)
-            drops.append(base - value(left.join(right, "_rank")))
+        counts = stored(M.score_counts(scores(_shuffled(rows, c, row_key, repeats, seed)), ["_repeat"]), "scores")
+        per = {r["_repeat"]: r[metric] for r in M.curve_metrics(M.curve(counts, ["_repeat"], edges), ["_repeat"]).collect()}
+        drops = [base - per.get(r) for r in range(repeats)]
         mean = sum(drops) / repeats
-        rows.append((c, float(mean), float((sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5)))
-    return df.sparkSession.createDataFrame(rows, "column_name string, importance double, std double")
+        found.append((c, float(mean), float((sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5)))
+    return df.sparkSession.createDataFrame(found, "column_name string, importance double, std double")
+
+
+def _shuffled(rows: DataFrame, column: str, row_key: str, repeats: int, seed: int) -> DataFrame:
+    """``rows`` once per ``_repeat``, each time with another pairing of the column's values."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_repeat")
+    salt = lambda side: F.concat(F.lit(f"|{side}{seed}"), F.col("_repeat").cast("string"), F.lit(column))
+    left = hash_ranks(rows.drop(column).select("*", each), ["_repeat"], row_key, salt("rows"), rank="_rank").drop("n")
+    right = hash_ranks(rows.select(row_key, column, each), ["_repeat"], row_key, salt("values"), rank="_rank").select("_repeat", "_rank", column)
+    return left.join(right, ["_repeat", "_rank"])
 
 
 NEIGHBOUR_BLOCK = 32_768  # rows of a block of neighbours, at least

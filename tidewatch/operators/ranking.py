@@ -93,13 +93,14 @@ def running_totals(df: DataFrame, group: list[str], order: str, values: list[str
     return joined.select(*df.columns, *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 
 
-def hash_ranks(df: DataFrame, group: list[str], row_key: str, salt: str = "", digits: int = 3,
+def hash_ranks(df: DataFrame, group: list[str], row_key: str, salt: str | Column = "", digits: int = 3,
                rank: str = "rank") -> DataFrame:
     """Row number and size of each group in md5 order of ``row_key`` (then the key itself).
 
     md5 digits are uniform, so 16^digits buckets per group share the work evenly however few
     groups there are. Adds ``rank`` (from 1) and ``n``."""
-    data = df.withColumn("_h", F.md5(F.concat(F.col(row_key).cast("string"), F.lit(salt))))
+    salt = F.lit(salt) if isinstance(salt, str) else salt
+    data = df.withColumn("_h", F.md5(F.concat(F.col(row_key).cast("string"), salt)))
     data = data.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
     counts = data.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
