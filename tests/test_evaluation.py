@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from tidewatch.functions import resample
 from tidewatch.functions.constants import POISSON_CUTS
 from tidewatch.functions.exprs import poisson_weight
 from tidewatch.functions.resample import weights
@@ -244,3 +246,36 @@ def test_suite_and_plans(spark, cohort, long_events):
     o = features.FeatureOptions(vitals=["heart_rate"], labs=["lactate"], check_provenance=True, row_rules=False)
     out = features.build_features(cohort, long_events, o).orderBy("stay_id").collect()
     assert out[0].heart_rate_max == 120 and out[0].lactate_bin_2_3h_last == 2.5 and out[2].heart_rate_measured == 0
+
+
+def test_paired_comparison_makes_one_pass_over_the_rows(spark, monkeypatch):
+    """Terms of the precision curve are only worked out where a metric needs them."""
+    calls, plain = [], bootstrap.replicate_metrics
+
+    def noted(*args, **options):
+        calls.append(options.get("precision_curve", True))
+        return plain(*args, **options)
+    monkeypatch.setattr(bootstrap, "replicate_metrics", noted)
+    df = spark.createDataFrame([(i, i % 3 % 2, (i * 7 % 40) / 40, (i * 11 % 40) / 40) for i in range(400)], "k long, y int, p double, q double")
+    got = {m: bootstrap.paired_difference(df, "k", metric=m, model_a=("a", "p"), model_b=("b", "q"), n_boot=20).first() for m in ("auc_roc", "average_precision")}
+    assert calls == [False, True]
+    per = plain(df, "k", n_boot=20, models={"a": "p", "b": "q"}).collect()
+    for m, r in got.items():
+        d = sorted(x[m] - y[m] for x in per if x.model == "a" for y in per if y.model == "b" and x.replicate == y.replicate)
+        assert r.n_success == 20 and r.ci_lower == pytest.approx(np.quantile(d, 0.025)) and r.ci_upper == pytest.approx(np.quantile(d, 0.975))
+
+
+def test_runs_in_small_blocks():
+    """A run's sums do not depend on how its rows are cut, and weigh each replicate's rows as one table."""
+    rng = np.random.default_rng(3)
+    n, reps = 900, 200
+    rows = pd.DataFrame({"m": 0, "cell": 0, "piece": 0, "p": np.sort(rng.integers(0, 60, n) / 60)[::-1], "y": rng.integers(0, 2, n), "k": np.arange(n)})
+    w = weights(rows["k"].to_numpy(), np.arange(1, reps + 1), 5, POISSON_CUTS)
+    ((_, r),) = resample.runs([rows.iloc[:400], rows.iloc[400:]], reps, 5, POISSON_CUTS, [0.5], None)
+    y, p = rows["y"].to_numpy()[:, None], rows["p"].to_numpy()[:, None]
+    assert (r.pos == (w * y).sum(axis=0)).all() and (r.neg == (w * (1 - y)).sum(axis=0)).all()
+    assert (r.tp == (w * y * (p >= 0.5)).sum(axis=0)).all() and (r.fp == (w * (1 - y) * (p >= 0.5)).sum(axis=0)).all()
+    assert np.allclose(r.brier, (w * (p - y) ** 2).sum(axis=0))
+    over = (p > p.T) + (p == p.T) / 2
+    assert np.allclose(r.area, np.einsum("ir,ij,jr->r", w * y, over, w * (1 - y), optimize=True))
+    assert resample.NEAR_CELLS < n * reps  # several blocks

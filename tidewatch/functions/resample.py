@@ -15,7 +15,8 @@ from pyspark import cloudpickle
 
 from tidewatch.functions.constants import MIX
 
-BLOCK_CELLS = 2_000_000  # rows x replicates worked on at once
+BLOCK_CELLS = 2_000_000  # rows x replicates counted at once
+NEAR_CELLS = 50_000  # rows x replicates that a run works on at once: they stay near the processor
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,11 +35,23 @@ def weights(keys: np.ndarray, replicates: np.ndarray, seed: int, cuts: list[floa
     s = mix(np.array([seed & 0xFFFFFFFF], np.uint32))
     a, b = mix(mix(low ^ s) ^ high), mix(mix(low ^ mix(s ^ np.uint32(MIX[2]))) ^ high)
     r = mix(np.asarray(replicates).astype(np.uint32) ^ s)
-    u = mix(mix(a[:, None] ^ r[None, :]) ^ b[:, None])
-    out = np.zeros(u.shape, np.int64)
+    u = a[:, None] ^ r[None, :]
+    _mix_here(u)
+    u ^= b[:, None]
+    _mix_here(u)
+    out, over = np.zeros(u.shape, np.int8), np.empty(u.shape, bool)
     for c in cuts:
-        out += u >= np.uint32(min(math.ceil(c * 4294967296.0), 4294967295))
-    return out
+        out += np.greater_equal(u, np.uint32(min(math.ceil(c * 4294967296.0), 4294967295)), out=over).view(np.int8)
+    return out.astype(np.int64)
+
+
+def _mix_here(u: np.ndarray) -> None:
+    """``mix`` in place."""
+    part = np.empty_like(u)
+    for shift, by in ((16, MIX[0]), (15, MIX[1]), (15, None)):
+        u ^= np.right_shift(u, np.uint32(shift), out=part)
+        if by is not None:
+            u *= np.uint32(by)
 
 
 class Run:
@@ -53,16 +66,19 @@ class Run:
         self.held: tuple[float, np.ndarray, np.ndarray] | None = None
 
     def add(self, p: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        both = w.astype(float)  # whole numbers, so sums are exact
+        pos = both * y[:, None]
         first = np.concatenate(([0], np.flatnonzero(np.diff(p)) + 1))
-        pos, both = np.add.reduceat(w * y[:, None], first, axis=0), np.add.reduceat(w, first, axis=0)
-        p, neg = p[first], both - pos
+        if len(first) < len(p):
+            p, pos, both = p[first], np.add.reduceat(pos, first, axis=0), np.add.reduceat(both, first, axis=0)
+        neg = np.subtract(both, pos, out=both)
         if self.held is not None:
             hp, hpos, hneg = self.held
             if hp == p[0]:
                 pos[0] += hpos
                 neg[0] += hneg
             else:
-                p, pos, neg = np.concatenate(([hp], p)), np.vstack((hpos, pos)), np.vstack((hneg, neg))
+                self._close(np.array([hp]), hpos[None, :], hneg[None, :])
         self.held = (p[-1], pos[-1], neg[-1])
         self._close(p[:-1], pos[:-1], neg[:-1])
 
@@ -75,19 +91,25 @@ class Run:
     def _close(self, p: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
         if not len(p):
             return
-        tp, fp = self.pos + np.cumsum(pos, axis=0), self.neg + np.cumsum(neg, axis=0)
+        tp = np.cumsum(pos, axis=0)
+        tp += self.pos
         if self.start is None:
-            self.area += (neg * (tp - pos / 2.0)).sum(axis=0)
-            q = p[:, None]
-            self.brier += (pos * (1 - q) ** 2 + neg * q * q).sum(axis=0)
-            over = p >= self.threshold
-            self.tp += pos[over].sum(axis=0)
-            self.fp += neg[over].sum(axis=0)
+            self.area += np.einsum("ij,ij->j", neg, tp) - np.einsum("ij,ij->j", neg, pos) / 2.0
+            over = (p >= self.threshold).astype(float)
+            hits, misses = np.stack(((1 - p) ** 2, over)) @ pos, np.stack((p * p, over, np.ones(len(p)))) @ neg
+            self.brier += hits[0] + misses[0]
+            self.tp += hits[1].astype(np.int64)
+            self.fp += misses[1].astype(np.int64)
+            self.neg += misses[2].astype(np.int64)
         else:
-            ap, pr = curve_terms(self.start[0] + tp, self.start[1] + fp, pos, neg)
+            fp = np.cumsum(neg, axis=0)
+            fp += self.neg
+            self.neg = fp[-1].astype(np.int64)
+            some = np.flatnonzero(pos.any(axis=1))  # only positives have terms
+            ap, pr = curve_terms(self.start[0] + tp[some], self.start[1] + fp[some], pos[some], neg[some])
             self.ap += ap.sum(axis=0)
             self.pr += pr.sum(axis=0)
-        self.pos, self.neg = tp[-1], fp[-1]
+        self.pos = tp[-1].astype(np.int64)
 
 
 def curve_terms(tp, fp, pos, neg):
@@ -103,7 +125,7 @@ def runs(batches: Iterable[pd.DataFrame], n_boot: int, seed: int, cuts: list[flo
     """Finished runs of a task. With ``starts`` (totals before each cell) only curve terms are summed,
     and cells without an entry are passed over."""
     replicates = np.arange(1, n_boot + 1, dtype=np.int64)
-    step = max(1, BLOCK_CELLS // n_boot)
+    step = max(1, NEAR_CELLS // n_boot)
     key, run = None, None
     for pdf in batches:
         if not len(pdf):

@@ -52,9 +52,10 @@ def _cells(df: DataFrame, row_key: str, models: list[str], y: str) -> DataFrame:
 
 def replicate_metrics(df: DataFrame, row_key: str, *, n_boot: int, threshold: float = 0.5, seed: int = 12345,
                       models: dict[str, str] | None = None, y: str = "y", p: str = "p",
-                      thresholds: dict[str, float] | None = None) -> DataFrame:
+                      thresholds: dict[str, float] | None = None, precision_curve: bool = True) -> DataFrame:
     """(replicate, model, metrics): with ``models`` (name -> score column) all scores share the
-    same resamples, as a paired comparison needs.
+    same resamples, as a paired comparison needs. Without ``precision_curve`` the two areas under it
+    stay NULL, and the pass over the rows that only they need is left out.
 
     Cells meet in Spark: running totals over the cells of each (model, replicate) give what stands
     above a cell, and go back to the cells' tasks for the terms of the precision curve."""
@@ -86,6 +87,17 @@ def replicate_metrics(df: DataFrame, row_key: str, *, n_boot: int, threshold: fl
     total = cells.groupBy("m", "replicate").agg(
         *[F.sum(c).alias(c) for c in ("pos", "neg", "brier", "tp", "fp")], F.sum(F.col("pos0") * F.col("neg") + area).alias("auc"),
         alone(F.col("pos") * precision).alias("ap1"), alone(F.col("pos") * (precision + before) / 2.0).alias("pr1"))
+    known = F.create_map(*[x for m, n in enumerate(names) for x in (F.lit(m), F.struct(F.lit(n).alias("n"), F.lit(limits[m]).alias("t")))])[F.col("m")]
+
+    def finished(both: DataFrame, ap: Column, pr: Column) -> DataFrame:
+        table = both.withColumn("_k", known).select(
+            F.col("replicate").cast("int").alias("replicate"), F.col("_k.n").alias("model"), F.col("pos").alias("_P"), F.col("neg").alias("_N"),
+            F.col("auc").cast("double").alias("_auc"), ap.alias("_ap"), pr.alias("_pr"), F.col("brier").alias("_brier"), "tp", "fp", F.col("_k.t").alias("threshold"))
+        return M.finish_metrics(table, ["replicate", "model"], True)
+
+    if not precision_curve:
+        none = F.lit(None).cast("double")
+        return finished(total, none, none).withColumn("average_precision", none)
     starts = cells.where(~F.col("alone")).groupBy("m", "cell").agg(F.array_sort(F.collect_list(F.struct("replicate", "pos0", "neg0"))).alias("s"))
     starts = starts.select("m", "cell", F.transform("s", lambda x: x["pos0"]).alias("pos0"), F.transform("s", lambda x: x["neg0"]).alias("neg0"))
 
@@ -97,13 +109,8 @@ def replicate_metrics(df: DataFrame, row_key: str, *, n_boot: int, threshold: fl
 
     curve = rows.where(~F.col("alone")).groupBy("m", "cell").cogroup(starts.groupBy("m", "cell")).applyInPandas(terms, TERMS)
     curve = curve.groupBy("m", "replicate").agg(F.sum("ap").alias("ap2"), F.sum("pr").alias("pr2"))
-    known = F.create_map(*[x for m, n in enumerate(names) for x in (F.lit(m), F.struct(F.lit(n).alias("n"), F.lit(limits[m]).alias("t")))])[F.col("m")]
-    both = total.join(curve, ["m", "replicate"], "left").withColumn("_k", known)
     add = lambda a, b: F.coalesce(F.col(a), F.lit(0.0)) + F.coalesce(F.col(b), F.lit(0.0))
-    table = both.select(F.col("replicate").cast("int").alias("replicate"), F.col("_k.n").alias("model"), F.col("pos").alias("_P"), F.col("neg").alias("_N"),
-                        F.col("auc").cast("double").alias("_auc"), add("ap1", "ap2").alias("_ap"), add("pr1", "pr2").alias("_pr"),
-                        F.col("brier").alias("_brier"), "tp", "fp", F.col("_k.t").alias("threshold"))
-    return M.finish_metrics(table, ["replicate", "model"], True)
+    return finished(total.join(curve, ["m", "replicate"], "left"), add("ap1", "ap2"), add("pr1", "pr2"))
 
 
 def replicate_values(df: DataFrame, row_key: str, callbacks: dict[str, Callable], *, n_boot: int, seed: int = 12345, models: dict[str, str] | None = None,
@@ -192,7 +199,8 @@ def bootstrap_ci(df: DataFrame, row_key: str, *, threshold: float = 0.5, n_boot:
     ``callbacks`` adds the caller's own metrics by name, see ``replicate_values``."""
     parts = []
     if metrics:
-        per = replicate_metrics(df, row_key, n_boot=n_boot, threshold=threshold, seed=seed, y=y, p=p)
+        per = replicate_metrics(df, row_key, n_boot=n_boot, threshold=threshold, seed=seed, y=y, p=p,
+                                precision_curve=bool({"average_precision", "pr_auc"} & set(metrics)))
         parts.append(per.select("replicate", *[_two_classes(m).alias(m) for m in metrics]).unpivot(["replicate"], list(metrics), "metric", "value"))
     if callbacks:
         parts.append(replicate_values(df, row_key, callbacks, n_boot=n_boot, seed=seed, y=y, p=p).select("replicate", "metric", "value"))
@@ -211,7 +219,7 @@ def paired_difference(df: DataFrame, row_key: str, *, metric: str, model_a: tupl
     cuts = {model_a[0]: threshold_a, model_b[0]: threshold_b}
     a, b = model_a[0], model_b[0]
     side = lambda m: F.max(F.when(F.col("model") == m, _two_classes(metric)))
-    per = replicate_metrics(df, row_key, n_boot=n_boot, seed=seed, models=models, thresholds=cuts, y=y)
+    per = replicate_metrics(df, row_key, n_boot=n_boot, seed=seed, models=models, thresholds=cuts, y=y, precision_curve=metric == "average_precision")
     d = per.groupBy("replicate").agg((side(a) - side(b)).alias("d"))
     stats = d.agg(*_interval("d", confidence), F.avg((F.col("d") <= 0).cast("double")).alias("_lo"),
                   F.avg((F.col("d") >= 0).cast("double")).alias("_hi"))
