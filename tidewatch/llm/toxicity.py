@@ -344,14 +344,29 @@ def _pieces(net: Net) -> list[tuple[str, int]]:
     return [(k, i) for k, v in net.p.items() for i in range(0, len(v), 4096)]
 
 
+def _opened(sent: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their ``width`` numbers each) of a piece as it travels."""
+    n = len(sent) // (4 * (1 + width))
+    return np.frombuffer(sent, np.int32, n), np.frombuffer(sent, np.float32, offset=4 * n).reshape(n, width)
+
+
 def _pass(data: DataFrame, net: Net, memory: dict[str, np.ndarray], seen: np.ndarray, tasks: int, seed: int, batch: int = 32, rate: float = 0.05, drop: float = 0.5) -> None:
-    """One pass of all tasks over their rows (y, t); ``net`` and ``memory`` become the means of theirs."""
-    shared = data.sparkSession.sparkContext.broadcast((net, memory, seen))
+    """One pass of all tasks over their rows (y, t); ``net`` and ``memory`` become the means of theirs.
+
+    Only embeddings in use travel to the tasks, and only those that a task changed travel back."""
+    lean = copy.copy(net)
+    lean.p = {k: v[seen] if k == "E" else v for k, v in net.p.items()}
+    shared = data.sparkSession.sparkContext.broadcast((lean, {k: v[seen] if k == "E" else v for k, v in memory.items()}, seen))
+    pieces = _pieces(net)
+    widths = [2 * net.p[k][0].size for k, _ in pieces]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory_, seen_ = shared.value
         net_ = copy.copy(own)
         net_.p, mem = {k: v.copy() for k, v in own.p.items()}, {k: v.copy() for k, v in memory_.items()}
+        net_.p["E"], mem["E"] = np.zeros((len(seen_), DIM), np.float32), np.ones((len(seen_), DIM), np.float32)
+        net_.p["E"][seen_], mem["E"][seen_] = own.p["E"], memory_["E"]
+        start = mem["E"].copy()
         step, r, met = _stepper(net_, mem, seen_, rate), np.random.default_rng([seed, TaskContext.get().partitionId()]), 0
         for b in batches:
             y, at = b.column(0).to_numpy(zero_copy_only=False), 0
@@ -363,25 +378,30 @@ def _pass(data: DataFrame, net: Net, memory: dict[str, np.ndarray], seen: np.nda
                 met += len(texts)
         if not met:
             return
-        for n, (k, i) in enumerate(_pieces(net_)):
-            p, m = net_.p[k][i:i + 4096], mem[k][i:i + 4096]
-            moved = (m != memory_[k][i:i + 4096]).reshape(len(p), -1).any(axis=1) if k == "E" else np.ones(len(p), bool)
-            sent = np.concatenate([moved.astype(np.float32), *[np.where(moved.reshape(-1, *[1] * (p.ndim - 1)), x, 0).ravel() for x in (p, m)]])
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([sent.astype(np.float32).tobytes()], pa.binary())], names=["piece", "sent"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in sorted(t["sent"], key=lambda x: x.as_py()))
-        return pa.table({"piece": t["piece"][:1], "sent": pa.array([total.tobytes()], pa.binary())})
-
-    found = data.select("y", "t").coalesce(tasks).mapInArrow(work, "piece int, sent binary").groupBy("piece").applyInArrow(add, "piece int, sent binary").collect()
-    pieces = _pieces(net)
+        for n, (k, i) in enumerate(pieces):
+            p, m = (x[i:i + 4096].reshape(-1, widths[n] // 2) for x in (net_.p[k], mem[k]))
+            moved = np.flatnonzero((m != start[i:i + 4096]).any(axis=1)) if k == "E" else np.arange(len(p))
+            if len(moved):
+                sent = moved.astype(np.int32).tobytes() + np.hstack([p[moved], m[moved]]).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([sent], pa.binary())], names=["piece", "sent"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        width = widths[t["piece"][0].as_py()]
+        total, times = np.zeros((4096, width)), np.zeros(4096)
+        for x in sorted(x.as_py() for x in t["sent"]):
+            rows, values = _opened(x, width)
+            total[rows] += values
+            times[rows] += 1
+        rows = np.flatnonzero(times)
+        sent = rows.astype(np.int32).tobytes() + (total[rows] / times[rows, None]).astype(np.float32).tobytes()
+        return pa.table({"piece": t["piece"][:1], "sent": pa.array([sent], pa.binary())})
+
+    found = data.select("y", "t").coalesce(tasks).mapInArrow(work, "piece int, sent binary").groupBy("piece").applyInArrow(mean, "piece int, sent binary").collect()
     for f in found:
-        k, i = pieces[f.piece]
-        x, n = np.frombuffer(f.sent, float), len(net.p[k][i:i + 4096])
-        moved, rest = x[:n], x[n:].reshape(2, n, *net.p[k].shape[1:])
-        hit = moved > 0
-        many = moved[hit].reshape(-1, *[1] * (net.p[k].ndim - 1))
-        net.p[k][i:i + 4096][hit], memory[k][i:i + 4096][hit] = rest[0][hit] / many, rest[1][hit] / many
+        (k, i), width = pieces[f.piece], widths[f.piece]
+        rows, values = _opened(f.sent, width)
+        for x, now in zip((net.p[k], memory[k]), np.hsplit(values, 2)):
+            x[i + rows] = now.reshape(-1, *x.shape[1:])
     shared.destroy()
 
 
@@ -470,8 +490,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return train_on_sample(docs, labels, doc_id, text, lang, label, max_rows, max_chars)
     y = labels.select(F.col(doc_id).alias("_i"), F.col(label).cast("double").alias("y")).where("y IN (0, 1) AND _i IS NOT NULL").distinct()
     rows = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("t"), F.col(lang).alias("lang") if lang in docs.columns else F.lit(None).cast("string").alias("lang"))
-    # in a fixed order, so that the same rows give the same net
-    data = stored(rows.join(y, "_i").sortWithinPartitions("_i", F.xxhash64("t"), "y").withColumn("held", F.pmod(F.xxhash64("_i", F.lit(11)), F.lit(5)) == 0), "labelled")
+    # texts meet their labels by a shuffle of both at every size, so disk and memory grow as the input does; only the labels are
+    # hashed. In a fixed order, so that the same rows give the same net
+    data = stored(rows.join(y.hint("shuffle_hash"), "_i").sortWithinPartitions("_i", F.xxhash64("t"), "y").withColumn("held", F.pmod(F.xxhash64("_i", F.lit(11)), F.lit(5)) == 0), "labelled")
     counts = {(r.held, r.y): r.n for r in data.groupBy("held", "y").agg(F.count("*").alias("n")).collect()}
     total = np.array([counts.get((False, c), 0) for c in (0.0, 1.0)])
     if not total.all():  # one class, or none, in the rows to fit on
