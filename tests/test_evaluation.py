@@ -279,3 +279,13 @@ def test_runs_in_small_blocks():
     over = (p > p.T) + (p == p.T) / 2
     assert np.allclose(r.area, np.einsum("ir,ij,jr->r", w * y, over, w * (1 - y), optimize=True))
     assert resample.NEAR_CELLS < n * reps  # several blocks
+
+
+def test_isotonic_knots_are_searched_once_a_row(spark):
+    from tidewatch.operators import calibrate
+    pools = spark.createDataFrame([(0.1, 0.2, 0.3, 5.0), (0.5, 0.5, 0.6, 2.0)], "p_low double, p_high double, value double, n double")
+    out = calibrate.apply_isotonic(spark.createDataFrame([(0.0,), (0.15,), (0.35,), (0.5,), (0.9,), (None,)], "p double"), pools)
+    assert out.columns == ["p", "p_calibrated"]
+    got = [r.p_calibrated for r in out.sort(out.p.asc_nulls_last()).collect()]
+    assert [round(v, 9) for v in got[:-1]] == [0.3, 0.3, 0.45, 0.6, 0.6] and got[-1] is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("filter(_k") == 2

@@ -212,7 +212,9 @@ def apply_isotonic(df: DataFrame, pools: DataFrame, p: str = "p", name: str = "p
     x = F.col(p).cast("double")
     joined = df.withColumn("_b", bucket_of(x, edges)).join(both, "_b", "left")
     under, over = F.filter("_k", lambda k: k["x"] <= x), F.filter("_k", lambda k: k["x"] >= x)
-    lo, hi = F.element_at(F.when(F.size(under) > 0, under), -1), F.element_at(F.when(F.size(over) > 0, over), 1)
+    # columns of their own, so that a row's knots are searched once, however often the value names them
+    joined = joined.select(*df.columns, F.try_element_at(under, F.lit(-1)).alias("_lo"), F.try_element_at(over, F.lit(1)).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     part = F.try_divide(x - lo["x"], hi["x"] - lo["x"])
     value = F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["x"] == hi["x"]), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * part)
-    return joined.withColumn(name, F.when(x.isNotNull(), clip(value, 0.0, 1.0))).drop("_b", "_k")
+    return joined.withColumn(name, F.when(x.isNotNull(), clip(value, 0.0, 1.0))).drop("_lo", "_hi")
