@@ -81,3 +81,20 @@ def test_importance_pairs_rows_by_two_hash_orders_in_few_jobs(spark):
             assert got[c].importance == pytest.approx(np.mean(want), abs=1e-12) and got[c].std == pytest.approx(np.std(want), abs=1e-12)
     sc._jsc.sc().clearJobGroup()
     assert jobs[5] <= jobs[2] + 4
+
+
+def test_order_rows_are_made_once(spark, tmp_path, monkeypatch):
+    """Fits and quantiles read the checkpointed rows, not the join of orders and lines again."""
+    from workload import learning
+    spark.range(60).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey", "timestamp_ntz'2024-01-01' AS o_orderdate", "IF(id % 3 = 0, 'F', 'O') AS o_orderstatus",
+                               "'1-URGENT' AS o_orderpriority", "1000.0D * id AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(180).selectExpr("id % 60 AS l_orderkey", "id % 50 AS l_quantity", "900.0D + id AS l_extendedprice", "0.05D AS l_discount", "0.02D AS l_tax").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    fill, importance = learning.impute.fit_fill, learning.select.importance_scores
+    monkeypatch.setattr(learning.impute, "fit_fill", lambda df, *a: seen(df) or fill(df, *a))
+    monkeypatch.setattr(learning.select, "importance_scores", lambda df, *a, **k: seen(df) or importance(df, *a, trees=2))
+    assert learning._split(spark, str(tmp_path)).count() == 60
+    assert learning.importance_topk(spark, str(tmp_path)).count() == 5
+    assert len(plans) == 2 and not any("Join" in p or "Aggregate" in p for p in plans)

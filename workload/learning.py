@@ -25,10 +25,11 @@ COLS = [*FEATURES, "mortality"]
 
 
 def _split(spark, sf):
-    """Order-level rows, split by customer, medians from the training rows."""
-    w = split_rows(wide(spark, sf, COLS).drop("intime"), "subject_id", "mortality")
-    filled = impute.apply_fill(w, impute.fit_fill(w, FEATURES, F.col("split") == "train"))
-    return cut_lineage(filled)
+    """Order-level rows, split by customer, medians from the training rows.
+
+    The order-level rows are made once; a checkpoint keeps their partitions, which the samples of the fits follow."""
+    w = cut_lineage(split_rows(cut_lineage(wide(spark, sf, COLS).drop("intime")), "subject_id", "mortality"))
+    return impute.apply_fill(w, impute.fit_fill(w, FEATURES, F.col("split") == "train"))
 
 
 def _vec(spark, sf):
@@ -43,12 +44,12 @@ def _report(scores):
 def impute_chained(spark, sf):
     w = wide(spark, sf, ["age", "heart_rate_mean", "sbp_mean", "resp_rate_mean", "temp_mean", "glucose_mean"])
     cols = ["age", "heart_rate_mean", "sbp_mean", "resp_rate_mean", "temp_mean", "glucose_mean"]
-    return impute.impute_chained(w.drop("intime"), cols, key="stay_id", rounds=2, trees=20)
+    return impute.impute_chained(cut_lineage(w.drop("intime")), cols, key="stay_id", rounds=2, trees=20)
 
 
 @query("importance_topk")
 def importance_topk(spark, sf):
-    return select.top_k(select.importance_scores(wide(spark, sf, COLS), FEATURES, "mortality", trees=100), 5)
+    return select.top_k(select.importance_scores(cut_lineage(wide(spark, sf, COLS)), FEATURES, "mortality", trees=100), 5)
 
 
 @query("pca_reduce")
@@ -58,7 +59,7 @@ def pca_reduce(spark, sf):
 
 @query("select_recipe")
 def select_recipe(spark, sf):
-    w = wide(spark, sf, COLS)
+    w = cut_lineage(wide(spark, sf, COLS))
     rows = [("logistic", c) for c in select.logistic_recipe(w, FEATURES, "mortality", 5)]
     rows += [("tree", c) for c in select.tree_recipe(w.select(*COLS), "mortality", 5)]
     return spark.createDataFrame(rows, "recipe string, column_name string")
@@ -157,7 +158,7 @@ def random_search(spark, sf):
 
 @query("model_suite")
 def model_suite(spark, sf):
-    w = wide(spark, sf, [*COLS, "first_careunit"]).drop("intime")
+    w = cut_lineage(wide(spark, sf, [*COLS, "first_careunit"]).drop("intime"))
     r = suite.run_suite(w, entity="subject_id", label="mortality", row_key="stay_id", n_boot=200, trees=100, rounds=30, categorical=["first_careunit"])
     return rounded(r.comparison, 4)
 
