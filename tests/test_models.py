@@ -85,7 +85,7 @@ def test_importance_pairs_rows_by_two_hash_orders_in_few_jobs(spark):
 
 def test_order_rows_are_made_once(spark, tmp_path, monkeypatch):
     """Fits and quantiles read the checkpointed rows, not the join of orders and lines again."""
-    from workload import learning
+    from workload import events as _registered, learning  # noqa: F401  (streams take the SQL of the batch queries)
     spark.range(60).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey", "timestamp_ntz'2024-01-01' AS o_orderdate", "IF(id % 3 = 0, 'F', 'O') AS o_orderstatus",
                                "'1-URGENT' AS o_orderpriority", "1000.0D * id AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
     spark.range(180).selectExpr("id % 60 AS l_orderkey", "id % 50 AS l_quantity", "900.0D + id AS l_extendedprice", "0.05D AS l_discount", "0.02D AS l_tax").write.parquet(
