@@ -4,6 +4,7 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
 from tidewatch.operators import cohort as C
@@ -98,3 +99,22 @@ def test_empty_raw_tables(spark, raw):
     none = R.RawTables(raw.cohort, raw.chart.limit(0), raw.labs.limit(0))
     got = rows(R.raw_features(none, R.RawOptions(row_rules=False)))
     assert len(got) == 3 and all(r.heart_rate_measured == 0 and r.bmi is None and r.total_measurements_0_6h == 0 for r in got.values())
+
+
+def test_wide_rows_are_made_once_and_never_moved(raw):
+    out = R.raw_features(raw, R.RawOptions(row_rules=False))
+    todo, wide = [out._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        wide += [node.nodeName()] if node.output().size() > 300 else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert wide == ["Project"] and len(out.columns) > 300
+
+
+def test_a_stay_keeps_its_rows_for_every_subject_and_admission(spark, raw):
+    twice = raw.cohort.unionByName(raw.cohort.where("stay_id = 1").withColumn("hadm_id", F.lit(77).cast("bigint")))
+    none = raw.cohort.where("stay_id = 1").withColumn("stay_id", F.lit(None).cast(raw.cohort.schema["stay_id"].dataType))
+    got = R.raw_features(R.RawTables(twice.unionByName(none), raw.chart, raw.labs, positives=raw.positives), R.RawOptions(row_rules=False))
+    assert sorted((r.stay_id, r.hadm_id, r.heart_rate_mean) for r in got.where("stay_id = 1").collect()) == sorted(
+        (1, h, 90.0) for h in {r.hadm_id for r in raw.cohort.where("stay_id = 1").collect()} | {77})
+    assert got.where("stay_id IS NULL").count() == 0 and got.columns[0] == "subject_id" and got.columns[-1] == "mortality"

@@ -109,9 +109,14 @@ def prior_codes(cohort: DataFrame, admissions: DataFrame, codes: DataFrame, *, s
     return spread_join(own, prior, [admission], by=[c for c in own.columns if c != admission])
 
 
+def _plain_code(code: Column) -> Column:
+    """A code in capitals without dots."""
+    return F.translate(F.upper(F.trim(code)), ".", "")
+
+
 def diagnosis_chapter(code: Column, version: Column) -> Column:
     """Chapter of an ICD-9 or ICD-10 code; V and E are ICD-9 prefixes, dots are ignored."""
-    c = F.regexp_replace(F.upper(F.trim(code)), "\\.", "")
+    c = _plain_code(code)
     # the leading number, if it has at most three digits, picks its chapter from a list: evaluated once per code
     number = F.regexp_extract(F.upper(F.trim(code)), "^0*([0-9]{1,3})(?![0-9])", 1).try_cast("int")
     chapters = [next((n for low, high, n in K.ICD9_RANGES if low <= i <= high), "other_icd9") for i in range(1000)]
@@ -136,14 +141,16 @@ def chapter_counts(subjects: DataFrame, codes: DataFrame, chapter: Column, chapt
 
 
 def metastatic(code: Column, version: Column) -> Column:
-    c = F.regexp_replace(F.upper(F.trim(code)), "\\.", "")
-    nine = c.isin(K.METASTATIC_ICD9_EXACT)
-    for p in K.METASTATIC_ICD9_PREFIXES:
-        nine = nine | c.startswith(p)
-    ten = F.lit(False)
-    for p in K.METASTATIC_ICD10_PREFIXES:
-        ten = ten | c.startswith(p)
-    return F.when(version == 9, nine).when(version == 10, ten).otherwise(F.lit(False))
+    c = _plain_code(code)
+
+    def begins(prefixes):  # one lookup per length of prefix
+        found = F.lit(False)
+        for n in sorted({len(p) for p in prefixes}):
+            found = found | F.substring(c, 1, n).isin([p for p in prefixes if len(p) == n])
+        return found
+
+    nine = c.isin(K.METASTATIC_ICD9_EXACT) | begins(K.METASTATIC_ICD9_PREFIXES)
+    return F.when(version == 9, nine).when(version == 10, begins(K.METASTATIC_ICD10_PREFIXES)).otherwise(F.lit(False))
 
 
 def any_code_flag(subjects: DataFrame, codes: DataFrame, match: Column, name: str,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag, ratio, sanitize_token
-from tidewatch.operators.events import attach, bin_index, bin_labels, out_of_range
+from tidewatch.operators.events import bin_index, bin_labels, out_of_range
 
 PER_SLICE = 20_000  # events of a stay above which its pieces get thinner
 PIECE = "_piece"
@@ -171,9 +171,11 @@ def wide_features(win: DataFrame, cohort: DataFrame, *, hours: float, vitals: li
                   ranges: dict[str, tuple[float, float]] = K.NORMAL_RANGES, sources: list[str] = (), bins: bool = True, trajectory: bool = True,
                   instability: bool = True, process: bool = True, expected: list[str] | None = None, extra: dict[str, tuple[str, str]] | None = None,
                   count_variables: list[str] | None = None, id_col: str = "stay_id", variable: str = "variable", time: str = "charttime",
-                  value: str = "valuenum", source: str = "source") -> DataFrame:
+                  value: str = "valuenum", source: str = "source", whole_rows: bool = False) -> DataFrame:
     """One row per distinct cohort id with every wanted feature group of ``vitals`` and ``labs``.
 
+    ``whole_rows`` keeps every row and column of ``cohort`` instead, before the features. Join what a stay has of its own
+    to the cohort first: up to here a stay's statistics are one map, and the hundreds of columns are made in one last step.
     ``extra`` adds columns, name -> (variable, statistic); a name ending in ``_measured`` is 0 where nothing was
     seen. Totals of the measurement process run over ``count_variables``, all variables if not given."""
     n_bins = math.ceil(hours / bin_hours) if bins else 0
@@ -188,7 +190,12 @@ def wide_features(win: DataFrame, cohort: DataFrame, *, hours: float, vitals: li
         F.map_from_entries(F.collect_list(F.struct(variable, "_s"))).alias("_m"), rows("measurement_count_0_6h").alias("_rows"),
         *[rows(f"rows_{i}").alias(f"_rows_{i}") for i in range(len(sources))],
         F.countDistinct(F.when(counted & F.col(variable).isin(expected), F.col(variable))).alias("_seen"))
-    at = lambda v, s: F.col("_m")[v][s]
+    # a variable's statistics are looked up once, not once per column
+    place = {v: f"_v{i}" for i, v in enumerate(dict.fromkeys([*variables, *(v for v, _ in (extra or {}).values())]))}
+    base = cohort if whole_rows else cohort.select(id_col).distinct()
+    both = base.join(one, id_col, "left")
+    both = both.select(*[c for c in both.columns if c != "_m"], *[F.element_at("_m", v).alias(n) for v, n in place.items()])
+    at = lambda v, s: F.col(f"{place[v]}.{s}")
     columns: dict[str, Column] = {}
     zero = []
     for v in vitals:
@@ -221,4 +228,6 @@ def wide_features(win: DataFrame, cohort: DataFrame, *, hours: float, vitals: li
     for name, (v, s) in (extra or {}).items():
         columns[name] = at(v, s)
         zero += [name] if name.endswith("_measured") else []
-    return attach(cohort, one.select(id_col, *[c.alias(k) for k, c in columns.items()]), id_col, zero)
+    zero = set(zero)
+    own = [id_col, *[c for c in base.columns if c != id_col]]
+    return both.select(*own, *[(F.coalesce(c, F.lit(0)) if k in zero else c).alias(k) for k, c in columns.items()])

@@ -119,19 +119,31 @@ def raw_features(raw: RawTables, options: RawOptions | None = None, label: str =
     vitals, labs = list(o.vital_codes), list(o.lab_codes)
     extra = {"urine_output_total": ("urine_output", "sum"), "urine_output_measured": ("urine_output", "measured"),
              "_height": ("height", "first"), "_weight": ("weight", "first")}
-    out = onepass.wide_features(
-        win, raw.cohort, hours=o.hours, vitals=vitals, labs=labs, bin_hours=o.bin_hours, anchors=o.anchors, tolerance=o.tolerance,
-        first_limit=o.first_limit, edge_hours=o.edge_hours, sources=["lab", "vital"], bins=o.bins, trajectory=o.trajectory,
-        instability=o.instability, process=o.process, extra=extra, count_variables=[*vitals, *labs])
-    out = out.withColumn("bmi", body_mass(F.col("_height"), F.col("_weight"))).withColumn("bmi_measured", flag(F.col("bmi").isNotNull()))
-    out = raw.cohort.select("stay_id", "subject_id", "hadm_id").distinct().join(out.drop("_height", "_weight"), "stay_id")
+    # all that has few columns meets first, so that no join moves the wide rows
+    keys = ["stay_id", "subject_id", "hadm_id"]
+    stays = raw.cohort.select(*keys).distinct()
+    base, own = stays.where(F.col("stay_id").isNotNull()), []
     if raw.patients is not None and raw.admissions is not None:
-        person = C.demographics(raw.cohort.select("stay_id", "subject_id", "hadm_id").distinct(), raw.patients, raw.admissions)
-        out = out.join(person.select("stay_id", "age", "gender_numeric"), "stay_id", "left")
+        base = base.join(C.demographics(stays, raw.patients, raw.admissions).select("stay_id", "age", "gender_numeric"), "stay_id", "left")
+        own += ["age", "gender_numeric"]
     if raw.diagnoses is not None and raw.admissions is not None:
-        out = out.join(history(raw), "subject_id", "left")
+        past = history(raw)
+        base = base.join(past, "subject_id", "left")
+        own += [c for c in past.columns if c != "subject_id"]
+        keys = ["subject_id", "stay_id", "hadm_id"]
+    if raw.positives is not None:
+        base = C.label_flag(base, raw.positives, "subject_id", "_label")
+    out = onepass.wide_features(
+        win, base, hours=o.hours, vitals=vitals, labs=labs, bin_hours=o.bin_hours, anchors=o.anchors, tolerance=o.tolerance,
+        first_limit=o.first_limit, edge_hours=o.edge_hours, sources=["lab", "vital"], bins=o.bins, trajectory=o.trajectory,
+        instability=o.instability, process=o.process, extra=extra, count_variables=[*vitals, *labs], whole_rows=True)
+    made = [c for c in out.columns if c not in (*base.columns, "_height", "_weight")]
+    bmi = body_mass(F.col("_height"), F.col("_weight"))
+    out = out.select(*keys, *made, bmi.alias("bmi"), flag(bmi.isNotNull()).alias("bmi_measured"), *own, *(["_label"] if raw.positives is not None else []))
     if o.row_rules:
         out = rules.interactions(rules.organ_flags(rules.derived_flags(out)))
     if o.check_provenance:
-        guards.provenance_gate(out, ignore=["stay_id", "subject_id", "hadm_id", "age_group", "has_metastatic_cancer"])
-    return C.label_flag(out, raw.positives, "subject_id", label) if raw.positives is not None else out
+        guards.provenance_gate(out.drop("_label"), ignore=["stay_id", "subject_id", "hadm_id", "age_group", "has_metastatic_cancer"])
+    if raw.positives is None:
+        return out
+    return out.select("subject_id", *[c for c in out.columns if c not in ("subject_id", "_label")], F.col("_label").alias(label))
