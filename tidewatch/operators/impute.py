@@ -5,16 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
 from tidewatch.functions.exprs import flag
+from tidewatch.functions.trees import Forest, chain
+from tidewatch.operators import forest
 from tidewatch.operators.clean import fit_rows
 from tidewatch.operators.profile import numeric_columns
 from tidewatch.operators.ranking import exact_quantiles
-from tidewatch.plans.lineage import cut_lineage
+from tidewatch.plans.lineage import cut_lineage, dropped
 
 
 def missing_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
@@ -66,6 +68,7 @@ def apply_fill(df: DataFrame, params: FillParams) -> DataFrame:
     return df.withColumns(new)
 
 
+DEPTH = 8  # of the trees of chained imputation
 MOST_CATEGORIES = 200  # categories of a column up to which each is a column of its own
 HASHED = 64  # columns for a column with more categories
 
@@ -126,19 +129,40 @@ def impute_chained(df: DataFrame, columns: list[str], *, key: str, rounds: int =
     gaps = [F.col(c).isNull().alias(f"_gap_{c}") for c in todo]
     gaps.append((F.lit(True) if fit_on is None else F.coalesce(fit_on, F.lit(False))).alias("_fit"))
     data = cut_lineage(apply_fill(df.select("*", *gaps), params))
+    targets = [c for c in todo if c not in binary]
+    if estimator == "forest":
+        data = _by_forests(data, columns, targets, {c: n - missing[c] for c in targets}, rounds, trees, seed) if targets and rounds else data
+        return data.drop("_fit", *[f"_gap_{c}" for c in todo])
     for r in range(rounds):
-        for i, c in enumerate(x for x in todo if x not in binary):
-            others = [x for x in columns if x != c]
-            vec = VectorAssembler(inputCols=others, outputCol="_x").transform(data)
-            args = dict(featuresCol="_x", labelCol=c, predictionCol="_p")
-            reg = (RandomForestRegressor(numTrees=trees, maxDepth=8, seed=seed + r * 1000 + i, **args)
-                   if estimator == "forest" else LinearRegression(regParam=1e-6, **args))
+        for c in targets:
+            vec = VectorAssembler(inputCols=[x for x in columns if x != c], outputCol="_x").transform(data)
+            reg = LinearRegression(regParam=1e-6, featuresCol="_x", labelCol=c, predictionCol="_p")
             model = reg.fit(vec.where(~F.col(f"_gap_{c}") & F.col("_fit")))
             data = model.transform(vec).withColumn(c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c)))
             data = cut_lineage(data.drop("_x", "_p"))
     return data.drop("_fit", *[f"_gap_{c}" for c in todo])
 
 
+def _by_forests(data: DataFrame, columns: list[str], targets: list[str], observed: dict[str, int], rounds: int, trees: int, seed: int) -> DataFrame:
+    """The rounds of forests over packed blocks of the columns, then one pass that fills the rows themselves."""
+    gaps = [f"_gap_{c}" if c in targets else None for c in columns]
+    width, at = len(columns), {c: columns.index(c) for c in targets}
+    blocks = forest.pack(data, columns, gaps, "_fit")
+    known, open_cells, rows = forest.sample(blocks, width, {at[c]: observed[c] for c in targets}, seed)
+    every: list[Forest] = []
+    for r in range(rounds):
+        new: list[Forest] = []
+        for i, c in enumerate(targets):
+            new.append(forest.fit(blocks, width, at[c], known[:, rows[at[c]]], observed[c], new, trees=trees, depth=DEPTH, seed=seed + r * 1000 + i))
+            chain(known, open_cells, new[-1:])
+        every += new
+        if r < rounds - 1:
+            before, blocks = blocks, forest.repack(blocks, width, new)
+            dropped(before)
+    dropped(blocks)
+    return cut_lineage(forest.filled(data, columns, gaps, every))
+
+
 def group_medians(df: DataFrame, group: str, column: str, fit_on: Column | None = None) -> dict:
     """Exact median of a column per category of a low-cardinality column."""
     df = fit_rows(df, fit_on)

@@ -36,16 +36,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", **options) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again: computed once, however
-    often it is used, with column pruning and compression that a checkpoint lacks."""
+    often it is used, with column pruning and compression that a checkpoint lacks. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidewatch-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tidewatch-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def scanned(df: DataFrame) -> DataFrame:
     """``df`` itself if it only reads and filters files, else written once and read again: for
     operators that make several passes."""

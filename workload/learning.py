@@ -14,7 +14,7 @@ from tidewatch.operators.split import split_rows
 from tidewatch.plans import features as plan_features
 from tidewatch.plans import preprocess as plan_preprocess
 from tidewatch.plans import suite
-from tidewatch.plans.lineage import cut_lineage, shared_folder
+from tidewatch.plans.lineage import cut_lineage, shared_folder, stored
 from tidewatch.streaming import windows as stream
 from workload import raw
 from workload.base import (BIN, HOURS, ORACLES, SOURCES, VARIABLES, event_cohort, long_events, query, rounded, scored, table, wide, win_sql)
@@ -44,7 +44,7 @@ def _report(scores):
 def impute_chained(spark, sf):
     w = wide(spark, sf, ["age", "heart_rate_mean", "sbp_mean", "resp_rate_mean", "temp_mean", "glucose_mean"])
     cols = ["age", "heart_rate_mean", "sbp_mean", "resp_rate_mean", "temp_mean", "glucose_mean"]
-    return impute.impute_chained(cut_lineage(w.drop("intime")), cols, key="stay_id", rounds=2, trees=20)
+    return impute.impute_chained(stored(w.drop("intime"), "wide"), cols, key="stay_id", rounds=2, trees=20)
 
 
 @query("importance_topk")
