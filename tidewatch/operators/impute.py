@@ -114,8 +114,9 @@ def impute_chained(df: DataFrame, columns: list[str], *, key: str, rounds: int =
 
     Every column is filled with its median first; then, round by round, each column with gaps
     is regressed on the others over its observed rows and only its gaps are replaced. Binary
-    columns (two values) keep their mode. The lineage is cut after every column. Which columns
-    take part, their first fill and every regression come from the ``fit_on`` rows."""
+    columns (two values) keep their mode. Forests are fitted on packed columns and fill the rows in
+    one last pass; for ``linear`` the lineage is cut after every column. Which columns take part,
+    their first fill and every regression come from the ``fit_on`` rows."""
     base = fit_rows(df, fit_on)
     n, missing = missing_counts(base, columns)
     todo = [c for c in columns if 0 < missing[c] <= max_missing * n]
